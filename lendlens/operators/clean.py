@@ -194,48 +194,59 @@ def encode_rows(df: DataFrame) -> DataFrame:
 
 
 def fit_pipeline(df: DataFrame, order: str = "reference", keep: Sequence[str] = ()) -> FeaturePipeline:
-    """Two passes over the data, plus one more when numeric columns have nulls."""
+    """Two passes over the data, plus one more when numeric columns have nulls.
+
+    Columns that are dropped anyway are not looked at, apart from the levels of the
+    categories that become 0/1 columns.
+    """
     rows = encode_rows(df)
     if order == "convert_first":
         rows = string_to_numeric(rows)
-    texts = text_columns(rows)
+    dropped = [c for c in static_drops(rows.columns) if c not in keep]
+    candidates = [c for c in rows.columns if c not in dropped]
+    texts = [c for c in text_columns(rows) if c in candidates]
     nominal = [c for c in NOMINAL_COLUMNS if c in rows.columns]
 
-    checks = []
-    for c in rows.columns:
-        checks += [(F.min(c) == F.max(c)).alias(f"{c}__same"), null_count(c).alias(f"{c}__nulls")]
+    checks = [null_count(c).alias(f"{c}__nulls") for c in candidates]
+    checks += [(F.min(c) == F.max(c)).alias(f"{c}__same") for c in candidates if c not in texts]
     checks += [F.approx_count_distinct(c).alias(f"{c}__levels") for c in texts]
-    checks += [F.count(F.lit(1)).alias("__rows"), F.avg(TARGET).alias("__target")]
-    seen = rows.agg(*checks).first().asDict()
+    seen = rows.agg(
+        *checks, F.count(F.lit(1)).alias("__rows"), F.avg(TARGET).alias("__target")).first().asDict()
 
-    single = [c for c in rows.columns if seen[f"{c}__same"] in (True, None)]
     wide = [c for c in texts if seen[f"{c}__levels"] > HIGH_CARDINALITY * SURE_FACTOR]
     narrow = [c for c in texts if c not in wide]
-    counted = level_counts(rows, sorted({*narrow, *nominal})).limit(MAX_LEVELS + 1).collect()
-    if len(counted) > MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} levels: not categories to encode as columns")
-    per_column: dict[str, dict[str, int]] = {}
-    for r in counted:
-        per_column.setdefault(r["column"], {})[r["value"]] = r["n"]
-    wide += [c for c in narrow if len(set(per_column.get(c, {})) - {None}) > HIGH_CARDINALITY]
-    found = sorted_levels([(c, v) for c in nominal for v in per_column.get(c, {})])
-
-    removed = [
-        c for c in rows.columns
-        if c not in keep and (c in static_drops(rows.columns) or c in single or c in wide)
-    ]
-    kept = [c for c in rows.columns if c not in removed]
-    missing = [c for c in kept if seen[f"{c}__nulls"] > 0]
+    per_column = counted_levels(rows, sorted({*narrow, *nominal}))
+    known = {c: set(per_column.get(c, {})) - {None} for c in narrow}
+    wide += [c for c in narrow if len(known[c]) > HIGH_CARDINALITY]
+    single = [c for c in candidates
+              if (len(known[c]) <= 1 if c in known else seen.get(f"{c}__same", False) in (True, None))]
+
+    removed = [c for c in rows.columns if c in dropped or (c not in keep and c in {*single, *wide})]
+    missing = [c for c in candidates if c not in removed and seen[f"{c}__nulls"] > 0]
     numbers = [c for c in missing if c in numeric_columns(rows)]
     fills: dict[str, object] = dict(exact_medians(rows, numbers))
     for c in [c for c in missing if c not in numbers]:
         values = {v: n for v, n in per_column.get(c, {}).items() if v is not None}
         fills[c] = min(values, key=lambda v: (-values[v], v)) if values else FALLBACK_FILL
+    found = sorted_levels([(c, v) for c in nominal for v in per_column.get(c, {})])
     return FeaturePipeline(
         OneHotLevels({c: found[c] for c in nominal if c in found}), removed, FillValues(fills),
         order, {"rows": seen["__rows"], "default_rate": seen["__target"]})
 
 
+def counted_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str | None, int]]:
+    """Counts per column and level on the driver; an error when they are too many to be levels."""
+    if not columns:
+        return {}
+    rows = level_counts(df, columns).limit(MAX_LEVELS + 1).collect()
+    if len(rows) > MAX_LEVELS:
+        raise ValueError(f"more than {MAX_LEVELS} levels: not categories to encode as columns")
+    counts: dict[str, dict[str | None, int]] = {}
+    for r in rows:
+        counts.setdefault(r["column"], {})[r["value"]] = r["n"]
+    return counts
+
+
 def clean_and_select(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Fit on the batch and transform it."""
     return fit_pipeline(df, keep=keep).transform(df, keep)

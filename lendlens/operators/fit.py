@@ -21,6 +21,7 @@ from lendlens.operators.score import LinearModel, row_mean
 from lendlens.operators.split import stratified_subsample
 
 NEIGHBOUR_ROWS = 15_000
+BLOCK_ROWS = 128
 
 
 class Scorer(Protocol):
@@ -253,45 +254,44 @@ class NeighbourModel:
     def score(self, df: DataFrame, output: str) -> DataFrame:
         spark = df.sparkSession
         shared = spark.sparkContext.broadcast((self.points, self.labels))
-        features, k, by_distance = self.features, self.k, self.by_distance
+        features, vote = self.features, _voter(self.k, self.by_distance)
 
         def neighbours(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             points, labels = shared.value
             for frame in frames:
                 rows = frame[features].to_numpy("float64")
-                result = np.empty(len(frame))
-                for start in range(0, len(rows), 128):
-                    block = rows[start:start + 128]
-                    result[start:start + 128] = _vote(_distances(block, points), labels, k, by_distance)
-                yield frame.assign(**{output: result})
+                blocks = [vote(rows[i:i + BLOCK_ROWS], points, labels)
+                          for i in range(0, len(rows), BLOCK_ROWS)]
+                yield frame.assign(**{output: np.concatenate(blocks) if blocks else np.empty(0)})
 
         schema = df.select("*", F.lit(0.0).alias(output)).schema
         return df.mapInPandas(neighbours, schema)
 
 
-def _distances(block: np.ndarray, points: np.ndarray) -> np.ndarray:
-    total = np.zeros((len(block), len(points)))
-    for column in range(points.shape[1]):
-        gap = block[:, column, None] - points[None, :, column]
-        total += gap * gap
-    return np.sqrt(total)
-
-
-def _vote(distances: np.ndarray, labels: np.ndarray, k: int, by_distance: bool) -> np.ndarray:
-    """Mean label of the k nearest; equal distances go to the earlier point."""
-    k = min(k, distances.shape[1])
-    limit = np.partition(distances, k - 1, axis=1)[:, k - 1:k]
-    closer = distances < limit
-    at_limit = distances == limit
-    room = k - closer.sum(axis=1, keepdims=True)
-    chosen = closer | (at_limit & (np.cumsum(at_limit, axis=1) <= room))
-    if not by_distance:
-        return (chosen * labels).sum(axis=1) / k
-    exact = chosen & (distances == 0)
-    with np.errstate(divide="ignore"):
-        weights = np.where(chosen, 1.0 / distances, 0.0)
-    weights = np.where(exact.any(axis=1, keepdims=True), exact.astype("float64"), weights)
-    return (weights * labels).sum(axis=1) / weights.sum(axis=1)
+def _voter(k: int, by_distance: bool):
+    """The vote as a closure, so that it travels to the tasks by value."""
+
+    def vote(block: np.ndarray, points: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """Mean label of the k nearest; equal distances go to the earlier point."""
+        distances = np.zeros((len(block), len(points)))
+        for column in range(points.shape[1]):
+            gap = block[:, column, None] - points[None, :, column]
+            distances += gap * gap
+        distances = np.sqrt(distances)
+        near = min(k, distances.shape[1])
+        limit = np.partition(distances, near - 1, axis=1)[:, near - 1:near]
+        closer, at_limit = distances < limit, distances == limit
+        room = near - closer.sum(axis=1, keepdims=True)
+        chosen = closer | (at_limit & (np.cumsum(at_limit, axis=1) <= room))
+        if not by_distance:
+            return (chosen * labels).sum(axis=1) / near
+        exact = chosen & (distances == 0)
+        with np.errstate(divide="ignore"):
+            weights = np.where(chosen, 1.0 / distances, 0.0)
+        weights = np.where(exact.any(axis=1, keepdims=True), exact.astype("float64"), weights)
+        return (weights * labels).sum(axis=1) / weights.sum(axis=1)
+
+    return vote
 
 
 def fit_neighbours(df: DataFrame, features: Sequence[str], label: str, row_id: str, k: int = 5,

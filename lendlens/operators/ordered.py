@@ -13,22 +13,21 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 2_000
+MAX_RANGES = 1_000
 
 
 def cut_points(df: DataFrame, value: str, rows_per_range: float = ROWS_PER_RANGE) -> list[float]:
     """Boundaries that split the values into similar parts; any boundaries give right results."""
-    accuracy = 4 * MAX_RANGES
-    grid = [i / MAX_RANGES for i in range(1, MAX_RANGES)]
-    found = df.agg(
-        F.count(value).alias("n"),
-        F.percentile_approx(F.col(value).cast("double"), grid, accuracy).alias("grid"),
+    grid = ", ".join(f"{i / MAX_RANGES}D" for i in range(1, MAX_RANGES))
+    found = df.select(F.col(value).cast("double").alias("v")).agg(
+        F.count("v").alias("n"),
+        F.expr(f"percentile_approx(v, array({grid}), {4 * MAX_RANGES})").alias("grid"),
     ).first()
     ranges = int(min(MAX_RANGES, -(-found["n"] // rows_per_range)))
     if ranges <= 1:
         return []
     step = MAX_RANGES / ranges
-    return sorted({found["grid"][min(len(grid) - 1, int(i * step))] for i in range(1, ranges)})
+    return sorted({found["grid"][min(MAX_RANGES - 2, int(i * step))] for i in range(1, ranges)})
 
 
 def with_range(df: DataFrame, value: str, rows_per_range: int = ROWS_PER_RANGE,

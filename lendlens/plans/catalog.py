@@ -726,15 +726,14 @@ def _(spark, folder):
     return scored.select(ROW_ID, "knn_uniform", "knn_distance")
 
 
-@query("score_linear", margin=5)
+@query("score_linear")
 def _(spark, folder):
     return sc.score_linear(X_(spark, folder), fixed_models(spark), [ROW_ID])
 
 
 @query("decision_to_probability")
 def _(spark, folder):
-    scored = sc.score_linear(
-        X_(spark, folder).withColumn("amount", F.col("amount") / 1e6), fixed_models(spark), [ROW_ID])
+    scored = sc.score_linear(X_(spark, folder), fixed_models(spark), [ROW_ID])
     return sc.decision_to_probability(scored).select(ROW_ID, "model_name", "score")
 
 
@@ -877,18 +876,14 @@ def _(spark, folder):
 @query("permutation_importance")
 def _(spark, folder):
     model = next(m for m in fixed_models(spark) if m.name == "ridge")
-    rows = X_(spark, folder).withColumn("amount", F.col("amount") / 1e6)
-    return importance.permutation_importance(rows, model, ROW_ID, LABEL, repeats=3)
+    return importance.permutation_importance(X_(spark, folder), model, ROW_ID, LABEL, repeats=3)
 
 
 def _shadow(spark, folder) -> DataFrame:
     """Model scores next to what the rules and the costs need."""
-    keep = (ROW_ID, "risk_level")
-    rows = fitted(spark, folder).transform(T_(spark, folder), keep)
-    dollars = F.col("amount")
-    scored = sc.shadow_score(rows.withColumns({"dollars": dollars, "amount": dollars / 1e6}),
-                             fixed_models(spark), "ridge")
-    return scored.withColumns({"amount": F.col("dollars"), LABEL: F.col(LABEL) == 1})
+    rows = fitted(spark, folder).transform(T_(spark, folder), (ROW_ID, "risk_level"))
+    scored = sc.shadow_score(rows, fixed_models(spark), "ridge")
+    return scored.withColumn(LABEL, F.col(LABEL) == 1)
 
 
 @query("shadow_score")

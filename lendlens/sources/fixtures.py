@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lendlens.functions.numeric import safe_corr
-from lendlens.sources.tables import read_table
+from lendlens.sources.tables import read_table, spread
 
 K, C = "o_orderkey", "c_custkey"
 SCORE = f"(({K}*37)%101)"
@@ -106,13 +106,21 @@ MODEL_FEATURES = [
 INTERCEPT = "__intercept__"
 
 
+# Binary scales that bring wide-ranging features near 1.
+COEFFICIENT_SCALES = {
+    "amount": 2.0 ** -20, "customer_tenure_days": 2.0 ** -10,
+    "payment_credit_limit": 2.0 ** -12, "price_comparison_time": 2.0 ** -6,
+}
+
+
 def coefficient_rows() -> list[tuple[str, str, str, str, str, float]]:
-    """(domain, model, version, role, feature, coefficient); multiples of 1/64."""
+    """(domain, model, version, role, feature, coefficient); multiples of 1/64, scaled in binary."""
     rows = []
     for m, (model, role) in enumerate(
             [("ridge", "champion"), ("logistic", "challenger"), ("elastic", "challenger")]):
         for i, feature in enumerate(MODEL_FEATURES):
-            rows.append(("bnpl", model, "v0.1.0", role, feature, ((i * 7 + m * 5) % 23 - 11) / 64))
+            weight = ((i * 7 + m * 5) % 23 - 11) / 64 * COEFFICIENT_SCALES.get(feature, 1.0)
+            rows.append(("bnpl", model, "v0.1.0", role, feature, weight))
         rows.append(("bnpl", model, "v0.1.0", role, INTERCEPT, -(96 + 8 * m) / 64))
     return rows
 
@@ -123,7 +131,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def transactions(spark: SparkSession, folder: str) -> DataFrame:
     rows = (
-        _table(spark, folder, "orders")
+        spread(_table(spark, folder, "orders"))
         .join(_table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(_table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     )
@@ -135,7 +143,7 @@ def transactions(spark: SparkSession, folder: str) -> DataFrame:
 
 def payments(spark: SparkSession, folder: str) -> DataFrame:
     rows = (
-        _table(spark, folder, "lineitem")
+        spread(_table(spark, folder, "lineitem"))
         .join(_table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(_table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     )
