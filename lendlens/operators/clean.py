@@ -15,7 +15,7 @@ from lendlens.functions.numeric import half_even, parse_number
 from lendlens.operators.encode import (
     MAX_LEVELS, OneHotLevels, bool_to_int, level_counts, ordinal_encode, sorted_levels,
 )
-from lendlens.operators.ordered import exact_quantiles, unpivot_numeric
+from lendlens.operators.ordered import ROWS_PER_RANGE, exact_quantiles, unpivot_numeric
 from lendlens.operators.temporal import temporal_features
 from lendlens.session import with_scalars
 
@@ -101,11 +101,13 @@ def drop_columns(df: DataFrame, extra: Sequence[str] = (), keep: Sequence[str] =
     return df.drop(*[c for c in [*static_drops(df.columns), *extra] if c not in keep])
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+def exact_medians(df: DataFrame, columns: Sequence[str], rows: int | None = None) -> dict[str, float | None]:
+    """Medians by column; a known small number of rows spares the search for cut points."""
     if not columns:
         return {}
+    points = [] if rows is not None and rows * len(columns) <= ROWS_PER_RANGE else None
     cells = unpivot_numeric(df, columns)
-    rows = exact_quantiles(cells, "value", {"median": 0.5}, ["column"]).collect()
+    rows = exact_quantiles(cells, "value", {"median": 0.5}, ["column"], points=points).collect()
     return {r["column"]: r["median"] for r in rows}
 
 
@@ -148,13 +150,14 @@ def impute_fit(df: DataFrame, columns: Sequence[str] | None = None) -> FillValue
     columns = list(columns or df.columns)
     if not columns:
         return FillValues({})
-    nulls = df.agg(*[null_count(c).alias(c) for c in columns]).first().asDict()
+    nulls = df.agg(F.count(F.lit(1)).alias("__rows"), *[null_count(c).alias(c) for c in columns]
+                   ).first().asDict()
     missing = [c for c in columns if nulls[c] > 0]
     numbers = [c for c in missing if c in numeric_columns(df)]
     others = [c for c in missing if c not in numbers]
     common = modes(df, others)
     return FillValues({
-        **exact_medians(df, numbers), **{c: common.get(c, FALLBACK_FILL) for c in others}
+        **exact_medians(df, numbers, nulls["__rows"]), **{c: common.get(c, FALLBACK_FILL) for c in others}
     })
 
 
@@ -224,7 +227,7 @@ def fit_pipeline(df: DataFrame, order: str = "reference", keep: Sequence[str] =
     removed = [c for c in rows.columns if c in dropped or (c not in keep and c in {*single, *wide})]
     missing = [c for c in candidates if c not in removed and seen[f"{c}__nulls"] > 0]
     numbers = [c for c in missing if c in numeric_columns(rows)]
-    fills: dict[str, object] = dict(exact_medians(rows, numbers))
+    fills: dict[str, object] = dict(exact_medians(rows, numbers, seen["__rows"]))
     for c in [c for c in missing if c not in numbers]:
         values = {v: n for v, n in per_column.get(c, {}).items() if v is not None}
         fills[c] = min(values, key=lambda v: (-values[v], v)) if values else FALLBACK_FILL

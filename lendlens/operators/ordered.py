@@ -75,11 +75,11 @@ def running_totals(ranged: DataFrame, order: Sequence[Column], sums: dict[str, s
 
 
 def value_totals(df: DataFrame, value: str, by: Sequence[str] = (),
-                 rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+                 rows_per_range: int = ROWS_PER_RANGE, points: list[float] | None = None) -> DataFrame:
     """One row per group and distinct value: its count ``n``, the running count ``upto``
     and the group size ``size``."""
     known = df.where(F.col(value).isNotNull())
-    counts = with_range(known, value, rows_per_range).groupBy(*by, "range_id", value).agg(
+    counts = with_range(known, value, rows_per_range, points).groupBy(*by, "range_id", value).agg(
         F.count(F.lit(1)).alias("n"))
     return running_totals(counts, [F.asc(value)], {"n": "upto"}, by, group_totals={"n": "size"})
 
@@ -96,10 +96,11 @@ def quantile_parts(name: str, p: float, value: Column) -> tuple[list[Column], Co
 
 
 def exact_quantiles(df: DataFrame, value: str, probabilities: dict[str, float],
-                    by: Sequence[str] = (), rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+                    by: Sequence[str] = (), rows_per_range: int = ROWS_PER_RANGE,
+                    points: list[float] | None = None) -> DataFrame:
     """Linearly interpolated quantiles, one column per named probability."""
     by = list(by)
-    totals = value_totals(df.select(*by, value), value, by, rows_per_range)
+    totals = value_totals(df.select(*by, value), value, by, rows_per_range, points)
     aggregates, results = [], []
     for name, p in probabilities.items():
         parts, result = quantile_parts(name, p, F.col(value).cast("double"))

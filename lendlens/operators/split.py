@@ -1,99 +1,131 @@
 """Stratified splits, folds and subsamples by a seeded fingerprint order.
 
-Exact sizes come from a few cut keys per stratum: fingerprints are counted by their
-leading digits, the cut is located in one of those buckets, and only that bucket is
-ordered. The rows themselves are never sorted or shuffled.
+Exact sizes come from a few cut keys per stratum. They are found digit by digit: rows are
+counted by the leading digits of their fingerprint, which narrows each cut to one prefix,
+until the rows left under that prefix are few enough to be ordered. The rows themselves
+are never sorted, joined or shuffled; the split is a comparison with literals.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lendlens.functions.hashing import key_bucket, order_key
-from lendlens.session import small_table
+from lendlens.functions.hashing import order_key
 
-BUCKET_DIGITS = 4
+DIGITS = 3
+MAX_STRATA = 1_000
+ORDERED_ROWS = 200_000
+
+# From the sizes of the strata, in order of stratum, to the wanted ranks of each.
+Ranks = Callable[[dict], dict]
 
 
 def _keyed(df: DataFrame, row_id: str, seed: int) -> DataFrame:
     return df.withColumn("__key", order_key(seed, F.col(row_id)))
 
 
-def cut_keys(df: DataFrame, stratum: str, row_id: str, seed: int,
-             ranks: Callable[[Column, Column, Column], list[Column]]) -> DataFrame:
-    """(stratum, cuts): the keys at the wanted ranks of each stratum, in rank order.
-
-    ``ranks`` gets the stratum size, the size of all strata before it and the total.
-    """
-    keyed = _keyed(df.select(stratum, row_id), row_id, seed).withColumn(
-        "__bucket", key_bucket(F.col("__key"), BUCKET_DIGITS))
-    counts = keyed.groupBy(stratum, "__bucket").agg(F.count(F.lit(1)).alias("n"))
-    # From here on at most 16 ** BUCKET_DIGITS rows per stratum.
-    inside = Window.partitionBy(stratum).orderBy("__bucket").rowsBetween(
-        Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(stratum)
-    buckets = counts.select(
-        stratum, "__bucket", "n", F.sum("n").over(inside).alias("upto"),
-        F.sum("n").over(whole).alias("size"))
-    sizes = counts.groupBy(stratum).agg(F.sum("n").alias("size"))
-    earlier = Window.orderBy(stratum).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    strata = sizes.select(
-        stratum, "size", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"),
-        F.sum("size").over(everything).alias("total"))
-    wanted = strata.select(stratum, F.posexplode(F.array(*[
-        r.cast("long") for r in ranks(F.col("size"), F.col("before"), F.col("total"))
-    ])).alias("cut", "rank"))
-    located = small_table(
-        buckets.join(wanted, stratum)
-        .where((F.col("rank") > F.col("upto") - F.col("n")) & (F.col("rank") <= F.col("upto")))
-        .select(stratum, "__bucket", "cut", (F.col("rank") - F.col("upto") + F.col("n")).alias("place")))
-    order = Window.partitionBy(stratum, "__bucket").orderBy("__key", row_id)
-    ranked = keyed.join(
-        located.select(stratum, "__bucket").distinct(), [stratum, "__bucket"], "left_semi"
-    ).withColumn("place", F.row_number().over(order))
-    found = ranked.join(located, [stratum, "__bucket", "place"])
-    return small_table(found.groupBy(stratum).agg(
-        F.sort_array(F.collect_list(F.struct("cut", "__key"))).alias("found")
-    ).select(stratum, F.col("found.__key").alias("cuts")))
-
-
-def _parts_passed(df: DataFrame, stratum: str, row_id: str, seed: int, cuts: DataFrame) -> DataFrame:
-    """Adds ``__passed``: how many cut keys lie before the row."""
-    keyed = _keyed(df, row_id, seed).join(cuts, stratum, "left")
-    passed = F.size(F.filter(F.coalesce("cuts", F.array().cast("array<string>")),
-                             lambda c: c < F.col("__key")))
-    return keyed.withColumn("__passed", passed).drop("__key", "cuts")
+def _prefix_counts(keyed: DataFrame, stratum: str, digits: int, within: Sequence[str] = ()) -> dict:
+    """Rows per stratum and key prefix; at most 16 ** DIGITS prefixes below each known one."""
+    rows = keyed
+    if within:
+        rows = rows.where(F.substring("__key", 1, len(within[0])).isin(list(within)))
+    counts = rows.groupBy(stratum, F.substring("__key", 1, digits).alias("prefix")).agg(
+        F.count(F.lit(1)).alias("n"))
+    table: dict = {}
+    for r in counts.collect():
+        table.setdefault(r[stratum], {})[r["prefix"]] = r["n"]
+        if len(table) > MAX_STRATA:
+            raise ValueError(f"more than {MAX_STRATA} strata")
+    return table
+
+
+def _descend(counts: dict[str, int], prefix: str, rank: int) -> tuple[str, int]:
+    """The longer prefix that holds the rank, and the rank inside it."""
+    for found in sorted(p for p in counts if p.startswith(prefix)):
+        if rank <= counts[found]:
+            return found, rank
+        rank -= counts[found]
+    raise ValueError("rank beyond the stratum")
+
+
+def cut_keys(df: DataFrame, stratum: str, row_id: str, seed: int, ranks: Ranks,
+             ordered_rows: int = ORDERED_ROWS) -> dict[object, list[str]]:
+    """Per stratum the keys at the wanted ranks; rank 0 gives the empty key before all rows."""
+    keyed = _keyed(df.select(stratum, row_id), row_id, seed)
+    counts = _prefix_counts(keyed, stratum, DIGITS)
+    strata = sorted(counts, key=lambda s: (s is not None, s))
+    sizes = {s: sum(counts[s].values()) for s in strata}
+    places = {(s, i): ("", rank) for s, rs in ranks(sizes).items() for i, rank in enumerate(rs) if rank > 0}
+    digits = DIGITS
+    while True:
+        places = {(s, i): _descend(counts[s], prefix, rank) for (s, i), (prefix, rank) in places.items()}
+        if digits >= 32 or all(counts[s][prefix] <= ordered_rows for (s, _), (prefix, _) in places.items()):
+            break
+        digits = min(32, digits + DIGITS)
+        counts = _prefix_counts(keyed, stratum, digits, sorted({p for p, _ in places.values()}))
+    keys = _keys_at(keyed, stratum, row_id, places)
+    return {s: [keys.get((s, i), "") for i in range(len(rs))] for s, rs in ranks(sizes).items()}
+
+
+def _keys_at(keyed: DataFrame, stratum: str, row_id: str, places: dict) -> dict:
+    if not places:
+        return {}
+    digits = len(next(iter(places.values()))[0])
+    prefix = F.substring("__key", 1, digits)
+    order = Window.partitionBy(stratum, "prefix").orderBy("__key", row_id)
+    few = keyed.withColumn("prefix", prefix).where(
+        F.col("prefix").isin(sorted({p for p, _ in places.values()})))
+    ranked = few.withColumn("place", F.row_number().over(order)).where(
+        F.col("place").isin(sorted({rank for _, rank in places.values()})))
+    found = {(r[stratum], r["prefix"], r["place"]): r["__key"] for r in ranked.collect()}
+    return {(s, i): found[s, p, rank] for (s, i), (p, rank) in places.items()}
+
+
+def parts_passed(stratum: str, row_id: str, seed: int, cuts: dict[object, list[str]]) -> Column:
+    """How many cut keys of its stratum lie before the row."""
+    key = order_key(seed, F.col(row_id))
+    passed = F.lit(0)
+    for value, keys in cuts.items():
+        here = F.col(stratum).isNull() if value is None else F.col(stratum) == F.lit(value)
+        count = F.lit(0)
+        for cut in keys:
+            count = count + (key > F.lit(cut)).cast("int")
+        passed = F.when(here, count).otherwise(passed)
+    return passed
 
 
 def stratified_split(df: DataFrame, stratum: str = "will_default", row_id: str = "transaction_id",
                      test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds ``is_test``: the first rounded-up share of every stratum in fingerprint order."""
-    cuts = cut_keys(df, stratum, row_id, seed, lambda n, before, total: [F.ceil(n * F.lit(test_size))])
-    return _parts_passed(df, stratum, row_id, seed, cuts).withColumn(
-        "is_test", F.col("__passed") == 0).drop("__passed")
+    def test_rows(sizes: dict) -> dict:
+        return {s: [-int(-(n * test_size) // 1)] for s, n in sizes.items()}
+
+    cuts = cut_keys(df, stratum, row_id, seed, test_rows)
+    return df.withColumn("is_test", parts_passed(stratum, row_id, seed, cuts) == 0)
 
 
 def stratified_folds(df: DataFrame, folds: int = 5, stratum: str = "will_default",
                      row_id: str = "transaction_id", seed: int = 42) -> DataFrame:
     """Adds ``fold`` 0..folds-1: equal runs of the fingerprint order within every stratum."""
-    cuts = cut_keys(df, stratum, row_id, seed, lambda n, before, total: [
-        F.floor(n * F.lit(i) / F.lit(folds)) for i in range(1, folds)])
-    # A stratum smaller than the number of folds has ranks of zero, which no row carries.
-    return _parts_passed(df, stratum, row_id, seed, cuts).withColumnRenamed("__passed", "fold")
+    def edges(sizes: dict) -> dict:
+        return {s: [n * i // folds for i in range(1, folds)] for s, n in sizes.items()}
+
+    cuts = cut_keys(df, stratum, row_id, seed, edges)
+    return df.withColumn("fold", parts_passed(stratum, row_id, seed, cuts))
 
 
 def stratified_subsample(df: DataFrame, size: int, stratum: str = "will_default",
                          row_id: str = "transaction_id", seed: int = 42) -> DataFrame:
     """Exactly ``size`` rows (or all, if fewer), shared out in proportion to the strata."""
-    def share(n: Column, before: Column, total: Column) -> list[Column]:
-        kept = F.least(F.lit(size), total)
-        return [F.floor(kept * (before + n) / total) - F.floor(kept * before / total)]
-
-    cuts = cut_keys(df, stratum, row_id, seed, share)
-    # A stratum without a cut key got no share.
-    chosen = _parts_passed(df.join(cuts.select(stratum), stratum, "left_semi"),
-                           stratum, row_id, seed, cuts)
-    return chosen.where(F.col("__passed") == 0).drop("__passed")
+    def shares(sizes: dict) -> dict:
+        total, before, result = sum(sizes.values()), 0, {}
+        kept = min(size, total)
+        for s, n in sizes.items():
+            result[s] = [kept * (before + n) // total - kept * before // total]
+            before += n
+        return result
+
+    cuts = cut_keys(df, stratum, row_id, seed, shares)
+    return df.where(parts_passed(stratum, row_id, seed, cuts) == 0)

@@ -27,7 +27,10 @@ def oracle(name: str, body: str, doubles: str = "", views: dict[str, str] | None
     parts = []
     for item in doubles.split():
         column, _, digits = item.partition(":")
-        parts.append(f'round(CAST("{column}" AS DOUBLE), {digits or 6}) + 0.0 AS "{column}"')
+        scale = f"1e{digits or 6}"
+        x = f'CAST("{column}" AS DOUBLE)'
+        parts.append(f'CASE WHEN abs({x}) < 1e12 THEN floor({x} * {scale} + CAST(0.501 AS DOUBLE)) / {scale} '
+                     f'ELSE {x} END AS "{column}"')
     extra = views or {}
     replace = f" REPLACE ({', '.join(parts)})" if parts else ""
     used = needed(" ".join([body, *extra.values()]))
