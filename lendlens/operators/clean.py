@@ -269,5 +269,5 @@ def feature_metadata(pipeline: FeaturePipeline, features: DataFrame, source: Dat
         rows, "feature string, kind string, is_target boolean, removed boolean")
     customers = source.agg(F.count_distinct(customer).alias("unique_customers"))
     return with_scalars(listed, customers).select(
-        "*", F.lit(pipeline.statistics["rows"]).alias("total_transactions"),
+        "*", F.lit(pipeline.statistics["rows"]).cast("long").alias("total_transactions"),
         F.lit(pipeline.statistics["default_rate"]).alias("default_rate"))

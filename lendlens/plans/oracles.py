@@ -726,3 +726,18 @@ oracle("stream_kpi_window", "SELECT * FROM (SELECT date_trunc('day', ts) AS peri
        "INTERVAL 1 DAY AS period_end, event_type, count(*) AS events, avg(value) AS mean_value, "
        "avg(CAST(value > 0 AS INTEGER)) AS positive_rate FROM events GROUP BY 1, 2, 3) WHERE period_end <= "
        "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)", "mean_value positive_rate")
+
+# Feature metadata: kept features are numeric after encoding; the rest is listed as removed.
+
+KEPT = ["amount", "days_to_first_missed_payment", *[f for f in MATRIX if f != "amount"]]
+REMOVED = [
+    "customer_id", "transaction_id", "transaction_timestamp", "customer_state", "product_price", "payment_type",
+    "time_on_site_seconds", *ORDINAL_LEVELS, *NOMINAL_COLUMNS, "transaction_hour", "transaction_day_of_week",
+    "transaction_month", "transaction_day_of_month",
+]
+oracle("feature_metadata", "SELECT feature, kind, is_target, removed, (SELECT count(DISTINCT customer_id) FROM T) AS "
+       f"unique_customers, (SELECT count(*) FROM T) AS total_transactions, (SELECT avg({BAD}) FROM T) AS default_rate FROM ("
+       + " UNION ALL ".join(
+           [f"SELECT '{f}' AS feature, 'numeric' AS kind, false AS is_target, false AS removed" for f in KEPT]
+           + ["SELECT 'will_default', 'numeric', true, false"]
+           + [f"SELECT '{f}', NULL, false, true" for f in REMOVED]) + ")", "default_rate")
