@@ -18,6 +18,7 @@ from lendlens.operators.encode import (
 from lendlens.operators.ordered import ROWS_PER_RANGE, exact_quantiles, unpivot_numeric
 from lendlens.operators.temporal import temporal_features
 from lendlens.session import with_scalars
+from lendlens.sources.transactions import load_transactions
 
 # Above this estimate a column is surely beyond the cut; below it the count is taken exactly.
 SURE_FACTOR = 3
@@ -255,6 +256,17 @@ def clean_and_select(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return fit_pipeline(df, keep=keep).transform(df, keep)
 
 
+def engineer_features(df: DataFrame, sample_size: int | None = None, seed: int = 42,
+                      renames: dict[str, str] | None = None) -> tuple[DataFrame, FeaturePipeline]:
+    """The whole row-level pipeline: load, optionally sample customers, fit, transform.
+
+    Returns the features and the fitted pipeline, which transforms later rows alike.
+    """
+    rows = load_transactions(df, sample_size, seed, renames, ordered=False)
+    pipeline = fit_pipeline(rows)
+    return pipeline.transform(rows), pipeline
+
+
 def feature_metadata(pipeline: FeaturePipeline, features: DataFrame, source: DataFrame,
                      customer: str = "customer_id") -> DataFrame:
     """One row per kept or removed feature, with the row count, customers and default rate."""

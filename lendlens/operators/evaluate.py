@@ -17,8 +17,9 @@ from lendlens.constants import (
 )
 from lendlens.functions.numeric import half_even, ratio
 from lendlens.operators.ordered import (
-    ROWS_PER_RANGE, quantile_parts, running_totals, with_range,
+    ROWS_PER_RANGE, collapsed_ranges, quantile_parts, running_totals,
 )
+from lendlens.session import small_table
 
 MODEL = ("model_name",)
 PRECISION_TARGETS = (0.90, 0.95, 0.98)
@@ -36,11 +37,11 @@ def score_curve(scores: DataFrame, by: Sequence[str] = MODEL, label: str = "labe
     ``points`` are known cut points of the score, which spare a pass to find them.
     """
     rows = scores.select(*by, F.col(label).cast("int").alias("label"), F.col(score).alias("score"))
-    ranged = with_range(rows.where(F.col("score").isNotNull()), "score", rows_per_range, points)
-    counts = ranged.groupBy(*by, "range_id", "score").agg(
+    counts = rows.where(F.col("score").isNotNull()).groupBy(*by, "score").agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
+    ranged = collapsed_ranges(counts, "score", rows_per_range, points)
     curve = running_totals(
-        counts, [F.desc("score")], {"n": "above", "pos": "tp"}, by, descending=True,
+        ranged, [F.desc("score")], {"n": "above", "pos": "tp"}, by, descending=True,
         group_totals={"n": "size", "pos": "positives"})
     return curve.select(
         *by, "score", "n", "pos", "above", "tp", "size", "positives",
@@ -240,9 +241,13 @@ def tertile() -> Column:
 
 def score_tertiles(scores: DataFrame, curve: DataFrame, by: Sequence[str] = MODEL,
                    score: str = "score") -> DataFrame:
-    """Each scored row with its quantile third."""
-    segments = curve.select(*by, F.col("score").alias(score), tertile().alias("segment"))
-    return scores.join(segments, [*by, score])
+    """Each scored row with its quantile third, by the highest score of the lower two."""
+    tops = small_table(curve.groupBy(*by).agg(
+        F.max(F.when(at_most_quantile(1 / 3), F.col("score"))).alias("__low"),
+        F.max(F.when(at_most_quantile(2 / 3), F.col("score"))).alias("__medium")))
+    x = F.col(score)
+    segment = F.when(x <= F.col("__low"), "Low").when(x <= F.col("__medium"), "Medium").otherwise("High")
+    return scores.join(tops, list(by)).withColumn("segment", segment).drop("__low", "__medium")
 
 
 def segment_tertiles(curve: DataFrame, by: Sequence[str] = MODEL) -> DataFrame:

@@ -272,24 +272,29 @@ def _voter(k: int, by_distance: bool):
     """The vote as a closure, so that it travels to the tasks by value."""
 
     def vote(block: np.ndarray, points: np.ndarray, labels: np.ndarray) -> np.ndarray:
-        """Mean label of the k nearest; equal distances go to the earlier point."""
-        distances = np.zeros((len(block), len(points)))
-        for column in range(points.shape[1]):
-            gap = block[:, column, None] - points[None, :, column]
-            distances += gap * gap
-        distances = np.sqrt(distances)
-        near = min(k, distances.shape[1])
-        limit = np.partition(distances, near - 1, axis=1)[:, near - 1:near]
-        closer, at_limit = distances < limit, distances == limit
-        room = near - closer.sum(axis=1, keepdims=True)
-        chosen = closer | (at_limit & (np.cumsum(at_limit, axis=1) <= room))
-        if not by_distance:
-            return (chosen * labels).sum(axis=1) / near
-        exact = chosen & (distances == 0)
-        with np.errstate(divide="ignore"):
-            weights = np.where(chosen, 1.0 / distances, 0.0)
-        weights = np.where(exact.any(axis=1, keepdims=True), exact.astype("float64"), weights)
-        return (weights * labels).sum(axis=1) / weights.sum(axis=1)
+        """Mean label of the k nearest; equal distances go to the earlier point.
+
+        A matrix product finds the candidates with a margin for its rounding; the
+        distances that count are taken exactly, for the candidates only.
+        """
+        near = min(k, len(points))
+        sizes = (block ** 2).sum(axis=1)[:, None] + (points ** 2).sum(axis=1)[None, :]
+        rough = sizes - 2.0 * (block @ points.T)
+        limit = np.partition(rough, near - 1, axis=1)[:, near - 1]
+        margin = 1e-9 * sizes.max(axis=1)
+        result = np.empty(len(block))
+        for i, row in enumerate(block):
+            candidates = np.flatnonzero(rough[i] <= limit[i] + margin[i])
+            exact = np.sqrt(((points[candidates] - row) ** 2).sum(axis=1))
+            chosen = np.argsort(exact, kind="stable")[:near]
+            nearest, distances = labels[candidates[chosen]], exact[chosen]
+            if by_distance and distances[0] == 0:
+                result[i] = nearest[distances == 0].mean()
+            elif by_distance:
+                result[i] = np.average(nearest, weights=1.0 / distances)
+            else:
+                result[i] = nearest.mean()
+        return result
 
     return vote
 

@@ -67,7 +67,7 @@ def join_importances(left: DataFrame, right: DataFrame, on: str = "feature") ->
 def hash_ranks(df: DataFrame, row_id: str, seed: int) -> DataFrame:
     """Adds ``place`` 1..n in fingerprint order and the table size, without a global sort."""
     keyed = df.withColumn("__key", order_key(seed, F.col(row_id)))
-    ranged = keyed.withColumns({"range_id": key_bucket(F.col("__key")), "__one": F.lit(1).cast("long")})
+    ranged = keyed.withColumns({"range_id": key_bucket(F.col("__key"), 4), "__one": F.lit(1).cast("long")})
     ranked = running_totals(ranged, [F.asc("__key"), F.asc(row_id)], {"__one": "place"},
                             group_totals={"__one": "size"})
     return ranked.drop("__key", "__one", "range_id")

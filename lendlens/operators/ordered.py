@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lendlens.session import materialize
+
 ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 1_000
 
@@ -79,9 +81,21 @@ def value_totals(df: DataFrame, value: str, by: Sequence[str] = (),
     """One row per group and distinct value: its count ``n``, the running count ``upto``
     and the group size ``size``."""
     known = df.where(F.col(value).isNotNull())
-    counts = with_range(known, value, rows_per_range, points).groupBy(*by, "range_id", value).agg(
-        F.count(F.lit(1)).alias("n"))
-    return running_totals(counts, [F.asc(value)], {"n": "upto"}, by, group_totals={"n": "size"})
+    counts = known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    ranged = collapsed_ranges(counts, value, rows_per_range, points)
+    return running_totals(ranged, [F.asc(value)], {"n": "upto"}, by, group_totals={"n": "size"})
+
+
+def collapsed_ranges(counts: DataFrame, value: str, rows_per_range: int,
+                     points: list[float] | None) -> DataFrame:
+    """Counts per distinct value with their ranges.
+
+    Without known cut points the counts are written once, so the rows below them are read
+    only once; the cut points then balance distinct values, however often one occurs.
+    """
+    if points is not None:
+        return with_range(counts, value, rows_per_range, points)
+    return with_range(materialize(counts, "counts"), value, rows_per_range)
 
 
 def quantile_parts(name: str, p: float, value: Column) -> tuple[list[Column], Column]:

@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lendlens.functions.numeric import adjusted_skewness, half_even, safe_corr
-from lendlens.operators.clean import missing_report, numeric_columns
+from lendlens.operators.clean import (
+    SURE_FACTOR, estimated_cardinalities, missing_report, numeric_columns,
+)
 from lendlens.operators.encode import level_counts
 from lendlens.operators.ordered import exact_quantiles, unpivot_numeric
 from lendlens.session import small_table, with_scalars
@@ -55,8 +57,12 @@ def business_metrics(df: DataFrame, exact: bool = True) -> DataFrame:
 
 def categorical_candidates(df: DataFrame, max_ratio: float = 0.1, max_levels: int = 50,
                            examples: int = 5) -> DataFrame:
-    """Columns with few levels, with their most frequent values in order."""
-    counts = level_counts(df, df.columns)
+    """Columns with few levels, with their most frequent values in order.
+
+    Columns that are far beyond the limit by estimate are not counted value by value.
+    """
+    estimates = estimated_cardinalities(df, df.columns)
+    counts = level_counts(df, [c for c in df.columns if estimates[c] <= max_levels * SURE_FACTOR])
     columns = counts.groupBy("column").agg(
         F.count("value").alias("unique_count"), F.sum("n").alias("rows"))
     ratio = F.try_divide(F.col("unique_count").cast("double"), F.col("rows").cast("double"))

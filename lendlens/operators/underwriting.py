@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lendlens.constants import (
     RISK_LEVEL_ORDER, TARGET_DISCRIMINATION, TARGET_PRECISION,
 )
 from lendlens.functions.binning import equal_width_bin
 from lendlens.functions.numeric import half_even, ratio
-from lendlens.operators.ordered import exact_quantiles
+from lendlens.operators.ordered import exact_quantiles, running_totals, with_range
 from lendlens.session import small_table, with_scalars
 
 DEFAULTED = "will_default"
@@ -124,15 +124,22 @@ def repeat_customers(df: DataFrame, k: int = 10, customer: str = "customer_id")
 
 
 def customer_sequences(df: DataFrame, customers: int = 3, customer: str = "customer_id") -> DataFrame:
-    """All rows of the most active customers, numbered in time order."""
-    top = F.broadcast(topk_customers(df, customers, customer).select(customer))
-    order = Window.partitionBy(customer).orderBy("transaction_timestamp", "transaction_id")
-    span = Window.partitionBy(customer)
-    return df.join(top, customer).select(
-        customer, F.row_number().over(order).alias("position"), "transaction_timestamp",
-        "transaction_id", "amount", "risk_level", "risk_score", DEFAULTED,
-        F.min("transaction_timestamp").over(span).alias("first_seen"),
-        F.max("transaction_timestamp").over(span).alias("last_seen"))
+    """All rows of the most active customers, numbered in time order.
+
+    These customers may hold much of the table, so they are numbered by time ranges
+    rather than one task each.
+    """
+    top = small_table(topk_customers(df, customers, customer).select(customer))
+    rows = df.join(top, customer).select(
+        customer, "transaction_timestamp", "transaction_id", "amount", "risk_level", "risk_score",
+        DEFAULTED)
+    ranged = with_range(rows.withColumns({
+        "__time": F.unix_micros("transaction_timestamp"), "__one": F.lit(1).cast("long")}), "__time")
+    numbered = running_totals(
+        ranged, [F.asc("transaction_timestamp"), F.asc("transaction_id")], {"__one": "position"}, [customer])
+    spans = small_table(rows.groupBy(customer).agg(
+        F.min("transaction_timestamp").alias("first_seen"), F.max("transaction_timestamp").alias("last_seen")))
+    return numbered.join(spans, customer).drop("__time", "__one", "range_id")
 
 
 def _with_range(df: DataFrame, value: str) -> DataFrame:

@@ -13,7 +13,7 @@ from lendlens.operators import (
     score as sc, split, temporal, train, underwriting as uw,
 )
 from lendlens.operators.ordered import exact_quantiles
-from lendlens.session import materialize, new_folder, with_scalars
+from lendlens.session import materialize, new_folder, with_defaults, with_scalars
 from lendlens.sources import fixtures, sinks, transactions as tx
 from lendlens.streaming import jobs
 
@@ -44,7 +44,7 @@ def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
 def query(name: str, **digits: int) -> Callable[[Query], Query]:
     def add(function: Query) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return rounded(function(spark, folder), digits)
+            return rounded(function(with_defaults(spark), folder), digits)
         QUERIES[name] = run
         return function
     return add
@@ -247,8 +247,8 @@ def _(spark, folder):
 
 @query("engineer_features_row")
 def engineer_features_row(spark, folder):
-    rows = tx.load_transactions(T_(spark, folder), ordered=False)
-    return clean.clean_and_select(rows)
+    features, _ = clean.engineer_features(T_(spark, folder))
+    return features
 
 
 @query("model_matrix")

@@ -497,8 +497,8 @@ oracle("kpi_rates", f"SELECT CAST(date_trunc('month', transaction_timestamp) AS
 
 # Windows, sorting, sets
 
-oracle("customer_sequences", "SELECT customer_id, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY "
-       "transaction_timestamp, transaction_id) AS INTEGER) AS position, transaction_timestamp, transaction_id, amount, "
+oracle("customer_sequences", "SELECT customer_id, row_number() OVER (PARTITION BY customer_id ORDER BY "
+       "transaction_timestamp, transaction_id) AS position, transaction_timestamp, transaction_id, amount, "
        "risk_level, risk_score, will_default, min(transaction_timestamp) OVER (PARTITION BY customer_id) AS first_seen, "
        "max(transaction_timestamp) OVER (PARTITION BY customer_id) AS last_seen FROM T WHERE customer_id IN (SELECT "
        "customer_id FROM COUNTS ORDER BY transactions DESC, customer_id LIMIT 3)", "amount risk_score", COUNTS)

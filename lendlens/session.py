@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+# Runtime settings that are used unless the session sets its own.
+DEFAULTS = {
+    # Keeps the grouping by customer in memory; beyond it Spark sorts and spills.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",
+}
+
+
+def with_defaults(spark: SparkSession) -> SparkSession:
+    for key, value in DEFAULTS.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+    return spark
+
+
 def build_session(app: str = "lendlens", master: str | None = None, **conf: str) -> SparkSession:
     builder = (
         SparkSession.builder.appName(app)
@@ -20,7 +36,10 @@ def build_session(app: str = "lendlens", master: str | None = None, **conf: str)
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return with_defaults(builder.getOrCreate())
+
+
+_own_folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,9 +52,11 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="lendlens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if spark.sparkContext.applicationId not in _own_folders:
+        folder = tempfile.mkdtemp(prefix="lendlens-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_folders[spark.sparkContext.applicationId] = folder
+    return _own_folders[spark.sparkContext.applicationId]
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
