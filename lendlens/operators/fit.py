@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lendlens.functions.hashing import order_key
 from lendlens.operators.matrix import assemble
 from lendlens.operators.profile import column_means, gram_partials
-from lendlens.operators.score import LinearModel, row_mean
+from lendlens.operators.score import LinearModel, number, row_mean, sigmoid_sql
 from lendlens.operators.split import stratified_subsample
 
 NEIGHBOUR_ROWS = 15_000
@@ -44,24 +44,38 @@ class GramSums:
     products: dict[int, np.ndarray]
 
     def solve(self, name: str, alpha: float, parts: Sequence[int] | None = None,
-              fit_intercept: bool = True) -> LinearModel:
-        """Normal equations of the penalised squares over the chosen parts."""
+              fit_intercept: bool = True, scaled: Sequence[str] = ()) -> LinearModel:
+        """Normal equations of the penalised squares over the chosen parts.
+
+        ``scaled`` features are standardised first; the weights returned fit the raw values.
+        """
         chosen = [p for p in (self.counts if parts is None else parts) if p in self.counts]
         n = sum(self.counts[p] for p in chosen)
         total = sum(self.sums[p] for p in chosen)
-        product = sum(self.products[p] for p in chosen)
+        means = total / n + self.shifts
+        centre = sum(self.products[p] for p in chosen) - np.outer(total, total) / n
         width = len(self.columns) - 1
+        standard = np.array([c in scaled for c in self.columns[:width]] + [False])
+        spread = np.sqrt(np.maximum(np.diag(centre) / n, 0.0))
+        spread = np.where(standard & (spread > 0), spread, 1.0)
+        if not fit_intercept:
+            # Products about the origin of each column: its mean if standardised, else zero.
+            away = np.where(standard, 0.0, means)
+            centre = centre + n * np.outer(away, away)
+        square = centre / np.outer(spread, spread)
+        weights = np.linalg.solve(
+            square[:width, :width] + alpha * np.eye(width), square[:width, width]) / spread[:width]
         if fit_intercept:
-            centre = product - np.outer(total, total) / n
+            intercept = means[width] - weights @ means[:width]
         else:
-            # Undo the shift: sums of products of the raw values.
-            centre = (product + np.outer(total, self.shifts) + np.outer(self.shifts, total)
-                      + n * np.outer(self.shifts, self.shifts))
-        weights = np.linalg.solve(
-            centre[:width, :width] + alpha * np.eye(width), centre[:width, width])
-        means = total / n + self.shifts
-        intercept = float(means[width] - weights @ means[:width]) if fit_intercept else 0.0
-        return LinearModel(name, intercept, dict(zip(self.columns[:width], map(float, weights))))
+            intercept = -(weights @ np.where(standard, means, 0.0)[:width])
+        return LinearModel(name, float(intercept), dict(zip(self.columns[:width], map(float, weights))))
+
+    def held_out(self, name: str, alpha: float, folds: int, fit_intercept: bool = True,
+                 scaled: Sequence[str] = ()) -> list[LinearModel]:
+        """Per fold the model of all other folds, without another pass over the rows."""
+        return [self.solve(name, alpha, [f for f in range(folds) if f != fold], fit_intercept, scaled)
+                for fold in range(folds)]
 
 
 def gram_sums(df: DataFrame, features: Sequence[str], label: str, part: str | None = None) -> GramSums:
@@ -83,9 +97,14 @@ def gram_sums(df: DataFrame, features: Sequence[str], label: str, part: str | No
 
 
 def fit_ridge(df: DataFrame, features: Sequence[str], label: str, alpha: float = 1000.0,
-              fit_intercept: bool = True, name: str = "ridge") -> LinearModel:
+              fit_intercept: bool = True, scaled: Sequence[str] = (), name: str = "ridge") -> LinearModel:
     """Least squares on a +1/-1 target with an unpenalised intercept."""
-    return gram_sums(df, features, label).solve(name, alpha, fit_intercept=fit_intercept)
+    return gram_sums(df, features, label).solve(name, alpha, None, fit_intercept, scaled)
+
+
+def ridge_folds(df: DataFrame, features: Sequence[str], label: str, folds: int, alpha: float = 1000.0,
+                scaled: Sequence[str] = ()) -> list[LinearModel]:
+    return gram_sums(df, features, label, "fold").held_out("ridge", alpha, folds, scaled=scaled)
 
 
 # Logistic ------------------------------------------------------------------------------------
@@ -171,30 +190,53 @@ class BernoulliModel:
     linear: LinearModel
     binarize: float
 
+    def column_sql(self) -> str:
+        terms = [f"{number(w)} * CAST(`{f}` > {number(self.binarize)} AS double)"
+                 for f, w in self.linear.weights.items()]
+        return sigmoid_sql(" + ".join([number(self.linear.intercept), *terms]))
+
     def score(self, df: DataFrame, output: str) -> DataFrame:
-        flags = {f: (F.col(f) > self.binarize).cast("double") for f in self.linear.weights}
-        margin = F.lit(self.linear.intercept)
-        for f, w in self.linear.weights.items():
-            margin = margin + F.lit(w) * flags[f]
-        return df.withColumn(output, F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)))
+        return df.withColumn(output, F.expr(self.column_sql()))
+
+
+def _bernoulli_counts(df: DataFrame, features: Sequence[str], label: str, binarize: float,
+                      part: str | None = None) -> dict[tuple[int, int], np.ndarray]:
+    """Per part and class the rows and the positives of each feature, from one grouping."""
+    number = F.col(part).cast("int") if part else F.lit(0)
+    flags = [F.sum((F.col(f) > binarize).cast("long")).alias(f"c{i}") for i, f in enumerate(features)]
+    grouped = df.groupBy(number.alias("part"), F.col(label).cast("int").alias("class")).agg(
+        F.count(F.lit(1)).alias("rows"), *flags)
+    return {(r["part"], r["class"]): np.array(r[2:], dtype="float64") for r in grouped.collect()}
+
+
+def _bernoulli_model(good: np.ndarray, bad: np.ndarray, features: Sequence[str], alpha: float,
+                     binarize: float, fit_prior: bool) -> BernoulliModel:
+    if not (good[0] and bad[0]):
+        raise ValueError("both classes are needed")
+    on_good, on_bad = [(c[1:] + alpha) / (c[0] + 2 * alpha) for c in (good, bad)]
+    base = np.log1p(-on_bad) - np.log1p(-on_good)
+    weights = np.log(on_bad) - np.log(on_good) - base
+    prior = np.log(bad[0] / good[0]) if fit_prior else 0.0
+    linear = LinearModel("bernoulli_nb", float(prior + base.sum()), dict(zip(features, map(float, weights))))
+    return BernoulliModel(linear, binarize)
 
 
 def fit_bernoulli_nb(df: DataFrame, features: Sequence[str], label: str, alpha: float = 1.0,
                      binarize: float = 0.0, fit_prior: bool = True) -> BernoulliModel:
-    by_class: dict[int, dict] = {0: {}, 1: {}}
-    for r in bernoulli_nb_table(df, features, label, alpha, binarize).collect():
-        by_class[r["class"]][r["feature"]] = r
-    if not (by_class[0] and by_class[1]):
-        raise ValueError("both classes are needed")
-    good, bad = by_class[0], by_class[1]
-    first = features[0]
-    intercept = bad[first]["log_prior"] - good[first]["log_prior"] if fit_prior else 0.0
-    weights = {}
-    for f in features:
-        base = bad[f]["log_complement"] - good[f]["log_complement"]
-        intercept += base
-        weights[f] = bad[f]["log_probability"] - good[f]["log_probability"] - base
-    return BernoulliModel(LinearModel("bernoulli_nb", intercept, weights), binarize)
+    return bernoulli_folds(df, features, label, None, alpha, binarize, fit_prior)[0]
+
+
+def bernoulli_folds(df: DataFrame, features: Sequence[str], label: str, folds: int | None,
+                    alpha: float = 1.0, binarize: float = 0.0, fit_prior: bool = True) -> list[BernoulliModel]:
+    """Per fold the model of all other folds from one pass; without folds, the one of all rows."""
+    counts = _bernoulli_counts(df, features, label, binarize, "fold" if folds else None)
+    nothing = np.zeros(len(features) + 1)
+
+    def rows_of(label_value: int, left_out: int | None) -> np.ndarray:
+        return sum((c for (p, k), c in counts.items() if k == label_value and p != left_out), nothing)
+
+    return [_bernoulli_model(rows_of(0, fold), rows_of(1, fold), features, alpha, binarize, fit_prior)
+            for fold in (range(folds) if folds else [None])]
 
 
 # Bagging -------------------------------------------------------------------------------------

@@ -19,6 +19,15 @@ INTERCEPT = "__intercept__"
 MAX_COEFFICIENTS = 1_000_000
 
 
+def number(value: float) -> str:
+    """A double literal that keeps every bit."""
+    return f"({value!r}D)"
+
+
+def sigmoid_sql(margin: str) -> str:
+    return f"1D / (1D + exp(-({margin})))"
+
+
 @dataclass(frozen=True)
 class LinearModel:
     name: str
@@ -26,15 +35,18 @@ class LinearModel:
     weights: dict[str, float]
     probability: bool = True
 
+    def margin_sql(self) -> str:
+        terms = [f"{number(w)} * `{f}`" for f, w in self.weights.items() if w != 0.0]
+        return " + ".join([number(self.intercept), *terms])
+
+    def column_sql(self) -> str:
+        return sigmoid_sql(self.margin_sql()) if self.probability else self.margin_sql()
+
     def margin(self) -> Column:
-        total = F.lit(self.intercept)
-        for feature, weight in self.weights.items():
-            if weight != 0.0:
-                total = total + F.lit(weight) * F.col(feature)
-        return total
+        return F.expr(self.margin_sql())
 
     def score(self, df: DataFrame, output: str) -> DataFrame:
-        return df.withColumn(output, sigmoid(self.margin()) if self.probability else self.margin())
+        return df.withColumn(output, F.expr(self.column_sql()))
 
     def rows(self) -> list[tuple[str, str, float]]:
         return [*((self.name, f, w) for f, w in self.weights.items()),

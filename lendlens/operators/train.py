@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lendlens.operators.evaluate import roc_auc, score_curve
 from lendlens.operators.fit import Scorer, fit_logistic, gram_sums
@@ -20,11 +20,15 @@ Fit = Callable[[DataFrame], Scorer]
 
 @dataclass(frozen=True)
 class ModelSpec:
-    """A name, how to fit it, and whether it wants standardised features."""
+    """A name, how to fit it, and whether it wants standardised features.
+
+    ``fit_folds`` may give the models of all folds from one pass, as scoring expressions.
+    """
 
     name: str
     fit: Fit
     scaled: bool = False
+    fit_folds: Callable[[DataFrame, int], list] | None = None
 
 
 @dataclass(frozen=True)
@@ -55,13 +59,30 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def held_out_scores(df: DataFrame, spec: ModelSpec, label: str, folds: Sequence[int]) -> DataFrame:
-    """Every row scored by the model fitted on the other folds: (model_name, fold, label, score)."""
+def held_out_column(models: Sequence) -> Column:
+    """The score of a row by the model that did not see its fold."""
+    cases = " ".join(f"WHEN {fold} THEN {model.column_sql()}" for fold, model in enumerate(models))
+    return F.expr(f"CASE fold {cases} END")
+
+
+def held_out_scores(df: DataFrame, specs: Sequence[ModelSpec], label: str, folds: int) -> DataFrame:
+    """Every row scored by the models fitted on the other folds: (model_name, fold, label, score).
+
+    Models that come as expressions are scored together in one pass.
+    """
     parts = []
-    for fold in folds:
-        model = fit_spec(spec, df.where(F.col("fold") != fold))
-        scored = model.score(df.where(F.col("fold") == fold), "__score")
-        parts.append(_long(scored, spec.name, label, "fold"))
+    quick = [s for s in specs if s.fit_folds]
+    if quick:
+        cells = F.explode(F.array(*[
+            F.struct(F.lit(s.name).alias("model_name"),
+                     held_out_column(s.fit_folds(df, folds)).alias("score")) for s in quick]))
+        parts.append(df.select("fold", F.col(label).cast("int").alias("label"), cells.alias("cell")).select(
+            "cell.model_name", "fold", "label", "cell.score"))
+    for spec in [s for s in specs if not s.fit_folds]:
+        for fold in range(folds):
+            model = fit_spec(spec, df.where(F.col("fold") != fold))
+            scored = model.score(df.where(F.col("fold") == fold), "__score")
+            parts.append(_long(scored, spec.name, label, "fold"))
     return union_all(parts)
 
 
@@ -70,7 +91,7 @@ def cross_validate(df: DataFrame, specs: Sequence[ModelSpec], label: str, folds:
 
     The scores are written once, so models score each row once.
     """
-    scores = materialize(union_all([held_out_scores(df, s, label, range(folds)) for s in specs]))
+    scores = materialize(held_out_scores(df, specs, label, folds))
     by = ("model_name", "fold")
     aucs = roc_auc(score_curve(scores, by), by)
     return aucs.groupBy("model_name").agg(
@@ -108,7 +129,7 @@ def random_search(train: DataFrame, test: DataFrame, name: str, make: Callable[[
     """Best sampled point by cross-validated AUC, refitted, against the untuned model on test."""
     points = sample_grid(grid, size, seed)
     specs = [make(point) for point in points]
-    numbered = [ModelSpec(str(i), s.fit, s.scaled) for i, s in enumerate(specs)]
+    numbered = [replace(s, name=str(i)) for i, s in enumerate(specs)]
     ranked = cross_validate(train, numbered, label, folds).orderBy(
         F.desc("cv_mean"), F.col("model_name").cast("int")).first()
     best = int(ranked["model_name"])
@@ -129,27 +150,22 @@ def _tuned_row(train: DataFrame, test: DataFrame, name: str, spec: ModelSpec, po
 
 
 def search_ridge(train: DataFrame, features: Sequence[str], label: str, alphas: Sequence[float],
-                 folds: int = 3, intercepts: Sequence[bool] = (True, False)) -> DataFrame:
+                 folds: int = 3, intercepts: Sequence[bool] = (True, False),
+                 scaled: Sequence[str] = ()) -> DataFrame:
     """AUC of every penalty in one pass for the products per fold and one for the scores.
 
     The sums of products of a training set are the sums of its folds, so no penalty needs
     its own pass over the rows.
     """
     sums = gram_sums(train, features, label, "fold")
-    cells = []
-    for fold in range(folds):
-        others = [f for f in range(folds) if f != fold]
-        for alpha, intercept in product(alphas, intercepts):
-            model = sums.solve("ridge", float(alpha), others, intercept)
-            cells.append((fold, F.struct(
-                F.lit(float(alpha)).alias("alpha"), F.lit(intercept).alias("fit_intercept"),
-                model.margin().alias("score"))))
-    scored = union_all([
-        train.where(F.col("fold") == fold).select(
-            "fold", F.col(label).cast("int").alias("label"),
-            F.explode(F.array(*[c for f, c in cells if f == fold])).alias("cell"))
-        for fold in range(folds)
-    ]).select("cell.alpha", "cell.fit_intercept", "fold", "label", "cell.score")
+    points = [(float(a), i) for a, i in product(alphas, intercepts)]
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(alpha).alias("alpha"), F.lit(intercept).alias("fit_intercept"),
+                 held_out_column(sums.held_out("ridge", alpha, folds, intercept, scaled)).alias("score"))
+        for alpha, intercept in points
+    ]))
+    scored = train.select("fold", F.col(label).cast("int").alias("label"), cells.alias("cell")).select(
+        "cell.alpha", "cell.fit_intercept", "fold", "label", "cell.score")
     by = ("alpha", "fit_intercept", "fold")
     return roc_auc(score_curve(scored, by), by).groupBy("alpha", "fit_intercept").agg(
         F.avg("auc").alias("cv_mean"), F.stddev_pop("auc").alias("cv_std"))
@@ -169,12 +185,17 @@ class StackedModel:
 def fit_stacking(train: DataFrame, specs: Sequence[ModelSpec], label: str, row_id: str,
                  folds: int = 3) -> StackedModel:
     """Held-out scores of the base models feed a logistic model; bases are refitted on all rows."""
+    quick = [s for s in specs if s.fit_folds]
+    slow = [s for s in specs if not s.fit_folds]
+    scored = train.withColumns({
+        f"base_{s.name}": held_out_column(s.fit_folds(train, folds)) for s in quick})
     parts = []
-    for fold in range(folds):
-        fit_rows, held = train.where(F.col("fold") != fold), train.where(F.col("fold") == fold)
-        for spec in specs:
+    for fold in range(folds) if slow else []:
+        fit_rows, held = train.where(F.col("fold") != fold), scored.where(F.col("fold") == fold)
+        for spec in slow:
             held = fit_spec(spec, fit_rows).score(held, f"base_{spec.name}")
-        parts.append(held.select(row_id, label, *[f"base_{s.name}" for s in specs]))
+        parts.append(held)
     names = [f"base_{s.name}" for s in specs]
-    meta = fit_logistic(union_all(parts), names, label, name="stacking")
+    held_out = (union_all(parts) if slow else scored).select(row_id, label, *names)
+    meta = fit_logistic(materialize(held_out, "stacking"), names, label, name="stacking")
     return StackedModel({f"base_{s.name}": fit_spec(s, train) for s in specs}, meta)

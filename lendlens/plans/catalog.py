@@ -669,12 +669,22 @@ def _auc_of(model: fit.Scorer, test: DataFrame, name: str) -> DataFrame:
     return ev.roc_auc(ev.score_curve(scored))
 
 
-RIDGE = train.ModelSpec("ridge", lambda df: fit.fit_ridge(df, FEATURES, LABEL), scaled=True)
+RIDGE = train.ModelSpec(
+    "ridge", lambda df: fit.fit_ridge(df, FEATURES, LABEL, scaled=SCALED_FEATURES),
+    fit_folds=lambda df, folds: fit.ridge_folds(df, FEATURES, LABEL, folds, scaled=SCALED_FEATURES))
 LOGISTIC = train.ModelSpec("logistic", lambda df: fit.fit_logistic(
     df, FEATURES, LABEL, "l1", 0.1, max_iter=30), scaled=True)
 ELASTIC = train.ModelSpec("elastic", lambda df: fit.fit_logistic(
     df, FEATURES, LABEL, "elasticnet", 0.1, 0.9, max_iter=30, name="elastic"), scaled=True)
-BAYES = train.ModelSpec("bernoulli_nb", lambda df: fit.fit_bernoulli_nb(df, FEATURES, LABEL))
+
+
+def bayes(**parameters) -> train.ModelSpec:
+    return train.ModelSpec(
+        "bernoulli_nb", lambda df: fit.fit_bernoulli_nb(df, FEATURES, LABEL, **parameters),
+        fit_folds=lambda df, folds: fit.bernoulli_folds(df, FEATURES, LABEL, folds, **parameters))
+
+
+BAYES = bayes()
 FOREST = train.ModelSpec("random_forest", lambda df: fit.fit_random_forest(df, FEATURES, LABEL, 20))
 
 
@@ -773,18 +783,15 @@ def _(spark, folder):
 def _(spark, folder):
     rows, test = _folded(spark, folder, 3)
     grid = {"alpha": [0.01, 0.1, 0.5, 1.0, 2.0], "fit_prior": [True, False], "binarize": [0.0, 0.1, 0.5]}
-
-    def make(point: dict) -> train.ModelSpec:
-        return train.ModelSpec("bernoulli_nb", lambda df: fit.fit_bernoulli_nb(df, FEATURES, LABEL, **point))
-
-    return train.random_search(rows, test, "bernoulli_nb", make, grid, LABEL, BAYES, size=4)
+    return train.random_search(
+        rows, test, "bernoulli_nb", lambda point: bayes(**point), grid, LABEL, BAYES, size=25)
 
 
 @query("search_ridge")
 def _(spark, folder):
     rows, _ = _folded(spark, folder, 3)
-    scaled = matrix.standard_scale_fit(rows).transform(rows)
-    return train.search_ridge(scaled, FEATURES, LABEL, [0.01, 0.1, 1.0, 10.0, 100.0, 1000.0])
+    return train.search_ridge(rows, FEATURES, LABEL, [0.01, 0.1, 1.0, 10.0, 100.0, 1000.0],
+                              scaled=SCALED_FEATURES)
 
 
 def _wide(spark, folder) -> DataFrame:

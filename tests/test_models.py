@@ -304,3 +304,32 @@ def test_stream_equals_batch(spark):
     batch = catalog.QUERIES["single_txn_transform"](spark, FOLDER)
     stream = catalog.QUERIES["stream_features"](spark, FOLDER)
     assert sorted(map(str, batch.collect())) == sorted(map(str, stream.select(batch.columns).collect()))
+
+
+def test_models_of_folds_equal_separate_fits(planted):
+    _, df = planted
+    rows = split.stratified_folds(df.withColumnRenamed("y", "amount"), 3, "label", "id").cache()
+    names = ["x", "amount"]
+    quick = train.ModelSpec("q", lambda d: fit.fit_ridge(d, names, "label", 5.0, scaled=["amount"]),
+                            fit_folds=lambda d, k: fit.ridge_folds(d, names, "label", k, 5.0, ["amount"]))
+    slow = train.ModelSpec("s", lambda d: fit.fit_ridge(d, names, "label", 5.0), scaled=True)
+    bayes = train.ModelSpec("b", lambda d: fit.fit_bernoulli_nb(d, names, "label", 2.0, 0.5))
+    folded = train.ModelSpec("f", bayes.fit, fit_folds=lambda d, k: fit.bernoulli_folds(d, names, "label", k, 2.0, 0.5))
+    auc = {r["model_name"]: r["cv_mean"]
+           for r in train.cross_validate(rows, [quick, slow, bayes, folded], "label", 3).collect()}
+    assert auc["q"] == pytest.approx(auc["s"], abs=1e-9)
+    assert auc["b"] == pytest.approx(auc["f"], abs=1e-9)
+
+
+def test_ridge_without_intercept_on_scaled_columns(planted):
+    frame, df = planted
+    rows = df.withColumnRenamed("y", "amount")
+    x = frame[["x", "y"]].to_numpy().copy()
+    mean, spread = x[:, 1].mean(), x[:, 1].std()
+    x[:, 1] = (x[:, 1] - mean) / spread
+    target = np.where(frame.label == 1, 1.0, -1.0)
+    weights = np.linalg.solve(x.T @ x + 3 * np.eye(2), x.T @ target)
+    model = fit.fit_ridge(rows, ["x", "amount"], "label", 3.0, False, ["amount"])
+    assert model.weights["x"] == pytest.approx(weights[0])
+    assert model.weights["amount"] == pytest.approx(weights[1] / spread)
+    assert model.intercept == pytest.approx(-weights[1] / spread * mean)
