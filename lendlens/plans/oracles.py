@@ -35,7 +35,7 @@ def oracle(name: str, body: str, doubles: str = "", views: dict[str, str] | None
     replace = f" REPLACE ({', '.join(parts)})" if parts else ""
     used = needed(" ".join([body, *extra.values()]))
     ctes = [f"{v} AS ({VIEWS[v]})" for v in used] + [f"{v} AS ({sql})" for v, sql in extra.items()]
-    prefix = f"WITH {', '.join(ctes)} " if ctes else ""
+    prefix = f"WITH RECURSIVE {', '.join(ctes)} " if ctes else ""
     ORACLES[name] = f"{prefix}SELECT *{replace} FROM ({body})"
 
 
@@ -741,3 +741,26 @@ oracle("feature_metadata", "SELECT feature, kind, is_target, removed, (SELECT co
            [f"SELECT '{f}' AS feature, 'numeric' AS kind, false AS is_target, false AS removed" for f in KEPT]
            + ["SELECT 'will_default', 'numeric', true, false"]
            + [f"SELECT '{f}', NULL, false, true" for f in REMOVED]) + ")", "default_rate")
+
+# Ridge: the normal equations of the training rows, solved by elimination, one column per step.
+
+WIDTH = len(MATRIX)
+SCALED_TRAIN = "SELECT CASE WHEN will_default = 1 THEN 1.0 ELSE -1.0 END AS target, " + ", ".join(
+    f"({f} - avg({f}) OVER ()) / stddev_pop({f}) OVER () AS {f}" if f in SCALED_FEATURES else f'"{f}"'
+    for f in MATRIX) + f" FROM {TRAIN}"
+EQUATIONS = "SELECT [" + ", ".join(
+    "[" + ", ".join(
+        f'count(*) * covar_pop("{a}", "{b}")' + (" + 1000.0" if a == b else "") for b in [*MATRIX, "target"]) + "]"
+    for a in MATRIX) + "] AS m, [" + ", ".join(f'avg("{f}")' for f in MATRIX) + "] AS means, avg(target) AS level FROM Z"
+ELIMINATED = (
+    "SELECT 0 AS k, m FROM EQUATIONS UNION ALL SELECT k + 1, "
+    f"list_transform(range(1, {WIDTH + 1}), lambda i: list_transform(range(1, {WIDTH + 2}), lambda j: "
+    "CASE WHEN i = k + 1 THEN m[k + 1][j] / m[k + 1][k + 1] "
+    "ELSE m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1] END)) "
+    f"FROM ELIMINATED WHERE k < {WIDTH}")
+SOLUTION = f"list_transform(m, lambda row: row[{WIDTH + 1}])"
+NAMES = ", ".join(f"'{f}'" for f in MATRIX)
+oracle("fit_ridge", f"SELECT 'ridge' AS model_name, unnest([{NAMES}]) AS feature, unnest({SOLUTION}) AS coefficient FROM "
+       f"ELIMINATED WHERE k = {WIDTH} UNION ALL SELECT 'ridge', '{INTERCEPT}', level - list_sum(list_transform(list_zip("
+       f"{SOLUTION}, means), lambda z: z[1] * z[2])) FROM ELIMINATED, EQUATIONS WHERE k = {WIDTH}", "coefficient",
+       {"Z": SCALED_TRAIN, "EQUATIONS": EQUATIONS, "ELIMINATED": ELIMINATED})
