@@ -758,7 +758,7 @@ ELIMINATED = (
     "CASE WHEN i = k + 1 THEN m[k + 1][j] / m[k + 1][k + 1] "
     "ELSE m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1] END)) "
     f"FROM ELIMINATED WHERE k < {WIDTH}")
-SOLUTION = f"list_transform(m, lambda row: row[{WIDTH + 1}])"
+SOLUTION = f"list_transform(ELIMINATED.m, lambda e: e[{WIDTH + 1}])"
 NAMES = ", ".join(f"'{f}'" for f in MATRIX)
 oracle("fit_ridge", f"SELECT 'ridge' AS model_name, unnest([{NAMES}]) AS feature, unnest({SOLUTION}) AS coefficient FROM "
        f"ELIMINATED WHERE k = {WIDTH} UNION ALL SELECT 'ridge', '{INTERCEPT}', level - list_sum(list_transform(list_zip("
