@@ -22,6 +22,8 @@ from lendlens.sources.transactions import load_transactions
 
 # Above this estimate a column is surely beyond the cut; below it the count is taken exactly.
 SURE_FACTOR = 3
+# Medians of columns with at most so many values come from their counts.
+FEW_VALUES = 1_000
 FALLBACK_FILL = "unknown"
 
 
@@ -172,14 +174,14 @@ def string_to_numeric(df: DataFrame, columns: Sequence[str] = tuple(TEXT_NUMBER_
 class FeaturePipeline:
     """Fitted row-level pipeline: time features, encoding, dropping, imputing, conversion.
 
-    ``order='reference'`` imputes before converting text to numbers, so unreadable
+    ``order='impute_first'`` imputes before converting text to numbers, so unreadable
     values stay null; ``'convert_first'`` converts first and leaves no nulls.
     """
 
     levels: OneHotLevels
     removed: list[str]
     fills: FillValues
-    order: str = "reference"
+    order: str = "impute_first"
     statistics: dict = field(default_factory=dict)
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -197,8 +199,8 @@ def encode_rows(df: DataFrame) -> DataFrame:
     return bool_to_int(ordinal_encode(temporal_features(df)))
 
 
-def fit_pipeline(df: DataFrame, order: str = "reference", keep: Sequence[str] = ()) -> FeaturePipeline:
-    """Two passes over the data, plus one more when numeric columns have nulls.
+def fit_pipeline(df: DataFrame, order: str = "impute_first", keep: Sequence[str] = ()) -> FeaturePipeline:
+    """Two passes over the data, plus one for numeric columns with nulls and many values.
 
     Columns that are dropped anyway are not looked at, apart from the levels of the
     categories that become 0/1 columns.
@@ -211,24 +213,30 @@ def fit_pipeline(df: DataFrame, order: str = "reference", keep: Sequence[str] =
     texts = [c for c in text_columns(rows) if c in candidates]
     nominal = [c for c in NOMINAL_COLUMNS if c in rows.columns]
 
-    checks = [null_count(c).alias(f"{c}__nulls") for c in candidates]
+    # Codes and flags cannot be null by construction, which their type tells.
+    nullable = [f.name for f in rows.schema.fields if f.nullable and f.name in candidates]
+    checks = [null_count(c).alias(f"{c}__nulls") for c in nullable]
     checks += [(F.min(c) == F.max(c)).alias(f"{c}__same") for c in candidates if c not in texts]
-    checks += [F.approx_count_distinct(c).alias(f"{c}__levels") for c in texts]
+    numeric = numeric_columns(rows)
+    checks += [F.approx_count_distinct(c).alias(f"{c}__levels")
+               for c in candidates if c in texts or (c in nullable and c in numeric)]
     seen = rows.agg(
         *checks, F.count(F.lit(1)).alias("__rows"), F.avg(TARGET).alias("__target")).first().asDict()
 
     wide = [c for c in texts if seen[f"{c}__levels"] > HIGH_CARDINALITY * SURE_FACTOR]
     narrow = [c for c in texts if c not in wide]
-    per_column = counted_levels(rows, sorted({*narrow, *nominal}))
+    few = [c for c in nullable if c in numeric and seen[f"{c}__nulls"] > 0 and seen[f"{c}__levels"] <= FEW_VALUES]
+    per_column = counted_levels(rows, sorted({*narrow, *nominal, *few}))
     known = {c: set(per_column.get(c, {})) - {None} for c in narrow}
     wide += [c for c in narrow if len(known[c]) > HIGH_CARDINALITY]
     single = [c for c in candidates
               if (len(known[c]) <= 1 if c in known else seen.get(f"{c}__same", False) in (True, None))]
 
     removed = [c for c in rows.columns if c in dropped or (c not in keep and c in {*single, *wide})]
-    missing = [c for c in candidates if c not in removed and seen[f"{c}__nulls"] > 0]
-    numbers = [c for c in missing if c in numeric_columns(rows)]
-    fills: dict[str, object] = dict(exact_medians(rows, numbers, seen["__rows"]))
+    missing = [c for c in nullable if c not in removed and seen[f"{c}__nulls"] > 0]
+    numbers = [c for c in missing if c in numeric]
+    fills: dict[str, object] = {c: median_of_counts(per_column[c]) for c in numbers if c in few}
+    fills |= exact_medians(rows, [c for c in numbers if c not in few], seen["__rows"])
     for c in [c for c in missing if c not in numbers]:
         values = {v: n for v, n in per_column.get(c, {}).items() if v is not None}
         fills[c] = min(values, key=lambda v: (-values[v], v)) if values else FALLBACK_FILL
@@ -238,6 +246,23 @@ def fit_pipeline(df: DataFrame, order: str = "reference", keep: Sequence[str] =
         order, {"rows": seen["__rows"], "default_rate": seen["__target"]})
 
 
+def median_of_counts(counts: dict[str | None, int]) -> float | None:
+    """Exact median of a column from the counts of its few values."""
+    values = sorted((float(v), n) for v, n in counts.items() if v is not None)
+    size = sum(n for _, n in values)
+    if not size:
+        return None
+
+    def at(rank: int) -> float:
+        for value, n in values:
+            rank -= n
+            if rank < 0:
+                return value
+        return values[-1][0]
+
+    return (at((size - 1) // 2) + at(size // 2)) / 2
+
+
 def counted_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str | None, int]]:
     """Counts per column and level on the driver; an error when they are too many to be levels."""
     if not columns:

@@ -209,3 +209,18 @@ def test_correlation_matrix_with_nulls_and_constants(spark):
             assert r["correlation"] is None
         else:
             assert r["correlation"] == pytest.approx(expected.loc[r["feature_a"], r["feature_b"]], abs=1e-9)
+
+
+def test_median_of_counts():
+    assert clean.median_of_counts({"1": 2, "3": 1, "10.5": 1, None: 7}) == 2.0
+    assert clean.median_of_counts({"2": 1}) == 2.0
+    assert clean.median_of_counts({None: 3}) is None
+
+
+def test_pipeline_fills_many_and_few_valued_numbers(spark, monkeypatch):
+    rows = fixtures.transactions(spark, FOLDER).withColumn(
+        "amount", F.when(F.col("transaction_id") % 5 != 0, F.col("amount")))
+    counted = clean.fit_pipeline(rows).fills.values
+    monkeypatch.setattr(clean, "FEW_VALUES", 0)
+    ordered = clean.fit_pipeline(rows).fills.values
+    assert counted == ordered and {"amount", "days_to_first_missed_payment"} <= set(counted)
