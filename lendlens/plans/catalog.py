@@ -536,16 +536,15 @@ def _(spark, folder):
 
 @query("constant_features")
 def _(spark, folder):
-    rows = P_(spark, folder).withColumn("installments", F.lit(4))
-    return profile.constant_features(rows)
+    return profile.constant_features(P_(spark, folder))
 
 
 @query("skew_outliers")
 def _(spark, folder):
     rows = P_(spark, folder).select(
         "transaction_amount", "annual_income",
-        F.when(F.col("transaction_id") % 97 == 0, F.col("transaction_amount")).otherwise(0.0)
-        .alias("rare_amount"))
+        F.when(F.col("dispute_count") + F.col("chargeback_count") == 2, F.col("transaction_amount"))
+        .otherwise(0.0).alias("disputed_chargeback_amount"))
     return profile.skew_outliers(rows)
 
 
@@ -911,7 +910,7 @@ def _(spark, folder):
 
 @query("shadow_compare", opportunity_cost=2)
 def _(spark, folder):
-    return sc.shadow_compare(sc.shadow_decisions(_shadow(spark, folder), cut=0.5))
+    return sc.shadow_compare(sc.shadow_decisions(_shadow(spark, folder), cut=0.15))
 
 
 @query("model_registry_table")

@@ -453,7 +453,7 @@ HIGH_PAIRS = (f"SELECT feature_a, feature_b, round_even(abs(correlation), 3) AS
               f"({all_pairs(CF_NUMBERS, 'CF')}) WHERE abs(correlation) > 0.8")
 oracle("high_correlation_pairs", HIGH_PAIRS, "correlation", CF)
 P_NUMBERS = ["transaction_id", "customer_id", "transaction_amount", "credit_score", "annual_income", "customer_age",
-             "failed_payment_count", "dispute_count", "chargeback_count", "installments"]
+             "failed_payment_count", "dispute_count", "chargeback_count"]
 
 
 def constants(columns: list[str], source: str) -> str:
@@ -467,9 +467,10 @@ def skewed(columns: list[str], source: str) -> str:
             "WHERE NOT isnan(s) AND abs(s) > 5")
 
 
-oracle("constant_features", constants(P_NUMBERS, "(SELECT *, 4 AS installments FROM P)"))
-oracle("skew_outliers", skewed(["transaction_amount", "annual_income", "rare_amount"],
-       "(SELECT *, CASE WHEN transaction_id % 97 = 0 THEN transaction_amount ELSE 0.0 END AS rare_amount FROM P)"),
+oracle("constant_features", constants(P_NUMBERS, "P"))
+oracle("skew_outliers", skewed(["transaction_amount", "annual_income", "disputed_chargeback_amount"],
+       "(SELECT *, CASE WHEN dispute_count + chargeback_count = 2 THEN transaction_amount ELSE 0.0 END AS "
+       "disputed_chargeback_amount FROM P)"),
        "skewness")
 oracle("validate_features", " UNION ALL ".join([
     f"SELECT 'feature_count' AS \"check\", NULL AS feature, NULL AS other, {len(CF_COLUMNS)}.0 AS value",
@@ -711,7 +712,7 @@ def decision_cost(decision: str) -> str:
 oracle("shadow_compare", "SELECT business_decision, model_decision, count(*) AS transactions, count(*) FILTER "
        f"(will_default) AS defaults, avg({BAD}) AS default_rate, sum({decision_cost('business_decision')} - "
        f"{decision_cost('model_decision')}) AS opportunity_cost, business_decision = model_decision AS agreement FROM "
-       f"(SELECT *, {DECISION} AS business_decision, CASE WHEN ridge_prediction >= 0.5 THEN 'decline' ELSE 'approve' END "
+       f"(SELECT *, {DECISION} AS business_decision, CASE WHEN ridge_prediction >= 0.15 THEN 'decline' ELSE 'approve' END "
        "AS model_decision FROM T JOIN SCORED USING (transaction_id)) GROUP BY 1, 2", "default_rate opportunity_cost:2",
        SCORED)
 REGISTERED = ("SELECT 'bnpl' AS domain, model_name, 'v0.1.0' AS version, CASE WHEN model_name = 'ridge' THEN 'champion' "
