@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Bytes of text that are worked on at a time; a longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 START, END = "\x02", "\x03"
@@ -68,7 +68,7 @@ def word_ngrams(words: list[str], low: int, high: int, whole: bool = True) -> tu
     points = code_points("".join(marked)).astype(np.uint64) + np.uint64(1)
     sizes = np.fromiter((len(m) for m in marked), np.int64, len(marked))
     ends = np.cumsum(sizes)
-    owner = np.repeat(np.arange(len(words)), sizes)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     left = ends[owner] - np.arange(len(points)) if len(words) else np.zeros(0, np.int64)
     prime = np.uint64(PRIME)
     owners, hashes = [], []
@@ -82,12 +82,12 @@ def word_ngrams(words: list[str], low: int, high: int, whole: bool = True) -> tu
                 hashes.append(value[inside] * np.uint64(2 * n + 1))
         if whole and len(words):
             weight = prime ** (np.arange(len(points), dtype=np.uint64) - (ends - sizes).astype(np.uint64)[owner])
-            owners.append(np.arange(len(words)))
+            owners.append(np.arange(len(words), dtype=np.int32))
             hashes.append(np.add.reduceat(points * weight, ends - sizes) * np.uint64(1_000_003))
         index, key = np.concatenate(owners or [owner]), np.concatenate(hashes or [value])
         key = (key ^ (key >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
         key ^= key >> np.uint64(32)
-    order = np.argsort(index, kind="stable")
+    order = np.argsort(index, kind="stable").astype(np.int32)
     return index[order], key[order]
 
 

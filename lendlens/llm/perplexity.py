@@ -120,6 +120,11 @@ def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang", order:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def local(per_language: DataFrame) -> DataFrame:
+    """A few numbers per language as a table whose size Spark knows when it plans the join."""
+    return per_language.sparkSession.createDataFrame(per_language.collect(), per_language.schema)
+
+
 def kneser_ney(grams: DataFrame, order: int = ORDER) -> DataFrame:
     """(lang, gram, value, kind): log probability of each n-gram (kind `p`), log weight of each context (kind `w`)."""
     top = materialize(grams, "grams")
@@ -138,6 +143,7 @@ def kneser_ney(grams: DataFrame, order: int = ORDER) -> DataFrame:
             .withColumn("y", y).select("lang", *[
                 F.least(F.greatest(gain(i, a, b), F.lit(0.05)), F.lit(i - 0.05)).alias(f"d{i}")
                 for i, a, b in ((1, "n2", "n1"), (2, "n3", "n2"), (3, "n4", "n3"))])
+        discounts = local(discounts)
         d = F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))
         level = level.join(discounts, "lang").withColumn("d", d)
         contexts = level.groupBy("lang", "ctx").agg(F.sum("a").cast("double").alias("total"), F.sum("d").alias("kept"))
@@ -145,6 +151,7 @@ def kneser_ney(grams: DataFrame, order: int = ORDER) -> DataFrame:
         level = level.join(contexts, ["lang", "ctx"])
         if k == 1:
             base = level.groupBy("lang").agg((1 / (F.count(F.lit(1)) + 1)).alias("p0"))
+            base = local(base)
             level = level.join(base, "lang")
             tables.append(base.select("lang", F.lit("").alias("gram"), F.log("p0").alias("value"), F.lit("p").alias("kind")))
         else:

@@ -25,9 +25,9 @@ THRESHOLD = 0.3  # a text of this score is toxic
 BUCKETS, DIM, WINDOW = 1 << 17, 4, 16
 LOW, HIGH = 3, 6
 # The classifier is fitted on a bounded sample: so many labelled rows, so many bytes of whole texts.
-FIT_ROWS, FIT_BYTES = 3500, 24 << 20
-FIT_WINDOWS, FIT_TOXIC_WINDOWS = 8, 24  # windows that train, from each text of the sample
-WARM_STEPS, ROUNDS, STEPS = 30, 6, 10
+FIT_ROWS, FIT_BYTES = 5000, 20 << 20
+FIT_WINDOWS, FIT_TOXIC_WINDOWS = 4, 20  # windows that train, from each text of the sample
+WARM_STEPS, ROUNDS, STEPS = 20, 5, 8
 RATE, DECAY = 0.1, 1e-6
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -83,13 +83,13 @@ class Bags:
 
     def __init__(self, word_of: np.ndarray, window_of: np.ndarray, windows: int, ptr: np.ndarray, slot: np.ndarray) -> None:
         used, self.word_of = np.unique(word_of, return_inverse=True)
+        self.word_of, self.by_word = self.word_of.astype(np.int32), np.argsort(self.word_of, kind="stable").astype(np.int32)
         sizes = np.diff(ptr)[used]
-        take = np.repeat(ptr[used] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        self.slot, self.owner = slot[take], np.repeat(np.arange(len(used)), sizes)
+        take = np.repeat((ptr[used] - (np.cumsum(sizes) - sizes)).astype(np.int32), sizes) + np.arange(sizes.sum(), dtype=np.int32)
+        self.slot, self.owner = slot[take], np.repeat(np.arange(len(used), dtype=np.int32), sizes)
         self.share = (1.0 / np.maximum(np.diff(ptr)[used], 1)).astype(np.float32)
         self.window_of, self.words, self.windows = window_of, len(used), windows
-        self.by_word = np.argsort(self.word_of, kind="stable")
-        self.by_slot = np.argsort(self.slot, kind="stable")
+        self.by_slot = np.argsort(self.slot, kind="stable").astype(np.int32)
 
     @staticmethod
     def summed(values: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
@@ -143,7 +143,9 @@ def fit(sample: list[tuple[str, int]], seed: int = 3) -> ToxicModel:
     used, word_of = np.unique(codes[cell], return_inverse=True)
     owner, key = word_ngrams([bare(w) for w in pc.utf8_lower(words.take(pa.array(used))).to_pylist()], LOW, HIGH)
     ptr = np.searchsorted(owner, np.arange(len(used) + 1))
-    buckets, slot = np.unique((key % np.uint64(BUCKETS)).astype(np.int64), return_inverse=True)
+    key = (key % np.uint64(BUCKETS)).astype(np.int32)
+    buckets, slot = np.unique(key, return_inverse=True)
+    slot = slot.astype(np.int32)
     # Buckets of very few words carry no signal for other texts and stay at zero.
     often = np.bincount(slot, np.bincount(word_of, minlength=len(used))[owner], minlength=len(buckets)) >= 4
     del owner, key, new, stop
@@ -187,7 +189,7 @@ def fit(sample: list[tuple[str, int]], seed: int = 3) -> ToxicModel:
 def calibrated(gain: np.ndarray, texts: pa.Array, y: np.ndarray, share: float) -> ToxicModel:
     """Fits the text's label to its worst window by Newton steps."""
     model = ToxicModel(gain, 1.0, 0.0)
-    x = np.concatenate([model.worst(block) for block in text_blocks(texts)])
+    x = np.concatenate([model.worst(block) for block in text_blocks(texts, 1 << 19)])
     width, middle = max(x.std(), 1e-6), x.mean()
     design = np.stack([(x - middle) / width, np.ones_like(x)], 1)
     coefficient = np.array([1.0, float(np.log(share / (1 - share)))])
