@@ -3,8 +3,11 @@
 A unit is a line, or the whole text where it has several lines. Units and templates are lower
 case letters and digits, all else being one blank. With sets A and B of word bigrams, the score
 2|A n B| / (|A| + |B|) reaches t only if |A| t / (2 - t) <= |B| <= |A| (2 - t) / t, so the sizes
-choose the templates a unit is compared to. Before its bigrams are built a unit must have
-enough words, and not more distinct words than bigrams allow. DataFrame functions only.
+choose the templates a unit is compared to. A unit that reaches t holds the share t / (2 - t) of
+a template's bigrams at least, so it holds one of any words that touch more than the other
+bigrams; texts and units without such a word are passed over. Before its bigrams are built a
+unit must have enough words, and not more distinct words than bigrams allow. DataFrame
+functions only.
 """
 
 from __future__ import annotations
@@ -43,6 +46,27 @@ def template_bigrams(templates: dict[str, str]) -> dict[str, list[str]]:
     return {name: pairs for name, pairs in found.items() if pairs}
 
 
+def telling_words(known: dict[str, list[str]], threshold: float) -> list[str]:
+    """Words of which any unit that reaches the threshold holds one; long words first."""
+    chosen = set()
+    for pairs in known.values():
+        touched: set[str] = set()
+        spare = len(pairs) * (1 - threshold / (2 - threshold))
+        for word in sorted({w for p in pairs for w in p.split()}, key=lambda w: (w not in chosen, -len(w), w)):
+            if len(touched) > spare + 1e-9:
+                break
+            touched.update(p for p in pairs if word in p.split())
+            chosen.add(word)
+    return sorted(chosen)
+
+
+def any_word(text: Column, words: list[str]) -> Column:
+    found = F.lit(False)
+    for word in words:
+        found = found | F.contains(text, F.lit(word))
+    return found
+
+
 def normal(text: Column) -> Column:
     """Letters and digits in lower case with single blanks; line breaks stay."""
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
@@ -67,9 +91,11 @@ def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None, thre
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     least, most = math.ceil(sizes[0] * low - 1e-9), math.floor(sizes[-1] * high + 1e-9)
     lines = F.split(normal(F.col(text)), "\n", -1)
-    whole = F.when(F.size(lines) > 1, F.concat_ws(" ", lines)).otherwise("")
-    units = docs.select(F.col(key), F.posexplode(F.concat(F.array(whole), lines)).alias("unit", "body"))
-    units = units.withColumn("words", F.split(F.trim("body"), " +")).where(F.size("words") > least) \
+    whole = F.when(F.size(lines) > 1, F.regexp_replace(F.concat_ws(" ", lines), " +", " ")).otherwise("")
+    telling = telling_words(known, threshold)
+    units = docs.where(any_word(F.lower(F.col(text)), telling)) \
+        .select(F.col(key), F.posexplode(F.concat(F.array(whole), lines)).alias("unit", "body")).where(any_word(F.col("body"), telling))
+    units = units.withColumn("words", F.split(F.trim("body"), " ")).where(F.size("words") > least) \
         .where(F.size(F.array_distinct("words")) <= most + 1)
     units = units.select(key, "unit", bigram_set(F.col("words")).alias("pairs")).withColumn("n", F.size("pairs"))
     # The templates of each size are compared only where that size is in bounds.
