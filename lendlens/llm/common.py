@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Bytes of text that are worked on at a time; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
@@ -97,6 +97,13 @@ def sums_by_start(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return total[starts[1:]] - total[starts[:-1]]
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """A local table whose size the planner knows, so it joins by broadcast only while it is small."""
+    columns = list(zip(*rows)) or [()] * len(schema)
+    arrays = [pa.array(c, f.type) for c, f in zip(columns, schema)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=schema))
+
+
 def crc_bucket(key: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo `parts`; null ids fall into no part."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(parts))

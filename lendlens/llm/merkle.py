@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 LEAF = re.compile(r"[^\S\n]*(?:\S*[^\s.!?][^\S\n]+){0,7}\S+|[^\S\n]+")
 HASH_BYTES = 16
 # Bytes of text that one task sorts when documents are ordered to find the next one.
-TASK_BYTES = 64 << 20
+TASK_BYTES = 32 << 20
 LEAST = -(1 << 63)
 
 

@@ -14,9 +14,10 @@ import heapq
 import json
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from lendlens.llm.common import WORD
+from lendlens.llm.common import WORD, local_table
 from lendlens.session import materialize
 
 REPEATS = 3
@@ -120,10 +121,12 @@ class Mix:
     seed: int
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.passes, "_pattern string, _whole long, _cut long, _more array<long>")
+        return local_table(spark, self.passes, pa.schema([
+            ("_pattern", pa.string()), ("_whole", pa.int64()), ("_cut", pa.int64()), ("_more", pa.list_(pa.int64()))]))
 
     def source_table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.sources, "_source string, source_size long, target double")
+        return local_table(spark, self.sources, pa.schema([
+            ("_source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64())]))
 
 
 def seeded_cuts(sizes: DataFrame, rest: dict[str, int]) -> tuple[dict[str, int], dict[str, int]]:
@@ -139,7 +142,7 @@ def seeded_cuts(sizes: DataFrame, rest: dict[str, int]) -> tuple[dict[str, int],
         if not state:
             break
         below = DIGIT * (DIGITS - 1 - level)
-        known = spark.createDataFrame(state, "pattern string, prefix long, rest long")
+        known = local_table(spark, state, pa.schema([("pattern", pa.string()), ("prefix", pa.int64()), ("rest", pa.int64())]))
         counted = sizes.join(known, "pattern") \
             .where(F.shiftrightunsigned("rank", below + DIGIT) == F.col("prefix")) \
             .groupBy("pattern", "prefix", "rest", F.shiftrightunsigned("rank", below).alias("digit")) \
@@ -162,7 +165,8 @@ def fillers(sizes: DataFrame, cuts: dict[str, int], gaps: dict[str, int], rounds
         state = [(p, cuts[p], gap, more[p]) for p, gap in gaps.items() if gap > 0]
         if not state:
             break
-        known = spark.createDataFrame(state, "pattern string, cut long, gap long, more array<long>")
+        known = local_table(spark, state, pa.schema([
+            ("pattern", pa.string()), ("cut", pa.int64()), ("gap", pa.int64()), ("more", pa.list_(pa.int64()))]))
         best = sizes.join(known, "pattern").where("size > 0 and size <= gap and rank >= cut and not array_contains(more, rank)") \
             .groupBy("pattern").agg(F.max(F.struct("size", "rank")).alias("b"))
         found = best.collect()

@@ -122,7 +122,7 @@ def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang", order:
 
 def local(per_language: DataFrame) -> DataFrame:
     """A few numbers per language as a table whose size Spark knows when it plans the join."""
-    return per_language.sparkSession.createDataFrame(per_language.collect(), per_language.schema)
+    return per_language.sparkSession.createDataFrame(per_language.toArrow())
 
 
 def kneser_ney(grams: DataFrame, order: int = ORDER) -> DataFrame:
