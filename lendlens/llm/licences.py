@@ -5,7 +5,7 @@ case letters and digits, all else being one blank. With sets A and B of word big
 2|A n B| / (|A| + |B|) reaches t only if |A| t / (2 - t) <= |B| <= |A| (2 - t) / t, so the sizes
 choose the templates a unit is compared to. A unit that reaches t holds the share t / (2 - t) of
 a template's bigrams at least, so it holds one of any words that touch more than the other
-bigrams; texts and units without such a word are passed over. Before its bigrams are built a
+bigrams; texts and units without such words are passed over. Before its bigrams are built a
 unit must have enough words, and not more distinct words than bigrams allow. DataFrame
 functions only.
 """
@@ -46,24 +46,39 @@ def template_bigrams(templates: dict[str, str]) -> dict[str, list[str]]:
     return {name: pairs for name, pairs in found.items() if pairs}
 
 
-def telling_words(known: dict[str, list[str]], threshold: float) -> list[str]:
-    """Words of which any unit that reaches the threshold holds one; long words first."""
-    chosen = set()
+def telling_words(pairs: list[str], threshold: float) -> tuple[list[str], list[str]]:
+    """(words, rest): a unit that reaches the threshold holds one of the words or all of the rest.
+
+    It holds `need` of the template's bigrams. The longest words are taken while bigrams remain
+    enough without them; a unit with none of these needs any word without which too few remain.
+    """
+    need, chosen, open_ = math.ceil(len(pairs) * threshold / (2 - threshold) - 1e-9), [], set(pairs)
+    touching = lambda word: {p for p in open_ if word in p.split()}
+    for word in sorted({w for p in pairs for w in p.split()}, key=lambda w: (-len(w), w)):
+        if len(open_) < need or len(word) < 4:
+            break
+        if touching(word):
+            open_ -= touching(word)
+            chosen.append(word)
+    rest = sorted({w for p in open_ for w in p.split() if len(open_) - len(touching(w)) < need}) if len(open_) >= need else []
+    return chosen, rest
+
+
+def may_hold(text: Column, known: dict[str, list[str]], threshold: float) -> Column:
+    """Whether a unit within the text can reach the threshold for any template, by the words it holds."""
+    has = lambda word: F.contains(text, F.lit(word))
+    words, found = set(), F.lit(False)
     for pairs in known.values():
-        touched: set[str] = set()
-        spare = len(pairs) * (1 - threshold / (2 - threshold))
-        for word in sorted({w for p in pairs for w in p.split()}, key=lambda w: (w not in chosen, -len(w), w)):
-            if len(touched) > spare + 1e-9:
-                break
-            touched.update(p for p in pairs if word in p.split())
-            chosen.add(word)
-    return sorted(chosen)
-
-
-def any_word(text: Column, words: list[str]) -> Column:
-    found = F.lit(False)
-    for word in words:
-        found = found | F.contains(text, F.lit(word))
+        chosen, rest = telling_words(pairs, threshold)
+        words.update(chosen)
+        open_ = sum(1 for p in pairs if not set(p.split()) & set(chosen))
+        if open_ >= math.ceil(len(pairs) * threshold / (2 - threshold) - 1e-9):
+            all_rest = F.lit(True)
+            for word in rest:
+                all_rest = all_rest & has(word)
+            found = found | all_rest
+    for word in sorted(words):
+        found = has(word) | found
     return found
 
 
@@ -92,9 +107,9 @@ def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None, thre
     least, most = math.ceil(sizes[0] * low - 1e-9), math.floor(sizes[-1] * high + 1e-9)
     lines = F.split(normal(F.col(text)), "\n", -1)
     whole = F.when(F.size(lines) > 1, F.regexp_replace(F.concat_ws(" ", lines), " +", " ")).otherwise("")
-    telling = telling_words(known, threshold)
-    units = docs.where(any_word(F.lower(F.col(text)), telling)) \
-        .select(F.col(key), F.posexplode(F.concat(F.array(whole), lines)).alias("unit", "body")).where(any_word(F.col("body"), telling))
+    units = docs.where(may_hold(F.lower(F.col(text)), known, threshold)) \
+        .select(F.col(key), F.posexplode(F.concat(F.array(whole), lines)).alias("unit", "body")) \
+        .where(may_hold(F.col("body"), known, threshold))
     units = units.withColumn("words", F.split(F.trim("body"), " ")).where(F.size("words") > least) \
         .where(F.size(F.array_distinct("words")) <= most + 1)
     units = units.select(key, "unit", bigram_set(F.col("words")).alias("pairs")).withColumn("n", F.size("pairs"))
