@@ -27,6 +27,7 @@ SPACE = regex.compile(r"\s+")
 ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 WORD_END = "</w>"
+BLOCK = 2 << 20  # bytes of text whose pieces are in memory
 
 
 def byte_letters() -> list[str]:
@@ -160,7 +161,7 @@ def token_ids(spark: SparkSession, text: Column, path: str) -> Column:
             rows, known = coded_pieces(bpe, block)
             return pa.array([[i for c in r for i in known[c]] for r in rows], pa.list_(pa.int32()))
         for texts in batches:
-            yield by_block(texts, work)
+            yield by_block(texts, work, BLOCK)
     return ids(text)
 
 
@@ -207,5 +208,5 @@ def encoded_digest(spark: SparkSession, text: Column, path: str) -> Column:
                 "ids_sha256": ([sha(" ".join([spelled[c] for c in r])) for r in rows], pa.string()),
                 "decoded_sha256": ([sha(" ".join([back[c] for c in r])) for r in rows], pa.string())})
         for texts in batches:
-            yield by_block(texts, work)
+            yield by_block(texts, work, BLOCK)
     return digest(text)

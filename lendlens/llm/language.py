@@ -26,6 +26,7 @@ CHAIN = 256
 # Fitted on a bounded sample: so many rows, so many bytes of whole texts, pieces of each.
 FIT_ROWS, FIT_BYTES, FIT_PIECES, PIECE = 2000, 16 << 20, 4, 24
 STEPS = 40
+BLOCK = 2 << 20  # bytes of text whose words are in memory with all their probabilities
 NO_LANGUAGE = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -210,7 +211,7 @@ def language(spark: SparkSession, text: Column, model: LanguageModel) -> Column:
             names, score = model.predict(block)
             return struct_of({"lang_pred": (names, pa.string()), "score": (score, pa.float64())})
         for texts in batches:
-            yield by_block(texts, work)
+            yield by_block(texts, work, BLOCK)
     return predict(text)
 
 
@@ -231,5 +232,5 @@ def word_languages(spark: SparkSession, text: Column, model: LanguageModel) -> C
                     for i, (c, b) in enumerate(zip(codes.tolist(), best))]
             return pa.array([rows[a:b] for a, b in zip(starts[:-1], starts[1:])], kind)
         for texts in batches:
-            yield by_block(texts, work)
+            yield by_block(texts, work, BLOCK)
     return label(text)
