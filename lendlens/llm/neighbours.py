@@ -141,9 +141,9 @@ def fit(sample: list[tuple[str, int]], seed: int = 7) -> QualityModel:
     for _ in range(6):
         q, _ = np.linalg.qr(rows.T @ (rows @ q))
     _, values, turn = np.linalg.svd(rows @ q, full_matrices=False)
-    basis = (q @ turn.T)[:, :DIM]
+    strong = np.flatnonzero(values[:DIM] > 1e-3 * values[0])  # the others are noise
     # Directions count by the root of their strength, so the first does not drown the others.
-    model.basis = (basis / np.sqrt(np.maximum(values[:basis.shape[1]], 1e-6))).astype(np.float32)
+    model.basis = ((q @ turn.T)[:, strong] / np.sqrt(values[strong])).astype(np.float32)
     model.vectors = np.concatenate([model.project(block) for block in blocks])
     return model
 
