@@ -13,7 +13,7 @@ from lendlens.constants import (
 )
 from lendlens.functions.numeric import half_even, parse_number
 from lendlens.operators.encode import (
-    MAX_LEVELS, OneHotLevels, bool_to_int, level_counts, ordinal_encode, sorted_levels,
+    OneHotLevels, bool_to_int, collected_levels, level_counts, ordinal_encode, sorted_levels,
 )
 from lendlens.operators.ordered import ROWS_PER_RANGE, exact_quantiles, unpivot_numeric
 from lendlens.operators.temporal import temporal_features
@@ -39,8 +39,17 @@ def null_count(column: str) -> Column:
     return F.count_if(F.col(column).isNull())
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """Not-a-number is a missing value like null."""
+    return df.withColumns({
+        f.name: F.when(~F.isnan(f.name), F.col(f.name))
+        for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))
+    })
+
+
 def missing_report(df: DataFrame, only_missing: bool = True) -> DataFrame:
     """(column, missing_count, missing_percent), most missing first; one pass, no shuffle of rows."""
+    df = nan_to_null(df)
     counts = df.agg(
         F.count(F.lit(1)).alias("total"),
         F.array(*[
@@ -196,7 +205,7 @@ class FeaturePipeline:
 
 def encode_rows(df: DataFrame) -> DataFrame:
     """The part of the pipeline that needs no fitted state."""
-    return bool_to_int(ordinal_encode(temporal_features(df)))
+    return bool_to_int(ordinal_encode(temporal_features(nan_to_null(df))))
 
 
 def fit_pipeline(df: DataFrame, order: str = "impute_first", keep: Sequence[str] = ()) -> FeaturePipeline:
@@ -264,16 +273,10 @@ def median_of_counts(counts: dict[str | None, int]) -> float | None:
 
 
 def counted_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str | None, int]]:
-    """Counts per column and level on the driver; an error when they are too many to be levels."""
+    """Counts per column and level on the driver, each column for itself."""
     if not columns:
         return {}
-    rows = level_counts(df, columns).limit(MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} levels: not categories to encode as columns")
-    counts: dict[str, dict[str | None, int]] = {}
-    for r in rows:
-        counts.setdefault(r["column"], {})[r["value"]] = r["n"]
-    return counts
+    return collected_levels(df, columns)
 
 
 def clean_and_select(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

@@ -45,13 +45,16 @@ def level_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class OneHotLevels:
-    """Sorted levels per column; the first is the base and gets no output column."""
+    """Sorted levels per column, null last; the first is the base and gets no output column.
 
-    levels: dict[str, list[str]]
+    The null level is named ``None``, or ``<null>`` where a real level has that name.
+    """
 
-    def dummies(self) -> list[tuple[str, str, str]]:
+    levels: dict[str, list[str | None]]
+
+    def dummies(self) -> list[tuple[str, str, str | None]]:
         return [
-            (f"{column}_{level}", column, level)
+            (f"{column}_{level_name(level, levels)}", column, level)
             for column, levels in self.levels.items() for level in levels[1:]
         ]
 
@@ -60,30 +63,43 @@ class OneHotLevels:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds 0/1 columns; unknown levels are 0 everywhere."""
-        def dummy(column: str, level: str) -> Column:
-            hit = F.col(column).isNull() if level == MISSING_LEVEL else F.col(column) == level
+        def dummy(column: str, level: str | None) -> Column:
+            hit = F.col(column).isNull() if level is None else F.col(column) == level
             return F.coalesce(hit, F.lit(False)).cast("double")
         return df.withColumns({name: dummy(c, level) for name, c, level in self.dummies()})
 
 
-def sorted_levels(found: list[tuple[str, str | None]]) -> dict[str, list[str]]:
-    levels: dict[str, list[str]] = {}
+def level_name(level: str | None, levels: Sequence[str | None]) -> str:
+    if level is None:
+        return "<null>" if MISSING_LEVEL in levels else MISSING_LEVEL
+    return level
+
+
+def sorted_levels(found: list[tuple[str, str | None]]) -> dict[str, list[str | None]]:
+    levels: dict[str, list[str | None]] = {}
     for column, value in found:
-        levels.setdefault(column, []).append(MISSING_LEVEL if value is None else value)
-    return {
-        c: sorted(v for v in vs if v != MISSING_LEVEL) + [MISSING_LEVEL] * (MISSING_LEVEL in vs)
-        for c, vs in levels.items()
-    }
+        levels.setdefault(column, []).append(value)
+    return {c: sorted(v for v in vs if v is not None) + [None] * (None in vs) for c, vs in levels.items()}
+
+
+def collected_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str | None, int]]:
+    """Counts per column and level on the driver; an error when a column has too many to be levels."""
+    rows = level_counts(df, columns).limit(MAX_LEVELS * len(columns) + 1).collect()
+    counts: dict[str, dict[str | None, int]] = {}
+    for r in rows:
+        counts.setdefault(r["column"], {})[r["value"]] = r["n"]
+    for column, levels in counts.items():
+        if len(levels) > MAX_LEVELS:
+            raise ValueError(f"{column}: more than {MAX_LEVELS} levels, not categories to encode as columns")
+    return counts
 
 
 def onehot_fit(df: DataFrame, columns: Sequence[str] = tuple(NOMINAL_COLUMNS)) -> OneHotLevels:
     columns = [c for c in columns if c in df.columns]
     if not columns:
         return OneHotLevels({})
-    rows = level_counts(df, columns).select("column", "value").limit(MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} levels: not categories to encode as columns")
-    levels = sorted_levels([(r["column"], r["value"]) for r in rows])
+    counts = collected_levels(df, columns)
+    levels = sorted_levels([(c, v) for c, values in counts.items() for v in values])
     return OneHotLevels({c: levels[c] for c in columns if c in levels})
 
 
@@ -91,7 +107,7 @@ def onehot_levels_table(df: DataFrame, columns: Sequence[str] = tuple(NOMINAL_CO
     """(column, level, position, is_base) of every level, as a table."""
     fitted = onehot_fit(df, columns)
     rows = [
-        (column, level, i, i == 0)
+        (column, level_name(level, levels), i, i == 0)
         for column, levels in fitted.levels.items() for i, level in enumerate(levels)
     ]
     return df.sparkSession.createDataFrame(

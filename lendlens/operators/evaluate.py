@@ -34,10 +34,12 @@ def score_curve(scores: DataFrame, by: Sequence[str] = MODEL, label: str = "labe
     """Per group and distinct score: ``n`` rows, ``pos`` positives, rows (``above``) and
     positives (``tp``) at this score or higher, rows up to it (``upto``), group sizes.
 
-    ``points`` are known cut points of the score, which spare a pass to find them.
+    ``points`` are known cut points of the score, which spare a pass to find them. A null score
+    fails: no measure leaves rows out unseen.
     """
-    rows = scores.select(*by, F.col(label).cast("int").alias("label"), F.col(score).alias("score"))
-    counts = rows.where(F.col("score").isNotNull()).groupBy(*by, "score").agg(
+    known = F.coalesce(F.col(score), F.raise_error(F.lit(f"{score} is null")).cast(scores.schema[score].dataType))
+    rows = scores.select(*by, F.col(label).cast("int").alias("label"), known.alias("score"))
+    counts = rows.groupBy(*by, "score").agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
     ranged = collapsed_ranges(counts, "score", rows_per_range, points)
     curve = running_totals(
@@ -241,12 +243,12 @@ def tertile() -> Column:
 
 def score_tertiles(scores: DataFrame, curve: DataFrame, by: Sequence[str] = MODEL,
                    score: str = "score") -> DataFrame:
-    """Each scored row with its quantile third, by the highest score of the lower two."""
+    """Each row with the quantile third of its score, by the highest score of the lower two; null without one."""
     tops = small_table(curve.groupBy(*by).agg(
         F.max(F.when(at_most_quantile(1 / 3), F.col("score"))).alias("__low"),
         F.max(F.when(at_most_quantile(2 / 3), F.col("score"))).alias("__medium")))
     x = F.col(score)
-    segment = F.when(x <= F.col("__low"), "Low").when(x <= F.col("__medium"), "Medium").otherwise("High")
+    segment = F.when(x <= F.col("__low"), "Low").when(x <= F.col("__medium"), "Medium").when(x.isNotNull(), "High")
     return scores.join(tops, list(by)).withColumn("segment", segment).drop("__low", "__medium")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from typing import Protocol
@@ -79,10 +80,11 @@ class GramSums:
 
 
 def gram_sums(df: DataFrame, features: Sequence[str], label: str, part: str | None = None) -> GramSums:
-    """One pass for the means and one for the products; rows with nulls take no part."""
+    """One pass for the means and one for the products; a null feature fails, as in the other fits."""
     columns = [*features, "__target"]
     rows = df.withColumn("__target", F.when(F.col(label).cast("int") == 1, 1.0).otherwise(-1.0))
-    rows = rows.select(*columns, *[part] * bool(part)).dropna(subset=list(features))
+    known = [F.coalesce(F.col(c), F.raise_error(F.lit(f"{c} is null")).cast(rows.schema[c].dataType)).alias(c) for c in features]
+    rows = rows.select(*known, "__target", *[part] * bool(part))
     shifts = column_means(rows, columns)
     width = len(columns)
     counts, sums, products = {}, {}, {}
@@ -241,8 +243,18 @@ def bernoulli_folds(df: DataFrame, features: Sequence[str], label: str, folds: i
 
 # Bagging -------------------------------------------------------------------------------------
 
-# Cumulative probabilities of a Poisson variable with mean 1.
-POISSON_STEPS = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
+def poisson_steps() -> list[float]:
+    """Cumulative probabilities of a Poisson variable with mean 1, as far as a double tells them from 1."""
+    term = total = math.exp(-1)
+    steps = [total]
+    while total + term / len(steps) < 1 - 2.0 ** -52 and len(steps) < 25:
+        term /= len(steps)
+        total += term
+        steps.append(total)
+    return steps
+
+
+POISSON_STEPS = poisson_steps()
 
 
 def poisson_weight(row_id: str, seed: int) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -73,6 +74,13 @@ def hash_ranks(df: DataFrame, row_id: str, seed: int) -> DataFrame:
     return ranked.drop("__key", "__one", "range_id")
 
 
+def score_scale(model: LinearModel) -> Column:
+    """A power of ten that brings the weights to about 1: rounding then only joins scores that
+    differ by the order of summation, at any size of the weights."""
+    largest = max(map(abs, model.weights.values()), default=0.0)
+    return F.lit(10.0 ** max(0, -math.floor(math.log10(largest)) - 1) if largest else 1.0)
+
+
 def permutation_scores(df: DataFrame, model: LinearModel, row_id: str, label: str,
                        repeats: int = 10, seed: int = 42) -> DataFrame:
     """Scores after permuting one feature: rows of (feature, repeat, label, score).
@@ -96,14 +104,14 @@ def permutation_scores(df: DataFrame, model: LinearModel, row_id: str, label: st
     moved = takers.join(donors, "place").select(
         "label", "margin", "repeat", changes.alias("position", "change"))
     return moved.select(F.get(names, F.col("position")).alias("feature"), "repeat", "label",
-                        F.round(F.col("margin") + F.col("change"), 6).alias("score"))
+                        F.round((F.col("margin") + F.col("change")) * score_scale(model), 6).alias("score"))
 
 
 def permutation_importance(df: DataFrame, model: LinearModel, row_id: str, label: str,
                            repeats: int = 10, seed: int = 42) -> DataFrame:
     """Mean and deviation of the AUC lost when a feature is permuted; all passes in one job."""
     base = df.select(F.lit(model.name).alias("model_name"), F.col(label).cast("int").alias("label"),
-                     F.round(model.margin(), 6).alias("score"))
+                     F.round(model.margin() * score_scale(model), 6).alias("score"))
     base_auc = roc_auc(score_curve(base)).first()["auc"]
     permuted = permutation_scores(df, model, row_id, label, repeats, seed)
     # Permuted scores spread like the unpermuted ones, so those give the cut points.

@@ -156,13 +156,15 @@ def calibration_bins(df: DataFrame, score: str = "risk_score", bins: int = 10) -
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
-    """Equal-width counts, left-closed with a closed last bin; only filled bins are listed."""
+    """Equal-width counts, left-closed with a closed last bin; empty bins are listed with 0."""
     low, high = F.col("__low"), F.col("__high")
     where = equal_width_bin(F.col(value).cast("double"), low, high, bins, right_closed=False)
-    counted = _with_range(df, value).groupBy(where.alias("bin"), "__low", "__high").agg(
-        F.count(F.lit(1)).alias("count"))
+    counted = _with_range(df, value).groupBy(where.alias("bin"), "__low", "__high").agg(F.count(F.lit(1)).alias("n"))
+    filled = counted.groupBy("__low", "__high").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("filled"))
     step = (high - low) / F.lit(float(bins))
-    return counted.select("bin", (F.col("bin") * step + low).alias("lower_edge"), "count")
+    listed = filled.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    return listed.select("bin", (F.col("bin") * step + low).alias("lower_edge"),
+                         F.coalesce(F.try_element_at("filled", F.col("bin")), F.lit(0).cast("long")).alias("count"))
 
 
 def underwriting_effectiveness(df: DataFrame) -> DataFrame:

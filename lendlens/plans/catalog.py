@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -69,9 +68,8 @@ def curve(spark: SparkSession, folder: str) -> DataFrame:
     return ev.score_curve(S_(spark, folder))
 
 
-@lru_cache(maxsize=8)
 def fitted(spark: SparkSession, folder: str) -> clean.FeaturePipeline:
-    """The row pipeline fitted once per table folder, as it would be before scoring."""
+    """The row pipeline, fitted anew by every query on the tables as they are."""
     return clean.fit_pipeline(T_(spark, folder), "convert_first", (ROW_ID,))
 
 

@@ -28,9 +28,8 @@ def write_features(df: DataFrame, folder: str, partition_by: Sequence[str] = (),
     """Parquet table of features, read back."""
     writer = df.write.mode(mode)
     if partition_by:
-        # Rows of one partition value are spread over a few writers, so a hot value is no single task.
-        writer = df.repartition(*[F.col(c) for c in partition_by], F.pmod(F.xxhash64(*df.columns), F.lit(16))
-                                ).write.mode(mode).partitionBy(*partition_by)
+        # Rebalancing splits a large partition value over as many writers as its size asks for.
+        writer = df.hint("rebalance", *partition_by).write.mode(mode).partitionBy(*partition_by)
     writer.parquet(folder)
     return df.sparkSession.read.parquet(folder)
 

@@ -13,12 +13,6 @@ def normalize_timestamps(df: DataFrame) -> DataFrame:
     ])
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Gives a table of very few files to all cores; larger tables are left as they are read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
-
-
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     return normalize_timestamps(df.select(columns) if columns else df)

@@ -224,3 +224,23 @@ def test_pipeline_fills_many_and_few_valued_numbers(spark, monkeypatch):
     monkeypatch.setattr(clean, "FEW_VALUES", 0)
     ordered = clean.fit_pipeline(rows).fills.values
     assert counted == ordered and {"amount", "days_to_first_missed_payment"} <= set(counted)
+
+
+def test_null_and_a_level_named_none_stay_apart(spark):
+    df = spark.createDataFrame([("None",), ("a",), (None,)], "device_type string")
+    levels = encode.onehot_fit(df)
+    assert levels.columns() == ["device_type_a", "device_type_<null>"]
+    found = [(r["device_type_a"], r["device_type_<null>"]) for r in levels.transform(df).collect()]
+    assert found == [(0, 0), (1, 0), (0, 1)]
+
+
+def test_not_a_number_is_missing(spark):
+    df = spark.createDataFrame([(1.0, 1), (float("nan"), 2), (None, 3)], "x double, y int")
+    assert [(r["column"], r["missing_count"]) for r in clean.missing_report(df).collect()] == [("x", 2)]
+
+
+def test_histogram_lists_empty_bins(spark):
+    from lendlens.operators.underwriting import histogram
+
+    df = spark.createDataFrame([(0.0,), (0.1,), (5.0,), (None,)], "x double")
+    assert sorted((r["bin"], r["count"]) for r in histogram(df, "x", 5).collect()) == [(0, 2), (1, 0), (2, 0), (3, 0), (4, 1)]

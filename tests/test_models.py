@@ -333,3 +333,27 @@ def test_ridge_without_intercept_on_scaled_columns(planted):
     assert model.weights["x"] == pytest.approx(weights[0])
     assert model.weights["amount"] == pytest.approx(weights[1] / spread)
     assert model.intercept == pytest.approx(-weights[1] / spread * mean)
+
+
+def test_null_scores_are_not_left_out(spark):
+    rows = spark.createDataFrame([("m", 1, 0.5), ("m", 0, 0.2), ("m", 0, None)], "model_name string, label int, score double")
+    with pytest.raises(Exception, match="score is null"):
+        ev.score_curve(rows).collect()
+    curve = ev.score_curve(rows.where("score is not null"))
+    found = {r["score"]: r["segment"] for r in ev.score_tertiles(rows, curve).collect()}
+    assert found[None] is None and found[0.5] == "High"
+
+
+def test_null_features_fail_the_fit(spark):
+    rows = spark.createDataFrame([(1.0, 1), (None, 0), (2.0, 0)], "x double, y int")
+    with pytest.raises(Exception, match="x is null"):
+        fit.fit_ridge(rows, ["x"], "y")
+
+
+def test_importance_does_not_depend_on_the_size_of_the_weights(spark):
+    rows = spark.createDataFrame([(i, float(i % 7), float(i % 3), int(i % 7 > 3)) for i in range(200)],
+                                 "id long, a double, b double, y int")
+    found = [{r["feature"]: round(r["perm_importance"], 6) for r in importance.permutation_importance(
+        rows, sc.LinearModel("m", 0.0, {"a": 0.5 * size, "b": 0.01 * size}), "id", "y", repeats=2).collect()}
+        for size in (1.0, 1e-7)]
+    assert found[0] == found[1] and found[0]["a"] > 0.1
