@@ -31,6 +31,7 @@ SPREAD = 4.0  # quartile ranges beyond the quartiles
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 GRAMS_HELD = 400_000
+BLOCK = 8 << 20  # bytes of text at a time: large blocks repeat fewer words
 
 
 def gram_keys(words: list[str], lang: str, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
@@ -97,7 +98,7 @@ def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang", order:
 
         for batch in batches:
             langs, at = np.array(batch.column(0).to_pylist(), object), 0
-            for block in text_blocks(batch.column(1)):
+            for block in text_blocks(batch.column(1), BLOCK):
                 codes, starts, words = split_words(pc.utf8_lower(block))
                 own = np.repeat(langs[at:at + len(block)], np.diff(starts))
                 at += len(block)
@@ -262,7 +263,7 @@ def text_counts(docs: DataFrame, model: HashArrays | None, text: str, lang: str,
         arrays = HashArrays(*shared.value) if shared.value else None
         for texts, names in batches:
             names, at, parts = np.array(names.to_pylist(), object), 0, []
-            for block in text_blocks(texts):
+            for block in text_blocks(texts, BLOCK):
                 codes, starts, words = split_words(block)
                 found = base_counts(block, codes, starts, len(words))
                 lowered = pc.utf8_lower(words)
