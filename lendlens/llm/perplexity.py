@@ -339,6 +339,8 @@ def judge_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
     # Nearly equal documents must not shrink the band to nothing.
     width = spread * F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(0.02) * F.col("q")[1])
     bands = quartiles.select("_lang", (F.col("q")[0] - width).alias("lower"), (F.col("q")[2] + width).alias("upper"))
+    # Written, so that the join is chosen by its real size: the documents are not dealt by language.
+    bands = materialize(bands, "bands")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return rows.join(bands, no_null(rows[lang]) == F.col("_lang"), "left").withColumn("base_failed", failed).select(
         key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
