@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lendlens.constants import BOOLEAN_COLUMNS, NOMINAL_COLUMNS, ORDINAL_LEVELS, UNKNOWN_CODE
 from lendlens.operators.ordered import unpivot_text
-from lendlens.session import small_table
+from lendlens.session import sized_table
 
 MAX_LEVELS = 10_000
 MISSING_LEVEL = "None"
@@ -133,4 +133,4 @@ def target_encode_fit(df: DataFrame, column: str, target: str) -> TargetMeans:
     y = F.col(target).cast("double")
     overall = df.agg(F.avg(y).alias("mean")).first()["mean"]
     means = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.avg(y).alias("level_mean"))
-    return TargetMeans(column, small_table(means), overall)
+    return TargetMeans(column, sized_table(means), overall)

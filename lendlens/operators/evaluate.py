@@ -19,7 +19,7 @@ from lendlens.functions.numeric import half_even, ratio
 from lendlens.operators.ordered import (
     ROWS_PER_RANGE, collapsed_ranges, quantile_parts, running_totals,
 )
-from lendlens.session import small_table
+from lendlens.session import sized_table
 
 MODEL = ("model_name",)
 PRECISION_TARGETS = (0.90, 0.95, 0.98)
@@ -244,7 +244,7 @@ def tertile() -> Column:
 def score_tertiles(scores: DataFrame, curve: DataFrame, by: Sequence[str] = MODEL,
                    score: str = "score") -> DataFrame:
     """Each row with the quantile third of its score, by the highest score of the lower two; null without one."""
-    tops = small_table(curve.groupBy(*by).agg(
+    tops = sized_table(curve.groupBy(*by).agg(
         F.max(F.when(at_most_quantile(1 / 3), F.col("score"))).alias("__low"),
         F.max(F.when(at_most_quantile(2 / 3), F.col("score"))).alias("__medium")))
     x = F.col(score)

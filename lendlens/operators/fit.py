@@ -229,9 +229,17 @@ def fit_bernoulli_nb(df: DataFrame, features: Sequence[str], label: str, alpha:
 
 
 def bernoulli_folds(df: DataFrame, features: Sequence[str], label: str, folds: int | None,
-                    alpha: float = 1.0, binarize: float = 0.0, fit_prior: bool = True) -> list[BernoulliModel]:
-    """Per fold the model of all other folds from one pass; without folds, the one of all rows."""
-    counts = _bernoulli_counts(df, features, label, binarize, "fold" if folds else None)
+                    alpha: float = 1.0, binarize: float = 0.0, fit_prior: bool = True,
+                    counted: dict | None = None) -> list[BernoulliModel]:
+    """Per fold the model of all other folds from one pass; without folds, the one of all rows.
+
+    ``counted`` keeps the counts per cut, so that points of a search that share a cut on the same
+    rows share the pass.
+    """
+    counted = {} if counted is None else counted
+    if binarize not in counted:
+        counted[binarize] = _bernoulli_counts(df, features, label, binarize, "fold" if folds else None)
+    counts = counted[binarize]
     nothing = np.zeros(len(features) + 1)
 
     def rows_of(label_value: int, left_out: int | None) -> np.ndarray:
@@ -308,18 +316,18 @@ class NeighbourModel:
     def score(self, df: DataFrame, output: str) -> DataFrame:
         spark = df.sparkSession
         shared = spark.sparkContext.broadcast((self.points, self.labels))
-        features, vote = self.features, _voter(self.k, self.by_distance)
+        vote = _voter(self.k, self.by_distance)
 
-        def neighbours(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        @F.pandas_udf("double")
+        def neighbours(frames: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
             points, labels = shared.value
             for frame in frames:
-                rows = frame[features].to_numpy("float64")
+                rows = frame.to_numpy("float64")
                 blocks = [vote(rows[i:i + BLOCK_ROWS], points, labels)
                           for i in range(0, len(rows), BLOCK_ROWS)]
-                yield frame.assign(**{output: np.concatenate(blocks) if blocks else np.empty(0)})
+                yield pd.Series(np.concatenate(blocks) if blocks else np.empty(0))
 
-        schema = df.select("*", F.lit(0.0).alias(output)).schema
-        return df.mapInPandas(neighbours, schema)
+        return df.withColumn(output, neighbours(F.struct(*self.features)))
 
 
 def _voter(k: int, by_distance: bool):
@@ -335,20 +343,18 @@ def _voter(k: int, by_distance: bool):
         sizes = (block ** 2).sum(axis=1)[:, None] + (points ** 2).sum(axis=1)[None, :]
         rough = sizes - 2.0 * (block @ points.T)
         limit = np.partition(rough, near - 1, axis=1)[:, near - 1]
-        margin = 1e-9 * sizes.max(axis=1)
-        result = np.empty(len(block))
-        for i, row in enumerate(block):
-            candidates = np.flatnonzero(rough[i] <= limit[i] + margin[i])
-            exact = np.sqrt(((points[candidates] - row) ** 2).sum(axis=1))
-            chosen = np.argsort(exact, kind="stable")[:near]
-            nearest, distances = labels[candidates[chosen]], exact[chosen]
-            if by_distance and distances[0] == 0:
-                result[i] = nearest[distances == 0].mean()
-            elif by_distance:
-                result[i] = np.average(nearest, weights=1.0 / distances)
-            else:
-                result[i] = nearest.mean()
-        return result
+        inside = rough <= (limit + 1e-9 * sizes.max(axis=1))[:, None]
+        row, point = np.nonzero(inside)
+        exact = np.sqrt(((points[point] - block[row]) ** 2).sum(axis=1))
+        order = np.lexsort((point, exact, row))
+        first = np.searchsorted(row, np.arange(len(block)))
+        chosen = order[first[:, None] + np.arange(near)]
+        nearest, distances = labels[point[chosen]], exact[chosen]
+        if not by_distance:
+            return nearest.mean(axis=1)
+        same = distances == 0
+        weights = np.where(same.any(axis=1)[:, None], same, 1.0 / np.where(same, 1.0, distances))
+        return (nearest * weights).sum(axis=1) / weights.sum(axis=1)
 
     return vote
 

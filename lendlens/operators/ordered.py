@@ -15,21 +15,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lendlens.session import materialize
 
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 1_000
 
 
 def cut_points(df: DataFrame, value: str, rows_per_range: float = ROWS_PER_RANGE) -> list[float]:
-    """Boundaries that split the values into similar parts; any boundaries give right results."""
-    grid = ", ".join(f"{i / MAX_RANGES}D" for i in range(1, MAX_RANGES))
-    found = df.select(F.col(value).cast("double").alias("v")).agg(
-        F.count("v").alias("n"),
-        F.expr(f"percentile_approx(v, array({grid}), {4 * MAX_RANGES})").alias("grid"),
-    ).first()
-    ranges = int(min(MAX_RANGES, -(-found["n"] // rows_per_range)))
+    """Boundaries that split the values into similar parts; any boundaries give right results.
+
+    The number of parts follows the number of rows, so a part stays as large as one task may sort.
+    """
+    values = df.select(F.col(value).cast("double").alias("v"))
+    ranges = int(-(-values.agg(F.count("v")).first()[0] // rows_per_range))
     if ranges <= 1:
         return []
-    step = MAX_RANGES / ranges
-    return sorted({found["grid"][min(MAX_RANGES - 2, int(i * step))] for i in range(1, ranges)})
+    shares = ", ".join(f"{i / ranges}D" for i in range(1, ranges))
+    found = values.agg(F.expr(f"percentile_approx(v, array({shares}), {4 * ranges})").alias("grid")).first()
+    return sorted(set(found["grid"]))
 
 
 def with_range(df: DataFrame, value: str, rows_per_range: int = ROWS_PER_RANGE,

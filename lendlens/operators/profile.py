@@ -14,7 +14,7 @@ from lendlens.operators.clean import (
 )
 from lendlens.operators.encode import level_counts
 from lendlens.operators.ordered import exact_quantiles, unpivot_numeric
-from lendlens.session import small_table, with_scalars
+from lendlens.session import sized_table, with_scalars
 
 QUARTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75}
 
@@ -71,7 +71,7 @@ def categorical_candidates(df: DataFrame, max_ratio: float = 0.1, max_levels: in
     # Only columns with few levels reach this window, so a partition stays below max_levels rows.
     order = Window.partitionBy("column").orderBy(F.desc("n"), "value")
     top = (
-        counts.where(F.col("value").isNotNull()).join(small_table(few.select("column")), "column")
+        counts.where(F.col("value").isNotNull()).join(sized_table(few.select("column")), "column")
         .withColumn("place", F.row_number().over(order)).where(F.col("place") <= examples)
         .groupBy("column")
         .agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("top"))

@@ -10,11 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lendlens.functions.hashing import order_key
+from lendlens.session import materialize
 
 DIGITS = 3
+KEY_DIGITS = 32
 MAX_STRATA = 1_000
 ORDERED_ROWS = 200_000
 
@@ -22,32 +24,49 @@ ORDERED_ROWS = 200_000
 Ranks = Callable[[dict], dict]
 
 
+def row_key(row_id: str, seed: int) -> Column:
+    """Rows without an id stay together under one key, like rows that share an id."""
+    return order_key(seed, F.coalesce(F.col(row_id).cast("string"), F.lit("")))
+
+
 def _keyed(df: DataFrame, row_id: str, seed: int) -> DataFrame:
-    return df.withColumn("__key", order_key(seed, F.col(row_id)))
+    return df.withColumn("__key", row_key(row_id, seed))
 
 
-def _prefix_counts(keyed: DataFrame, stratum: str, digits: int, within: Sequence[str] = ()) -> dict:
-    """Rows per stratum and key prefix; at most 16 ** DIGITS prefixes below each known one."""
+def _prefix_counts(keyed: DataFrame, stratum: str, digits: int, within: Sequence[str] = ()) -> DataFrame:
+    """Rows ``n`` per stratum and key prefix, written; at most 16 ** DIGITS prefixes below each known one."""
     rows = keyed
     if within:
         rows = rows.where(F.substring("__key", 1, len(within[0])).isin(list(within)))
-    counts = rows.groupBy(stratum, F.substring("__key", 1, digits).alias("prefix")).agg(
-        F.count(F.lit(1)).alias("n"))
-    table: dict = {}
-    for r in counts.collect():
-        table.setdefault(r[stratum], {})[r["prefix"]] = r["n"]
-        if len(table) > MAX_STRATA:
-            raise ValueError(f"more than {MAX_STRATA} strata")
-    return table
+    return materialize(rows.groupBy(F.col(stratum).alias("stratum"), F.substring("__key", 1, digits).alias("prefix")).agg(
+        F.count(F.lit(1)).alias("n")), "prefixes")
+
+
+def _strata_sizes(counts: DataFrame) -> dict:
+    """Rows per stratum in order of stratum, null first; too many strata fail before any of them is fetched."""
+    sizes = counts.groupBy("stratum").agg(F.sum("n").alias("n"))
+    found = sizes.limit(MAX_STRATA + 1).collect()
+    if len(found) > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} strata")
+    return {r["stratum"]: r["n"] for r in sorted(found, key=lambda r: (r["stratum"] is not None, r["stratum"]))}
 
 
-def _descend(counts: dict[str, int], prefix: str, rank: int) -> tuple[str, int]:
-    """The longer prefix that holds the rank, and the rank inside it."""
-    for found in sorted(p for p in counts if p.startswith(prefix)):
-        if rank <= counts[found]:
-            return found, rank
-        rank -= counts[found]
-    raise ValueError("rank beyond the stratum")
+def _located(rows: DataFrame, places: dict, size: int) -> dict:
+    """Per place the row of (stratum, value, n) that holds its rank below its prefix of ``size`` digits.
+
+    Ranks are found by running totals on executors; only the rows that hold one are fetched.
+    """
+    spark = rows.sparkSession
+    wanted = spark.createDataFrame(
+        [(s, i, prefix, rank) for (s, i), (prefix, rank) in places.items()],
+        T.StructType([T.StructField("s", rows.schema["stratum"].dataType), T.StructField("place", T.IntegerType()),
+                      T.StructField("below", T.StringType()), T.StructField("rank", T.LongType())]))
+    below = F.substring("value", 1, size)
+    order = Window.partitionBy("stratum", "below").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    totals = rows.withColumn("below", below).withColumn("upto", F.sum("n").over(order)).withColumnRenamed("below", "under")
+    held = totals.join(F.broadcast(wanted), F.col("stratum").eqNullSafe(F.col("s")) & (F.col("under") == F.col("below"))).where(
+        (F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
+    return {(r["s"], r["place"]): (r["value"], r["rank"] - (r["upto"] - r["n"]), r["n"]) for r in held.collect()}
 
 
 def cut_keys(df: DataFrame, stratum: str, row_id: str, seed: int, ranks: Ranks,
@@ -55,37 +74,27 @@ def cut_keys(df: DataFrame, stratum: str, row_id: str, seed: int, ranks: Ranks,
     """Per stratum the keys at the wanted ranks; rank 0 gives the empty key before all rows."""
     keyed = _keyed(df.select(stratum, row_id), row_id, seed)
     counts = _prefix_counts(keyed, stratum, DIGITS)
-    strata = sorted(counts, key=lambda s: (s is not None, s))
-    sizes = {s: sum(counts[s].values()) for s in strata}
-    places = {(s, i): ("", rank) for s, rs in ranks(sizes).items() for i, rank in enumerate(rs) if rank > 0}
-    digits = DIGITS
-    while True:
-        places = {(s, i): _descend(counts[s], prefix, rank) for (s, i), (prefix, rank) in places.items()}
-        if digits >= 32 or all(counts[s][prefix] <= ordered_rows for (s, _), (prefix, _) in places.items()):
+    wanted = ranks(_strata_sizes(counts))
+    places = {(s, i): ("", rank) for s, rs in wanted.items() for i, rank in enumerate(rs) if rank > 0}
+    size, digits = 0, DIGITS
+    while places:
+        found = _located(counts.withColumnRenamed("prefix", "value"), places, size)
+        places = {at: (prefix, rank) for at, (prefix, rank, _) in found.items()}
+        size = digits
+        if size >= KEY_DIGITS or all(n <= ordered_rows for _, _, n in found.values()):
             break
-        digits = min(32, digits + DIGITS)
+        digits = min(KEY_DIGITS, size + DIGITS)
         counts = _prefix_counts(keyed, stratum, digits, sorted({p for p, _ in places.values()}))
-    keys = _keys_at(keyed, stratum, row_id, places)
-    return {s: [keys.get((s, i), "") for i in range(len(rs))] for s, rs in ranks(sizes).items()}
-
-
-def _keys_at(keyed: DataFrame, stratum: str, row_id: str, places: dict) -> dict:
-    if not places:
-        return {}
-    digits = len(next(iter(places.values()))[0])
-    prefix = F.substring("__key", 1, digits)
-    order = Window.partitionBy(stratum, "prefix").orderBy("__key", row_id)
-    few = keyed.withColumn("prefix", prefix).where(
-        F.col("prefix").isin(sorted({p for p, _ in places.values()})))
-    ranked = few.withColumn("place", F.row_number().over(order)).where(
-        F.col("place").isin(sorted({rank for _, rank in places.values()})))
-    found = {(r[stratum], r["prefix"], r["place"]): r["__key"] for r in ranked.collect()}
-    return {(s, i): found[s, p, rank] for (s, i), (p, rank) in places.items()}
+    if places and size < KEY_DIGITS:  # the few rows left below a prefix are ordered by their whole key
+        counts = _prefix_counts(keyed, stratum, KEY_DIGITS, sorted({p for p, _ in places.values()}))
+        found = _located(counts.withColumnRenamed("prefix", "value"), places, size)
+        places = {at: (key, rank) for at, (key, rank, _) in found.items()}
+    return {s: [places[s, i][0] if rank > 0 else "" for i, rank in enumerate(rs)] for s, rs in wanted.items()}
 
 
 def parts_passed(stratum: str, row_id: str, seed: int, cuts: dict[object, list[str]]) -> Column:
     """How many cut keys of its stratum lie before the row."""
-    key = order_key(seed, F.col(row_id))
+    key = row_key(row_id, seed)
     passed = F.lit(0)
     for value, keys in cuts.items():
         here = F.col(stratum).isNull() if value is None else F.col(stratum) == F.lit(value)

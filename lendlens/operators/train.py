@@ -8,6 +8,7 @@ from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import product
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lendlens.operators.evaluate import roc_auc, score_curve
@@ -17,6 +18,8 @@ from lendlens.session import materialize
 
 Fit = Callable[[DataFrame], Scorer]
 
+TOGETHER = 4
+
 
 @dataclass(frozen=True)
 class ModelSpec:
@@ -68,11 +71,11 @@ def held_out_column(models: Sequence) -> Column:
 def held_out_scores(df: DataFrame, specs: Sequence[ModelSpec], label: str, folds: int) -> DataFrame:
     """Every row scored by the models fitted on the other folds: (model_name, fold, label, score).
 
-    Models that come as expressions are scored together in one pass.
+    Models that come as expressions are scored a few together, as many as one compiled method holds.
     """
     parts = []
-    quick = [s for s in specs if s.fit_folds]
-    if quick:
+    every = [s for s in specs if s.fit_folds]
+    for quick in [every[i:i + TOGETHER] for i in range(0, len(every), TOGETHER)]:
         cells = F.explode(F.array(*[
             F.struct(F.lit(s.name).alias("model_name"),
                      held_out_column(s.fit_folds(df, folds)).alias("score")) for s in quick]))
@@ -101,7 +104,10 @@ def cross_validate(df: DataFrame, specs: Sequence[ModelSpec], label: str, folds:
 
 def train_compare(train: DataFrame, test: DataFrame, specs: Sequence[ModelSpec], label: str,
                   folds: int = 5) -> DataFrame:
-    """(model_name, cv_mean, cv_std, test_auc, status); a failing model is recorded, not raised."""
+    """(model_name, cv_mean, cv_std, test_auc, status); a model that cannot be fitted is recorded.
+
+    Failures of jobs or of the session are raised.
+    """
     rows = []
     for spec in specs:
         try:
@@ -110,7 +116,7 @@ def train_compare(train: DataFrame, test: DataFrame, specs: Sequence[ModelSpec],
             scored = _long(model.score(test, "__score"), spec.name, label)
             auc = roc_auc(score_curve(scored)).first()["auc"]
             rows.append((spec.name, cv["cv_mean"], cv["cv_std"], auc, "success"))
-        except Exception as error:
+        except (ValueError, ArithmeticError, IllegalArgumentException) as error:
             rows.append((spec.name, None, None, None, f"failed: {str(error)[:100]}"))
     return train.sparkSession.createDataFrame(
         rows, "model_name string, cv_mean double, cv_std double, test_auc double, status string")

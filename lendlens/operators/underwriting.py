@@ -12,7 +12,7 @@ from lendlens.constants import (
 from lendlens.functions.binning import equal_width_bin
 from lendlens.functions.numeric import half_even, ratio
 from lendlens.operators.ordered import exact_quantiles, running_totals, with_range
-from lendlens.session import small_table, with_scalars
+from lendlens.session import sized_table, with_scalars
 
 DEFAULTED = "will_default"
 
@@ -124,12 +124,12 @@ def repeat_customers(df: DataFrame, k: int = 10, customer: str = "customer_id")
 
 
 def customer_sequences(df: DataFrame, customers: int = 3, customer: str = "customer_id") -> DataFrame:
-    """All rows of the most active customers, numbered in time order.
+    """All rows of the most active customers, numbered in time order, with what each customer had.
 
     These customers may hold much of the table, so they are numbered by time ranges
-    rather than one task each.
+    rather than one task each. Levels and outcomes are few and listed; scores are counted.
     """
-    top = small_table(topk_customers(df, customers, customer).select(customer))
+    top = sized_table(topk_customers(df, customers, customer).select(customer))
     rows = df.join(top, customer).select(
         customer, "transaction_timestamp", "transaction_id", "amount", "risk_level", "risk_score",
         DEFAULTED)
@@ -137,8 +137,11 @@ def customer_sequences(df: DataFrame, customers: int = 3, customer: str = "custo
         "__time": F.unix_micros("transaction_timestamp"), "__one": F.lit(1).cast("long")}), "__time")
     numbered = running_totals(
         ranged, [F.asc("transaction_timestamp"), F.asc("transaction_id")], {"__one": "position"}, [customer])
-    spans = small_table(rows.groupBy(customer).agg(
-        F.min("transaction_timestamp").alias("first_seen"), F.max("transaction_timestamp").alias("last_seen")))
+    spans = sized_table(rows.groupBy(customer).agg(
+        F.min("transaction_timestamp").alias("first_seen"), F.max("transaction_timestamp").alias("last_seen"),
+        F.array_sort(F.collect_set("risk_level")).alias("risk_levels"),
+        F.array_sort(F.collect_set(DEFAULTED)).alias("outcomes"),
+        F.count_distinct("risk_score").alias("unique_risk_scores")))
     return numbered.join(spans, customer).drop("__time", "__one", "range_id")
 
 
@@ -209,7 +212,7 @@ def box_stats_by(df: DataFrame, group: str, value: str) -> DataFrame:
     })
     x = F.col(value)
     inside = (x >= F.col("low_fence")) & (x <= F.col("high_fence"))
-    return df.where(x.isNotNull()).join(small_table(fences), group).groupBy(group).agg(
+    return df.where(x.isNotNull()).join(sized_table(fences), group).groupBy(group).agg(
         F.max("q1").alias("q1"), F.max("median").alias("median"), F.max("q3").alias("q3"),
         F.min(F.when(inside, x)).alias("whisker_low"), F.max(F.when(inside, x)).alias("whisker_high"),
         F.count_if(~inside).alias("outliers"))

@@ -112,7 +112,7 @@ def _(spark, folder):
 
 @query("schema_profile")
 def _(spark, folder):
-    return tx.schema_profile(T_(spark, folder)).drop("is_nullable")
+    return tx.schema_profile(T_(spark, folder))
 
 
 @query("row_count")
@@ -418,9 +418,28 @@ def _(spark, folder):
     return profile.business_metrics(T_(spark, folder))
 
 
+@query("business_metrics_approx")
+def _(spark, folder):
+    rows = T_(spark, folder)
+    totals = profile.business_metrics(rows, exact=False)
+    return with_scalars(totals.drop(*QUARTILE_COLUMNS), _rank_checks(rows.select("amount"), totals))
+
+
+QUARTILE_COLUMNS = {f"{q}_transaction_amount": p for q, p in profile.QUARTILES.items()}
+
+
+def _rank_checks(rows: DataFrame, totals: DataFrame, tolerance: float = 0.001) -> DataFrame:
+    """Whether the share of rows below each estimate and up to it enclose the wanted share."""
+    placed = with_scalars(rows, totals.select(*QUARTILE_COLUMNS))
+    return placed.agg(*[
+        ((F.avg((F.col("amount") < F.col(c)).cast("int")) <= p + tolerance)
+         & (F.avg((F.col("amount") <= F.col(c)).cast("int")) >= p - tolerance)).alias(f"{c}_within")
+        for c, p in QUARTILE_COLUMNS.items()])
+
+
 @query("describe_numeric")
 def _(spark, folder):
-    return profile.describe_numeric(T_(spark, folder), NUMBERS)
+    return profile.describe_numeric(T_(spark, folder))
 
 
 @query("categorical_candidates")
@@ -518,9 +537,7 @@ def _(spark, folder):
 
 @query("correlation_matrix")
 def _(spark, folder):
-    rows = clean.string_to_numeric(T_(spark, folder))
-    return profile.correlation_matrix(rows, [*NUMBERS, "days_to_first_missed_payment",
-                                             "time_on_site_seconds", "price_comparison_time"])
+    return profile.correlation_matrix(X_(spark, folder), FEATURES)
 
 
 def _customer_features(spark, folder):
@@ -580,7 +597,9 @@ def _(spark, folder):
 
 @query("customer_sequences")
 def _(spark, folder):
-    return uw.customer_sequences(T_(spark, folder))
+    rows = uw.customer_sequences(T_(spark, folder))
+    return rows.withColumns({c: F.concat_ws("|", F.transform(c, lambda x: x.cast("string")))
+                             for c in ("risk_levels", "outcomes")})
 
 
 @query("importance_rank")
@@ -670,19 +689,20 @@ RIDGE = train.ModelSpec(
     "ridge", lambda df: fit.fit_ridge(df, FEATURES, LABEL, scaled=SCALED_FEATURES),
     fit_folds=lambda df, folds: fit.ridge_folds(df, FEATURES, LABEL, folds, scaled=SCALED_FEATURES))
 LOGISTIC = train.ModelSpec("logistic", lambda df: fit.fit_logistic(
-    df, FEATURES, LABEL, "l1", 0.1, max_iter=30), scaled=True)
+    df, FEATURES, LABEL, "l1", 0.1), scaled=True)
 ELASTIC = train.ModelSpec("elastic", lambda df: fit.fit_logistic(
-    df, FEATURES, LABEL, "elasticnet", 0.1, 0.9, max_iter=30, name="elastic"), scaled=True)
+    df, FEATURES, LABEL, "elasticnet", 0.1, 0.9, name="elastic"), scaled=True)
 
 
-def bayes(**parameters) -> train.ModelSpec:
+def bayes(counted: dict | None = None, **parameters) -> train.ModelSpec:
+    """``counted`` keeps the counts of one table's folds for several points of a search."""
     return train.ModelSpec(
         "bernoulli_nb", lambda df: fit.fit_bernoulli_nb(df, FEATURES, LABEL, **parameters),
-        fit_folds=lambda df, folds: fit.bernoulli_folds(df, FEATURES, LABEL, folds, **parameters))
+        fit_folds=lambda df, folds: fit.bernoulli_folds(df, FEATURES, LABEL, folds, **parameters, counted=counted))
 
 
 BAYES = bayes()
-FOREST = train.ModelSpec("random_forest", lambda df: fit.fit_random_forest(df, FEATURES, LABEL, 20))
+FOREST = train.ModelSpec("random_forest", lambda df: fit.fit_random_forest(df, FEATURES, LABEL))
 
 
 @query("fit_ridge")
@@ -693,13 +713,12 @@ def _(spark, folder):
 
 @query("fit_logistic")
 def _(spark, folder):
-    rows = _scaled_train(spark, folder).cache()
+    rows = _scaled_train(spark, folder)
     models = [
         fit.fit_logistic(rows, FEATURES, LABEL, "l1", 0.1, name="l1"),
         fit.fit_logistic(rows, FEATURES, LABEL, "l2", 0.1, name="l2"),
         fit.fit_logistic(rows, FEATURES, LABEL, "elasticnet", 0.1, 0.9, name="elastic"),
     ]
-    rows.unpersist()
     return sc.coefficients_table(spark, models)
 
 
@@ -712,7 +731,7 @@ def _(spark, folder):
 @query("fit_gbt")
 def _(spark, folder):
     rows, test = _train_test(spark, folder)
-    return _auc_of(fit.fit_gbt(rows, FEATURES, LABEL, rounds=20), test, "gbt")
+    return _auc_of(fit.fit_gbt(rows, FEATURES, LABEL), test, "gbt")
 
 
 @query("fit_bernoulli_nb")
@@ -724,7 +743,7 @@ def _(spark, folder):
 @query("fit_bagging")
 def _(spark, folder):
     rows, test = _train_test(spark, folder)
-    return _auc_of(fit.fit_bagging(rows, FEATURES, LABEL, ROW_ID, bags=5), test, "bagging")
+    return _auc_of(fit.fit_bagging(rows, FEATURES, LABEL, ROW_ID), test, "bagging")
 
 
 @query("knn_score")
@@ -768,7 +787,7 @@ def _(spark, folder):
         raise ValueError("no such engine")
 
     unknown = train.ModelSpec("unknown", refuse)
-    return train.train_compare(rows, test, [RIDGE, LOGISTIC, BAYES, unknown], LABEL, 3)
+    return train.train_compare(rows, test, [RIDGE, LOGISTIC, ELASTIC, BAYES, FOREST, unknown], LABEL, 3)
 
 
 @query("select_candidates")
@@ -780,8 +799,9 @@ def _(spark, folder):
 def _(spark, folder):
     rows, test = _folded(spark, folder, 3)
     grid = {"alpha": [0.01, 0.1, 0.5, 1.0, 2.0], "fit_prior": [True, False], "binarize": [0.0, 0.1, 0.5]}
+    counted: dict = {}
     return train.random_search(
-        rows, test, "bernoulli_nb", lambda point: bayes(**point), grid, LABEL, BAYES, size=25)
+        rows, test, "bernoulli_nb", lambda point: bayes(counted, **point), grid, LABEL, BAYES, size=25)
 
 
 @query("search_ridge")
@@ -889,7 +909,8 @@ def _(spark, folder):
 @query("permutation_importance")
 def _(spark, folder):
     model = next(m for m in fixed_models(spark) if m.name == "ridge")
-    return importance.permutation_importance(X_(spark, folder), model, ROW_ID, LABEL, repeats=3)
+    held_out = split.stratified_split(X_(spark, folder)).where("is_test")
+    return importance.permutation_importance(held_out, model, ROW_ID, LABEL)
 
 
 def _shadow(spark, folder) -> DataFrame:

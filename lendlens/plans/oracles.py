@@ -20,6 +20,12 @@ T_TYPES = {
     "risk_score": "double", "installment_count": "int", "payment_credit_limit": "double",
 }
 T_COLUMNS = list(fx.TRANSACTIONS)
+# Columns that the fixtures compute from cases that leave nothing open.
+NEVER_NULL = {
+    "customer_credit_score_range", "customer_age_bracket", "customer_income_bracket", "customer_verification_level",
+    "product_risk_category", "device_type", "risk_level", "risk_scenario", "payment_provider", "installment_count",
+    "payment_type", "purchase_context",
+}
 
 
 def oracle(name: str, body: str, doubles: str = "", views: dict[str, str] | None = None) -> None:
@@ -71,7 +77,8 @@ oracle("sample_rows", "SELECT transaction_id, customer_id, amount, will_default
        "ORDER BY md5(concat(transaction_id, '42')), transaction_id LIMIT 1000", "amount")
 oracle("schema_profile", structs([
     "{'ordinal_position': CAST(%d AS INTEGER), 'column_name': '%s', 'data_type': '%s', "
-    "'has_nulls': count(*) > count(%s)}" % (i + 1, c, T_TYPES.get(c, "string"), c)
+    "'is_nullable': %s, 'has_nulls': count(*) > count(%s)}" % (
+        i + 1, c, T_TYPES.get(c, "string"), "false" if c in NEVER_NULL else "true", c)
     for i, c in enumerate(T_COLUMNS)], "T"))
 oracle("row_count", "SELECT count(*) AS total_records FROM T")
 oracle("load_summary", "SELECT count(*) AS transactions, count(DISTINCT customer_id) AS customers, "
@@ -323,13 +330,20 @@ oracle("business_metrics", "SELECT count(*) AS total_transactions, count(DISTINC
        "median_transaction_amount, quantile_cont(amount, 0.75) AS p75_transaction_amount FROM T",
        "avg_transaction_amount std_transaction_amount min_transaction_amount max_transaction_amount "
        "p25_transaction_amount median_transaction_amount p75_transaction_amount")
+oracle("business_metrics_approx", "SELECT count(*) AS total_transactions, count(DISTINCT customer_id) AS unique_customers, "
+       "avg(amount) AS avg_transaction_amount, stddev_samp(amount) AS std_transaction_amount, "
+       "min(amount) AS min_transaction_amount, max(amount) AS max_transaction_amount, "
+       "min(transaction_timestamp) AS earliest_transaction, max(transaction_timestamp) AS latest_transaction, "
+       "true AS p25_transaction_amount_within, true AS median_transaction_amount_within, "
+       "true AS p75_transaction_amount_within FROM T",
+       "avg_transaction_amount std_transaction_amount min_transaction_amount max_transaction_amount")
 NUMBERS = ["amount", "product_price", "risk_score", "payment_credit_limit", "customer_tenure_days",
            "installment_count"]
 oracle("describe_numeric", structs([
     "{'feature': '%s', 'count': count({c}), 'mean': avg({c}), 'std': stddev_samp({c}), "
     "'min': CAST(min({c}) AS DOUBLE), 'max': CAST(max({c}) AS DOUBLE), 'p25': quantile_cont({c}, 0.25), "
     "'median': quantile_cont({c}, 0.5), 'p75': quantile_cont({c}, 0.75)}".replace("{c}", c) % c
-    for c in NUMBERS], "T"), "mean std min max p25 median p75")
+    for c in ["transaction_id", "customer_id", "days_to_first_missed_payment", *NUMBERS]], "T"), "mean std min max p25 median p75")
 LEVELS = " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS n FROM T GROUP BY 2" for c in T_COLUMNS)
 oracle("categorical_candidates", "SELECT \"column\", unique_count, round_even(CAST(unique_count AS DOUBLE) / rows_n, 3) "
@@ -424,10 +438,7 @@ def all_pairs(columns: list[str], source: str) -> str:
             f"FROM ({structs(cells, source)})")
 
 
-oracle("correlation_matrix", all_pairs(
-    [*NUMBERS, "days_to_first_missed_payment", "time_on_site_seconds", "price_comparison_time"], "NUMERIC_T"),
-    "correlation", {"NUMERIC_T": f"SELECT * REPLACE ({parsed('time_on_site_seconds')} AS time_on_site_seconds, "
-                                 f"{parsed('price_comparison_time')} AS price_comparison_time) FROM T"})
+oracle("correlation_matrix", all_pairs(MATRIX, "X"), "correlation")
 CF_TEXT = {"profile_employment_status_first", "profile_home_ownership_status_first",
            "profile_transaction_date_min", "profile_transaction_date_max"}
 CF_COLUMNS = [
@@ -501,7 +512,10 @@ oracle("kpi_rates", f"SELECT CAST(date_trunc('month', transaction_timestamp) AS
 oracle("customer_sequences", "SELECT customer_id, row_number() OVER (PARTITION BY customer_id ORDER BY "
        "transaction_timestamp, transaction_id) AS position, transaction_timestamp, transaction_id, amount, "
        "risk_level, risk_score, will_default, min(transaction_timestamp) OVER (PARTITION BY customer_id) AS first_seen, "
-       "max(transaction_timestamp) OVER (PARTITION BY customer_id) AS last_seen FROM T WHERE customer_id IN (SELECT "
+       "max(transaction_timestamp) OVER (PARTITION BY customer_id) AS last_seen, risk_levels, outcomes, unique_risk_scores "
+       "FROM T JOIN (SELECT customer_id, string_agg(DISTINCT risk_level, '|' ORDER BY risk_level) AS risk_levels, "
+       "string_agg(DISTINCT CAST(will_default AS VARCHAR), '|' ORDER BY CAST(will_default AS VARCHAR)) AS outcomes, "
+       "count(DISTINCT risk_score) AS unique_risk_scores FROM T GROUP BY 1) USING (customer_id) WHERE customer_id IN (SELECT "
        "customer_id FROM COUNTS ORDER BY transactions DESC, customer_id LIMIT 3)", "amount risk_score", COUNTS)
 oracle("importance_rank", RANKED, "coefficient abs_coefficient")
 oracle("cumulative_counts", "SELECT model_name, score, CAST(tp AS BIGINT) AS tp, CAST(above - tp AS BIGINT) AS fp FROM Q",
@@ -686,10 +700,10 @@ RIDGE = {f: w for _, m, _, _, f, w in fx.coefficient_rows() if m == "ridge" and
 PERMUTED = {
     "PLACED": (f"SELECT will_default AS label, {linear_margin('ridge')} AS margin, row_number() OVER (ORDER BY "
                "md5(concat(transaction_id, '42')), transaction_id) AS place, count(*) OVER () AS size, ["
-               + ", ".join(f'CAST({w!r} AS DOUBLE) * "{f}"' for f, w in RIDGE.items()) + "] AS terms FROM X"),
+               + ", ".join(f'CAST({w!r} AS DOUBLE) * "{f}"' for f, w in RIDGE.items()) + "] AS terms FROM " + TEST),
     "MOVED": ("SELECT feature, repeat, label, round(margin + change, 6) AS score FROM (SELECT a.label, a.margin, repeat, "
               "unnest([" + ", ".join(f"'{f}'" for f in RIDGE) + "]) AS feature, unnest(list_transform(list_zip(a.terms, "
-              "b.terms), lambda z: z[2] - z[1])) AS change FROM PLACED a, (VALUES (1), (2), (3)) r(repeat) JOIN PLACED b "
+              "b.terms), lambda z: z[2] - z[1])) AS change FROM PLACED a, range(1, 11) r(repeat) JOIN PLACED b "
               "ON b.place = (a.place - 1 + 1 + (repeat * 7919) % greatest(a.size - 1, 1)) % a.size + 1)"),
 }
 BASE = "SELECT 'ridge' AS model_name, label, round(margin, 6) AS score FROM PLACED"

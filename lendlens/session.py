@@ -71,19 +71,9 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-SMALL_ROWS = 100_000
-
-
-def small_table(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """A result that should be small, as a local table of known size.
-
-    Spark then broadcasts it by its real size. A result beyond the limit is returned
-    unchanged and joins by shuffle.
-    """
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return df
-    return df.sparkSession.createDataFrame(rows, df.schema)
+def sized_table(df: DataFrame) -> DataFrame:
+    """An aggregate that is usually small, written so that joins are chosen by its real size."""
+    return materialize(df, "sized")
 
 
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:

@@ -7,8 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from lendlens.constants import TRANSACTION_COLUMNS
 from lendlens.functions.hashing import order_key
 
-BROADCAST_ROWS = 1_000_000
-
 
 def select_transactions(df: DataFrame, renames: dict[str, str] | None = None) -> DataFrame:
     """The transaction projection; ``renames`` maps source names to ours."""
@@ -25,7 +23,7 @@ def load_transactions(df: DataFrame, sample_size: int | None = None, seed: int =
     """Projected transactions, optionally of a fixed pseudo-random set of customers."""
     rows = select_transactions(df, renames)
     if sample_size:
-        rows = join_sample(rows, sample_customers(rows, sample_size, seed), sample_size)
+        rows = join_sample(rows, sample_customers(rows, sample_size, seed))
     return sort_history(rows) if ordered else rows
 
 
@@ -43,10 +41,9 @@ def sample_customers(df: DataFrame, size: int, seed: int = 42,
     )
 
 
-def join_sample(df: DataFrame, sample: DataFrame, size: int, customer: str = "customer_id") -> DataFrame:
-    """Rows of the sampled customers; broadcast only while the sample size allows it."""
-    side = F.broadcast(sample) if size <= BROADCAST_ROWS else sample
-    return df.join(side, customer)
+def join_sample(df: DataFrame, sample: DataFrame, customer: str = "customer_id") -> DataFrame:
+    """Rows of the sampled customers; a limit has a known size, by which Spark picks the join."""
+    return df.join(sample, customer)
 
 
 def sample_rows(df: DataFrame, size: int, seed: int = 42, row_id: str = "transaction_id") -> DataFrame:

@@ -1,5 +1,6 @@
 """Splits, ordering helpers, evaluation, fitting and streams against direct computation."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -7,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lendlens.operators.ordered import cut_points
 from lendlens.operators import evaluate as ev, fit, importance, score as sc, split, train
 from lendlens.operators.ordered import exact_quantiles
 from lendlens.plans import catalog
@@ -121,6 +123,34 @@ def test_cut_keys_at_every_depth(spark, ordered_rows):
         assert found == ["", ordered[0], ordered[len(ordered) // 2 - 1], ordered[-1]]
 
 
+def test_rows_without_an_id_stay_together(spark):
+    df = spark.range(300).selectExpr("if(id % 3 = 0, null, id) AS transaction_id", "id % 2 = 0 AS will_default")
+    rows = split.stratified_split(df)
+    assert rows.count() == 300
+    assert rows.where("transaction_id IS NULL").select("will_default", "is_test").distinct().count() == 2
+
+
+def test_too_many_strata_fail(spark):
+    df = spark.range(1200).selectExpr("id AS transaction_id", "id AS will_default")
+    with pytest.raises(ValueError, match="strata"):
+        split.stratified_split(df)
+
+
+def test_splits_are_exact_when_prefixes_are_counted_to_the_end(spark):
+    df = spark.range(500).selectExpr("id AS transaction_id", "id % 2 = 0 AS will_default")
+    coarse = split.cut_keys(df, "will_default", "transaction_id", 42, lambda sizes: {s: [0, 7, n] for s, n in sizes.items()})
+    fine = split.cut_keys(df, "will_default", "transaction_id", 42,
+                          lambda sizes: {s: [0, 7, n] for s, n in sizes.items()}, ordered_rows=0)
+    assert coarse == fine
+    keys = sorted(hashlib.md5(f"{i}42".encode()).hexdigest() for i in range(0, 500, 2))
+    assert fine[True] == ["", keys[6], keys[-1]]
+
+
+def test_ranges_follow_the_rows(spark):
+    points = cut_points(spark.range(5000).selectExpr("CAST(id AS double) AS x"), "x", 2)
+    assert 2000 < len(points) < 2600 and points == sorted(set(points))
+
+
 def test_folds_are_disjoint_and_stratified(spark):
     df = spark.range(1003).select(F.col("id").alias("transaction_id"), (F.col("id") % 10 == 0).alias("will_default"))
     folds = split.stratified_folds(df).groupBy("fold", "will_default").count().collect()
