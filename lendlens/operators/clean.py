@@ -15,7 +15,7 @@ from lendlens.functions.numeric import half_even, parse_number
 from lendlens.operators.encode import (
     OneHotLevels, bool_to_int, collected_levels, level_counts, ordinal_encode, sorted_levels,
 )
-from lendlens.operators.ordered import ROWS_PER_RANGE, exact_quantiles, unpivot_numeric
+from lendlens.operators.ordered import exact_quantiles, unpivot_numeric
 from lendlens.operators.temporal import temporal_features
 from lendlens.session import with_scalars
 from lendlens.sources.transactions import load_transactions
@@ -113,13 +113,12 @@ def drop_columns(df: DataFrame, extra: Sequence[str] = (), keep: Sequence[str] =
     return df.drop(*[c for c in [*static_drops(df.columns), *extra] if c not in keep])
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str], rows: int | None = None) -> dict[str, float | None]:
-    """Medians by column; a known small number of rows spares the search for cut points."""
+def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    """Medians by column."""
     if not columns:
         return {}
-    points = [] if rows is not None and rows * len(columns) <= ROWS_PER_RANGE else None
     cells = unpivot_numeric(df, columns)
-    rows = exact_quantiles(cells, "value", {"median": 0.5}, ["column"], points=points).collect()
+    rows = exact_quantiles(cells, "value", {"median": 0.5}, ["column"]).collect()
     return {r["column"]: r["median"] for r in rows}
 
 
@@ -245,7 +244,7 @@ def fit_pipeline(df: DataFrame, order: str = "impute_first", keep: Sequence[str]
     missing = [c for c in nullable if c not in removed and seen[f"{c}__nulls"] > 0]
     numbers = [c for c in missing if c in numeric]
     fills: dict[str, object] = {c: median_of_counts(per_column[c]) for c in numbers if c in few}
-    fills |= exact_medians(rows, [c for c in numbers if c not in few], seen["__rows"])
+    fills |= exact_medians(rows, [c for c in numbers if c not in few])
     for c in [c for c in missing if c not in numbers]:
         values = {v: n for v, n in per_column.get(c, {}).items() if v is not None}
         fills[c] = min(values, key=lambda v: (-values[v], v)) if values else FALLBACK_FILL

@@ -2,7 +2,8 @@
 
 Rows are first collapsed to one per distinct value, then cut into value ranges of
 similar size. Running totals are taken inside each range and shifted by the totals
-of the ranges before it, so no task ever orders a whole group.
+of the ranges before it, so no task ever orders a whole group. Quantiles collapse
+all rows but those near them.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lendlens.session import materialize
+from lendlens.session import materialize, sized_table, with_scalars
 
 ROWS_PER_RANGE = 1_000_000
+ACCURACY = 10_000
 
 
 def cut_points(df: DataFrame, value: str, rows_per_range: float = ROWS_PER_RANGE) -> list[float]:
@@ -75,14 +77,37 @@ def running_totals(ranged: DataFrame, order: Sequence[Column], sums: dict[str, s
     }).drop(*[f"{t}__{part}" for t in sums.values() for part in ("inside", "shift")])
 
 
-def value_totals(df: DataFrame, value: str, by: Sequence[str] = (),
-                 rows_per_range: int = ROWS_PER_RANGE, points: list[float] | None = None) -> DataFrame:
-    """One row per group and distinct value: its count ``n``, the running count ``upto``
-    and the group size ``size``."""
-    known = df.where(F.col(value).isNotNull())
-    counts = known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    ranged = collapsed_ranges(counts, value, rows_per_range, points)
-    return running_totals(ranged, [F.asc(value)], {"n": "upto"}, by, group_totals={"n": "size"})
+def brackets(df: DataFrame, value: str, probabilities: dict[str, float], by: Sequence[str],
+             accuracy: int) -> DataFrame:
+    """Per group and named quantile a lower and an upper value around it, from one pass of sketches.
+
+    An estimate errs by one part in ``accuracy`` of the rows; the bracket reaches twice as far.
+    """
+    reach = 2.0 / accuracy
+    ends = [min(max(p + side, 0.0), 1.0) for p in probabilities.values() for side in (-reach, reach)]
+    found = df.groupBy(*by).agg(F.percentile_approx(value, ends, accuracy).alias("__ends"))
+    return found.select(*by, *[F.col("__ends")[2 * i + j].alias(f"__{side}_{name}")
+                               for i, name in enumerate(probabilities) for j, side in enumerate(("low", "high"))])
+
+
+def near_quantiles(df: DataFrame, value: str, probabilities: dict[str, float], by: Sequence[str],
+                   accuracy: int) -> DataFrame:
+    """Per group and named quantile the counts of the distinct values inside its bracket.
+
+    All values below the bracket are one row at the greatest of them, all above one row at the
+    smallest: a quantile lies at most one rank outside its bracket. Only these rows are shuffled.
+    """
+    ends = brackets(df, value, probabilities, by, accuracy)
+    placed = df.join(sized_table(ends), list(by)) if by else with_scalars(df, ends)
+    around = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("name"), F.col(f"__low_{name}").alias("low"), F.col(f"__high_{name}").alias("high"))
+        for name in probabilities]))
+    cells = placed.select(*by, value, around.alias("__around")).select(*by, value, "__around.*")
+    x = F.col(value)
+    side = F.when(x < F.col("low"), -1).when(x > F.col("high"), 1).otherwise(0)
+    collapsed = cells.groupBy(*by, "name", side.alias("side"), F.when(side == 0, x).alias("inside")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(x).alias("least"), F.max(x).alias("most"))
+    return collapsed.select(*by, "name", "n", F.when(F.col("side") < 0, F.col("most")).otherwise(F.col("least")).alias(value))
 
 
 def collapsed_ranges(counts: DataFrame, value: str, rows_per_range: int,
@@ -110,13 +135,20 @@ def quantile_parts(name: str, p: float, value: Column) -> tuple[list[Column], Co
 
 def exact_quantiles(df: DataFrame, value: str, probabilities: dict[str, float],
                     by: Sequence[str] = (), rows_per_range: int = ROWS_PER_RANGE,
-                    points: list[float] | None = None) -> DataFrame:
-    """Linearly interpolated quantiles, one column per named probability."""
-    by = list(by)
-    totals = value_totals(df.select(*by, value), value, by, rows_per_range, points)
+                    accuracy: int = ACCURACY) -> DataFrame:
+    """Linearly interpolated quantiles, one column per named probability; null and NaN are missing.
+
+    A first pass brackets each quantile, a second one counts what lies below and keeps the values
+    inside, so neither pass shuffles or writes the column. The result does not depend on ``accuracy``.
+    """
+    by, number = list(by), F.col(value).cast("double")
+    known = df.select(*by, number.alias(value)).where(number.isNotNull() & ~F.isnan(number))
+    counts = near_quantiles(known, value, probabilities, by, accuracy)
+    ranged = collapsed_ranges(counts, value, rows_per_range, None)
+    totals = running_totals(ranged, [F.asc(value)], {"n": "upto"}, [*by, "name"], group_totals={"n": "size"})
     aggregates, results = [], []
     for name, p in probabilities.items():
-        parts, result = quantile_parts(name, p, F.col(value).cast("double"))
+        parts, result = quantile_parts(name, p, F.when(F.col("name") == name, F.col(value)))
         aggregates += parts
         results.append(result.alias(name))
     return totals.groupBy(*by).agg(F.max("size").alias("size"), *aggregates).select(*by, *results)

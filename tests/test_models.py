@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lendlens.operators.ordered import cut_points
 from lendlens.operators import evaluate as ev, fit, importance, score as sc, split, train
-from lendlens.operators.ordered import exact_quantiles
+from lendlens.operators.ordered import exact_quantiles, near_quantiles
 from lendlens.plans import catalog
 from lendlens.sources import sinks
 from lendlens.streaming import jobs
@@ -43,19 +43,38 @@ def area(label, score):
     return wins / (len(good) * len(bad))
 
 
-@pytest.mark.parametrize("rows_per_range", [3, 40, 10_000])
-def test_quantiles_over_many_ranges(spark, rows_per_range):
+@pytest.mark.parametrize("rows_per_range, accuracy", [(3, 10_000), (40, 25), (10_000, 8)])
+def test_quantiles_over_many_ranges(spark, rows_per_range, accuracy):
     rng = np.random.default_rng(3)
     frame = pd.DataFrame({"g": rng.integers(0, 3, 400), "v": np.round(rng.lognormal(3, 2, 400), 1)})
+    frame = pd.concat([frame, pd.DataFrame({"g": [7, 8, 8], "v": [5.0, 1.0, 2.0]})])
     df = spark.createDataFrame(frame)
-    found = exact_quantiles(df, "v", {"a": 0.1, "b": 0.5, "c": 0.99}, ["g"], rows_per_range).collect()
+    wanted = {"a": 0.1, "b": 0.5, "c": 0.99}
+    found = exact_quantiles(df, "v", wanted, ["g"], rows_per_range, accuracy).collect()
+    assert len(found) == 5
     for r in found:
         expected = np.quantile(frame[frame.g == r["g"]].v, [0.1, 0.5, 0.99])
         assert [r["a"], r["b"], r["c"]] == pytest.approx(list(expected))
-    whole = exact_quantiles(df, "v", {"m": 0.5}, rows_per_range=rows_per_range).first()["m"]
+    whole = exact_quantiles(df, "v", {"m": 0.5}, rows_per_range=rows_per_range, accuracy=accuracy).first()["m"]
     assert whole == pytest.approx(frame.v.median())
 
 
+@pytest.mark.parametrize("size", [*range(1, 12), 5000])
+def test_quantiles_at_the_edge_of_their_brackets(spark, size):
+    df = spark.range(size).selectExpr("CAST(id AS double) AS v").unionByName(
+        spark.createDataFrame([(None,), (float("nan"),)], "v double"))
+    wanted = {f"p{p}": p / 100 for p in (0, 1, 25, 50, 75, 99, 100)}
+    row = exact_quantiles(df, "v", wanted, accuracy=1000).first()
+    assert [row[n] for n in wanted] == pytest.approx([p * (size - 1) for p in wanted.values()])
+
+
+def test_quantiles_shuffle_only_what_is_near_them(spark):
+    values = spark.range(100_000).selectExpr("CAST(pmod(xxhash64(id), 1000003) AS double) AS v")
+    kept = near_quantiles(values, "v", {"m": 0.5, "p9": 0.9}, [], 10_000)
+    assert kept.count() < 400
+    assert kept.groupBy("name").agg({"n": "sum"}).collect()[0][1] == 100_000
+
+
 @pytest.mark.parametrize("rows_per_range", [5, 10_000])
 def test_evaluation_against_direct_counts(scored, rows_per_range):
     frame, df = scored
