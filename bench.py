@@ -1,8 +1,7 @@
 """Times the headline queries and prints one JSON line.
 
 Each query runs once to warm up and then once timed, into a sink that only drains the
-rows. Fits run anew each time; nothing is cached between the runs but the fitted row
-pipeline, which scoring queries take as given.
+rows. Fits, that of the row pipeline too, run anew each time; nothing is cached between the runs.
 """
 
 from __future__ import annotations
