@@ -4,8 +4,9 @@ Documents are aggregated by membership pattern, the set of sources they belong t
 words flows from patterns to the quotas of their sources; each further pass over a pattern's
 documents costs more than the one before (convex), so repetition is spread and comes last.
 The whole passes of a pattern take all of its documents; the rest takes documents in a seeded
-order up to a cut, which is found by counting, digit by digit, without sorting documents, and
-a few documents beyond it that fill the gap.
+order up to a cut, which is found by counting, digit by digit, without sorting documents. A
+document that crosses the rest is passed over, and the cut goes on over those that still fit,
+until none does. Where larger ones are left then, one of them is tried before the others.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from lendlens.session import materialize
 REPEATS = 3
 WEIGHTS = (1, 2, 3)
 DIGIT, DIGITS = 12, 5  # the seeded rank has 60 bits; a round sums at most 4096 counts per pattern
+RANKS = 1 << DIGIT * DIGITS
 
 
 def word_count(text: Column) -> Column:
@@ -113,69 +115,118 @@ def route(patterns: dict[str, int], target: dict[str | None, float], most: int =
 
 @dataclass
 class Mix:
-    """For each pattern its whole passes, the cut of the rest and single documents beyond it; for each
-    source size and target."""
+    """For each pattern its whole passes and the steps of the rest; for each source size and target.
 
-    passes: list[tuple[str, int, int, list[int]]]
+    A step (from, upto, limit) takes the documents of a rank in [from, upto) and of at most `limit`
+    words, none if it is -1. The steps of a pattern cover all ranks once.
+    """
+
+    passes: list[tuple[str, int, int, int, int]]
     sources: list[tuple[str | None, int, float]]
     seed: int
 
     def table(self, spark: SparkSession) -> DataFrame:
         return local_table(spark, self.passes, pa.schema([
-            ("_pattern", pa.string()), ("_whole", pa.int64()), ("_cut", pa.int64()), ("_more", pa.list_(pa.int64()))]))
+            ("_pattern", pa.string()), ("_whole", pa.int64()), ("_from", pa.int64()), ("_upto", pa.int64()), ("_limit", pa.int64())]))
 
     def source_table(self, spark: SparkSession) -> DataFrame:
         return local_table(spark, self.sources, pa.schema([
             ("_source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64())]))
 
 
-def seeded_cuts(sizes: DataFrame, rest: dict[str, int]) -> tuple[dict[str, int], dict[str, int]]:
-    """For each pattern the rank below which its documents add up to at most the rest, and the words still missing.
+@dataclass
+class Cut:
+    """How far the rest of a pattern is filled: the words missing, where to go on, the steps so far."""
+
+    gap: int
+    start: int = 0
+    steps: tuple[tuple[int, int, int], ...] = ()
+
+
+def next_cuts(sizes: DataFrame, state: dict[str, Cut], forced: dict[str, int]) -> dict[str, Cut]:
+    """One step more for each pattern: the documents in the seeded order, of at most the words missing, up to the one that crosses.
 
     Each round counts words by the next digit of the rank within the digit where the last
-    count crossed the rest, and ends when a single document is left there.
+    count crossed, and ends when a single document is left there. Patterns without a document
+    that fits are left out.
     """
-    spark = sizes.sparkSession
-    state = [(p, 0, r) for p, r in rest.items() if r > 0]
-    cuts, gaps = {p: 0 for p in rest}, dict(rest)
+    spark, found = sizes.sparkSession, {}
+    inner = [(p, 0, c.gap, c.start, c.gap, forced.get(p)) for p, c in state.items()]
     for level in range(DIGITS):
-        if not state:
+        if not inner:
             break
         below = DIGIT * (DIGITS - 1 - level)
-        known = local_table(spark, state, pa.schema([("pattern", pa.string()), ("prefix", pa.int64()), ("rest", pa.int64())]))
+        known = local_table(spark, inner, pa.schema([
+            ("pattern", pa.string()), ("prefix", pa.int64()), ("rest", pa.int64()), ("start", pa.int64()),
+            ("limit", pa.int64()), ("forced", pa.int64())]))
         counted = sizes.join(known, "pattern") \
+            .where("size > 0 and size <= limit and rank >= start and not rank <=> forced") \
             .where(F.shiftrightunsigned("rank", below + DIGIT) == F.col("prefix")) \
-            .groupBy("pattern", "prefix", "rest", F.shiftrightunsigned("rank", below).alias("digit")) \
+            .groupBy("pattern", "rest", F.shiftrightunsigned("rank", below).alias("digit")) \
             .agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"))
         upto = F.sum("words").over(Window.partitionBy("pattern").orderBy("digit"))
-        crossing = counted.withColumn("upto", upto).where("upto > rest") \
-            .groupBy("pattern").agg(F.min(F.struct("digit", "words", "docs", "upto", "rest")).alias("c"))
-        state = []
-        for pattern, c in crossing.collect():
-            cuts[pattern], gaps[pattern] = c["digit"] << below, c["rest"] - (c["upto"] - c["words"])
-            if c["docs"] > 1:
-                state.append((pattern, c["digit"], gaps[pattern]))
-    return cuts, gaps
-
-
-def fillers(sizes: DataFrame, cuts: dict[str, int], gaps: dict[str, int], rounds: int = 3) -> dict[str, list[int]]:
-    """Ranks of single documents beyond the cut that fill most of the words still missing."""
-    spark, more = sizes.sparkSession, {p: [] for p in cuts}
-    for _ in range(rounds):
-        state = [(p, cuts[p], gap, more[p]) for p, gap in gaps.items() if gap > 0]
-        if not state:
-            break
-        known = local_table(spark, state, pa.schema([
-            ("pattern", pa.string()), ("cut", pa.int64()), ("gap", pa.int64()), ("more", pa.list_(pa.int64()))]))
-        best = sizes.join(known, "pattern").where("size > 0 and size <= gap and rank >= cut and not array_contains(more, rank)") \
-            .groupBy("pattern").agg(F.max(F.struct("size", "rank")).alias("b"))
-        found = best.collect()
-        for pattern, b in found:
-            gaps[pattern] -= b["size"]
-            more[pattern].append(b["rank"])
-        if not found:
-            break
-    return more
+        crossing = counted.withColumn("upto", upto).groupBy("pattern").agg(
+            F.sum("words").alias("words"), F.min(F.when(F.col("upto") > F.col("rest"), F.struct("digit", "words", "docs", "upto", "rest"))).alias("c"))
+        inner = []
+        for pattern, words, c in crossing.collect():
+            was = state[pattern]
+            if c is None:
+                found[pattern] = Cut(was.gap - words, RANKS, was.steps + ((was.start, RANKS, was.gap),))
+                continue
+            cut, gap = max(c["digit"] << below, was.start), c["rest"] - (c["upto"] - c["words"])
+            # Rows of one rank are taken alike; where they cross together, they are passed over.
+            alike = c["docs"] > 1 and not below
+            steps = ((was.start, cut, was.gap),) + ((cut, cut + 1, -1),) * alike
+            found[pattern] = Cut(gap, cut + alike, was.steps + steps)
+            if c["docs"] > 1 and below:
+                inner.append((pattern, c["digit"], gap, was.start, was.gap, forced.get(pattern)))
+    return found
+
+
+def seeded_cuts(sizes: DataFrame, rest: dict[str, int], forced: dict[str, int] | None = None) -> dict[str, Cut]:
+    """For each pattern the documents in the seeded order that fit into the rest, each that does not being passed over.
+
+    What is missing in the end is less than any document left, or than rows of one rank together.
+    The forced document of a pattern is not looked at.
+    """
+    cuts = {p: Cut(r) for p, r in rest.items()}
+    state = {p: c for p, c in cuts.items() if c.gap > 0}
+    while state:
+        found = next_cuts(sizes, state, forced or {})
+        cuts.update(found)
+        state = {p: c for p, c in found.items() if c.gap > 0 and c.start < RANKS}
+    return cuts
+
+
+def exchanged(sizes: DataFrame, rest: dict[str, int], cuts: dict[str, Cut]) -> tuple[dict[str, Cut], dict[str, int]]:
+    """Where documents are left that are larger than the words missing, the smallest of them is taken first
+    and the others fill up, if fewer words are missing then. Returns all cuts, and the ranks taken first."""
+    spark = sizes.sparkSession
+    open_ = [(p, c.gap, rest[p], f, u, w) for p, c in cuts.items() if c.gap > 0 for f, u, w in c.steps + ((c.start, RANKS, -1),)]
+    if not open_:
+        return cuts, {}
+    known = local_table(spark, open_, pa.schema([
+        ("pattern", pa.string()), ("gap", pa.int64()), ("rest", pa.int64()), ("from", pa.int64()), ("upto", pa.int64()), ("limit", pa.int64())]))
+    # Rows of one rank are taken alike, so they are one document here.
+    left = sizes.join(known, "pattern").where("rank >= from and rank < upto and size > limit and size > 0 and size <= rest") \
+        .groupBy("pattern", "rank", "rest", "gap").agg(F.sum("size").alias("size")).where("size <= rest and size > gap") \
+        .groupBy("pattern").agg(F.min(F.struct("size", "rank")).alias("c"))
+    first = {p: c for p, c in left.collect()}
+    forced = {p: c["rank"] for p, c in first.items()}
+    again = seeded_cuts(sizes, {p: rest[p] - c["size"] for p, c in first.items()}, forced)
+    better = {p: c for p, c in again.items() if c.gap < cuts[p].gap}
+    return cuts | better, {p: forced[p] for p in better}
+
+
+def covering(cut: Cut, forced: int | None) -> list[tuple[int, int, int]]:
+    """The steps over all ranks, none twice; the forced rank has a step of its own that takes any size."""
+    found = []
+    for start, upto, limit in cut.steps + ((cut.start, RANKS, -1),):
+        if forced is not None and start <= forced < upto:
+            found += [(start, forced, limit), (forced, forced + 1, RANKS), (forced + 1, upto, limit)]
+        else:
+            found.append((start, upto, limit))
+    return [x for x in found if x[0] < x[1]]
 
 
 def plan_mix(docs: DataFrame, members: Column, key: str = "doc_id", text: str = "text",
@@ -197,9 +248,9 @@ def plan_mix(docs: DataFrame, members: Column, key: str = "doc_id", text: str =
     target = quotas(of_source, weights, most)
     given = {p: sum(f.values()) for p, f in route(patterns, target, most).items()}
     whole = {p: given[p] // patterns[p] if patterns[p] else 0 for p in patterns}
-    cuts, gaps = seeded_cuts(sizes, {p: given[p] - whole[p] * patterns[p] for p in patterns})
-    more = fillers(sizes, cuts, gaps)
-    return Mix([(p, whole[p], cuts[p], more[p]) for p in sorted(patterns)],
+    rest = {p: given[p] - whole[p] * patterns[p] for p in patterns}
+    cuts, forced = exchanged(sizes, rest, seeded_cuts(sizes, rest))
+    return Mix([(p, whole[p], *step) for p in sorted(patterns) for step in covering(cuts[p], forced.get(p))],
                [(s, of_source[s], float(target[s])) for s in target], seed)
 
 
@@ -207,9 +258,10 @@ def with_copies(docs: DataFrame, mix: Mix, members: Column, key: str = "doc_id",
                 name: str = "copies") -> DataFrame:
     """Adds how often each document is taken (0 to the number of repeats)."""
     passes = mix.table(docs.sparkSession)
-    joined = docs.join(passes, pattern_of(members) == F.col("_pattern"))
-    rank = seeded_rank(docs, key, text, mix.seed)
-    copies = F.col("_whole") + ((rank < F.col("_cut")) | F.array_contains("_more", rank)).cast("long")
+    ranked = docs.select("*", seeded_rank(docs, key, text, mix.seed).alias("_rank"), pattern_of(members).alias("_of"),
+                         word_count(docs[text]).alias("_size"))
+    joined = ranked.join(passes, (F.col("_of") == F.col("_pattern")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_upto")))
+    copies = F.col("_whole") + (F.col("_size") <= F.col("_limit")).cast("long")
     return joined.select([docs[c] for c in docs.columns] + [copies.alias(name)])
 
 

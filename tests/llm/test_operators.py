@@ -94,6 +94,19 @@ def test_mix_reaches_targets(spark, docs, empty):
     assert mixing.mixed(empty, F.array("source")).count() == 0
 
 
+def test_mix_fills_around_long_documents(spark):
+    # One text of 40 % of its source's words; another whose copies share one rank.
+    rows = [(i, "a " * (1 + i % 7), "small") for i in range(300)] + [(1000, "b " * 800, "small")]
+    rows += [(2000 + i, "c " * (1 + i % 3), "big") for i in range(700)] + [(3000, "c c c c c", "big")] * 5
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    for seed in range(6):
+        for weights in ((1, 4), (3, 1)):
+            mix, taken = mixing.plan_mix(frame, F.array("source"), weights=weights, seed=seed), {}
+            for r in mixing.with_copies(frame, mix, F.array("source")).collect():
+                taken[r["source"]] = taken.get(r["source"], 0) + r["copies"] * len(r["text"].split())
+            assert all(abs(taken[s] - target) <= 7 for s, _, target in mix.sources)
+
+
 def test_overlapping_sources_and_flow():
     # Of two sources, one shares its documents: the shared ones go where they are needed.
     found = mixing.route({'["a"]': 10, '["a","b"]': 10, '["b"]': 2}, {"a": 10.0, "b": 12.0})
