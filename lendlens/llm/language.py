@@ -23,8 +23,9 @@ from lendlens.llm.common import by_block, labelled_texts, split_words, struct_of
 
 BUCKETS, LOW, HIGH = 1 << 16, 1, 4
 CHAIN = 256
-# Fitted on a bounded sample: so many rows, so many bytes of whole texts, pieces of each.
-FIT_ROWS, FIT_BYTES, FIT_PIECES, PIECE = 2000, 16 << 20, 4, 24
+# Fitted on a bounded sample: so many rows, so many bytes of whole texts, cut into pieces.
+FIT_ROWS, FIT_BYTES, PIECE = 2000, 16 << 20, 24
+FIT_CHAINS = 1 << 13  # chains whose probabilities are held at a time
 STEPS = 40
 BLOCK = 2 << 20  # bytes of text whose words are in memory with all their probabilities
 NO_LANGUAGE = "und"
@@ -142,20 +143,22 @@ def fit(sample: list[tuple[str, str]], seed: int = 5) -> LanguageModel:
     codes, starts, words = split_words(texts)
     pieces = []
     for i, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
-        places = np.arange(a, b, PIECE)
-        for p in places if len(places) <= FIT_PIECES else rng.choice(places, FIT_PIECES, replace=False):
+        for p in range(a, b, PIECE):
             pieces.append((int(p), int(min(p + PIECE, b)), int(truth[i])))
-    # A third of the chains join the halves of two pieces, as code-switched lines would.
+    # A third of the chains join the halves of two pieces, as code-switched lines would; what is left of the first is a chain of its own.
     chains, cell, target = [], [], []
     for a, b, label in (pieces[i] for i in rng.permutation(len(pieces))):
-        parts = [(a, b, label)]
+        joined = [[(a, b, label)]]
         if rng.random() < 0.35:
             c, d, other = pieces[rng.integers(len(pieces))]
-            parts = [(a, (a + b + 1) // 2, label), ((c + d) // 2, d, other)]
-        parts = [p for p in parts if p[1] > p[0]]
-        chains.append(sum(e - s for s, e, _ in parts))
-        for s, e, lab in parts:
-            cell.append(np.arange(s, e)), target.append(np.full(e - s, lab))
+            joined = [[(a, (a + b + 1) // 2, label), ((c + d) // 2, d, other)], [((a + b + 1) // 2, b, label)]]
+        for parts in joined:
+            parts = [p for p in parts if p[1] > p[0]]
+            if not parts:
+                continue
+            chains.append(sum(e - s for s, e, _ in parts))
+            for s, e, lab in parts:
+                cell.append(np.arange(s, e)), target.append(np.full(e - s, lab))
     cell, target, chains = np.concatenate(cell), np.concatenate(target), np.array(chains)
     used, word_of = np.unique(codes[cell], return_inverse=True)
     spelled = pc.utf8_lower(words.take(pa.array(used))).to_pylist()
@@ -176,9 +179,14 @@ def fit(sample: list[tuple[str, str]], seed: int = 5) -> LanguageModel:
     held = [[np.zeros_like(p), np.zeros_like(p)] for p in (weights, move, first)]
     for tick in range(1, STEPS + 1):
         word = np.stack([np.bincount(owner, w[slot], minlength=len(used)) for w in weights.T], 1)
-        found, _, moves, firsts = marginals(word[word_of], chains, move, first, pairs=True)
-        found[np.arange(len(cell)), target] -= 1
-        back = np.stack([np.bincount(word_of, f, minlength=len(used)) for f in found.T], 1)
+        back, moves, firsts = np.zeros((len(used), count)), np.zeros((count, count)), np.zeros(count)
+        for low in range(0, len(chains), FIT_CHAINS):
+            some = chains[low:low + FIT_CHAINS]
+            part = slice(begin[low], begin[low] + some.sum())
+            found, _, moved, started = marginals(word[word_of[part]], some, move, first, pairs=True)
+            found[np.arange(len(found)), target[part]] -= 1
+            back += np.stack([np.bincount(word_of[part], f, minlength=len(used)) for f in found.T], 1)
+            moves, firsts = moves + moved, firsts + started
         grads = [np.stack([np.bincount(slot, b[owner], minlength=len(keys)) for b in back.T], 1) / len(cell) + 1e-6 * weights,
                  (moves - seen_moves) / len(cell), (firsts - seen_first) / len(cell)]
         for (mean, square), g, parameter in zip(held, grads, (weights, move, first)):

@@ -26,9 +26,9 @@ BUCKETS, DIM, WINDOW = 1 << 17, 4, 16
 LOW, HIGH = 3, 6
 # The classifier is fitted on a bounded sample: so many labelled rows, so many bytes of whole texts.
 FIT_ROWS, FIT_BYTES = 5000, 20 << 20
-FIT_WINDOWS, FIT_TOXIC_WINDOWS = 4, 20  # windows that train, from each text of the sample
 WARM_STEPS, ROUNDS, STEPS = 30, 6, 10
 RATE, DECAY = 0.1, 1e-6
+WORD_BLOCK = 1 << 14
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -115,6 +115,15 @@ def softmax(logit: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
+def bucketed(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the word, bucket) of the n-grams of each word, a block of words at a time."""
+    owners, keys = [], []
+    for at in range(0, len(words), WORD_BLOCK):
+        owner, key = word_ngrams([bare(w) for w in pc.utf8_lower(words.slice(at, WORD_BLOCK)).to_pylist()], LOW, HIGH)
+        owners.append(owner + np.int32(at)), keys.append((key % np.uint64(BUCKETS)).astype(np.int32))
+    return np.concatenate(owners), np.concatenate(keys)
+
+
 def fit(sample: list[tuple[str, int]], seed: int = 3) -> ToxicModel:
     """Joint training of n-gram vectors and softmax. Without both labels the score is the label's share."""
     y = np.array([int(bool(label)) for _, label in sample], np.int64)
@@ -127,27 +136,20 @@ def fit(sample: list[tuple[str, int]], seed: int = 3) -> ToxicModel:
     codes, starts, words = split_words(texts)
     if not len(codes):
         return even
-    # Windows: some of each text, spread over all of it.
-    begin, text_of = [], []
-    for i, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
-        places = np.arange(a, b, WINDOW)
-        most = FIT_TOXIC_WINDOWS if y[i] else FIT_WINDOWS
-        begin.append(np.sort(rng.choice(places, most, replace=False)) if len(places) > most else places)
-        text_of.append(np.full(len(begin[-1]), i))
-    begin, text_of = np.concatenate(begin), np.concatenate(text_of)
+    # Windows: the whole of each text, side by side.
+    places = -(-np.diff(starts) // WINDOW)
+    text_of = np.repeat(np.arange(len(texts)), places)
+    begin = starts[:-1][text_of] + WINDOW * (np.arange(len(text_of)) - (np.cumsum(places) - places)[text_of])
     stop = np.minimum(begin + WINDOW, starts[1:][text_of])
-    cell = np.concatenate([np.arange(a, b) for a, b in zip(begin, stop)])
-    window_of = np.repeat(np.arange(len(begin)), stop - begin)
-    new = fresh(codes)[cell]
-    cell, window_of = cell[new], window_of[new]
-    used, word_of = np.unique(codes[cell], return_inverse=True)
-    owner, key = word_ngrams([bare(w) for w in pc.utf8_lower(words.take(pa.array(used))).to_pylist()], LOW, HIGH)
+    new = fresh(codes)
+    window_of = np.repeat(np.arange(len(begin), dtype=np.int32), stop - begin)[new]
+    used, word_of = np.unique(codes[new], return_inverse=True)
+    owner, key = bucketed(words.take(pa.array(used)))
     ptr = np.searchsorted(owner, np.arange(len(used) + 1))
-    key = (key % np.uint64(BUCKETS)).astype(np.int32)
-    buckets, slot = np.unique(key, return_inverse=True)
-    slot = slot.astype(np.int32)
+    present = np.bincount(key, minlength=BUCKETS) > 0
+    buckets, slot = np.flatnonzero(present), (np.cumsum(present, dtype=np.int32) - 1)[key]
     # Buckets of very few words carry no signal for other texts and stay at zero.
-    often = np.bincount(slot, np.bincount(word_of, minlength=len(used))[owner], minlength=len(buckets)) >= 4
+    often = np.bincount(slot, np.bincount(word_of, minlength=len(used)).astype(np.float64)[owner], minlength=len(buckets)) >= 4
     del owner, key, new, stop
 
     vectors = np.zeros((len(buckets), DIM), np.float32)

@@ -281,6 +281,17 @@ def test_toxicity(spark, docs, empty):
         assert toxicity.fit_toxicity(frame, labels).scores(pa.array(["x"]))[0] <= 1
 
 
+def test_all_words_of_long_texts_train():
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    words = ["".join(rng.choice(letters, 7)) for _ in range(400)]
+    long = [" ".join(rng.permutation(np.tile(words[i::4], 12))) for i in range(4)]
+    model = toxicity.fit([(t, i % 2) for i, t in enumerate(long)])
+    assert (model.word_scores(pa.array(words)) != 0).all()
+    found = language.fit([(t, "ab"[i % 2]) for i, t in enumerate(long)])
+    assert found.lexicon == {w: i % 2 for i, w in enumerate(words)}
+
+
 def accuracy(spark, name, truth, parts, part):
     rows = queries.QUERIES[name](spark, "/root/testdata/sf0.01")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").join(
