@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lendlens.llm import bpe, language, licences, merkle, mixing, neighbours, perplexity, simhash, toxicity, url_rules
+from lendlens.llm import (
+    bpe, language, licences, merkle, mixing, neighbours, perplexity, simhash, toxicity, turn_trie, url_rules,
+)
 from lendlens.llm.common import crc_bucket
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,9 +89,16 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
         .select("doc_id", "held_out", "r.*")
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = turn_trie.numbered_turns(table(spark, folder, "conversations"))
+    conv = F.col("conv_id")
+    shared = F.pmod(F.crc32(conv.cast("string").cast("binary")), F.lit(6))
+    return turn_trie.prefix_trie(*turn_trie.rebuilt(turns, shared, conv - conv % 100, most=5))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_fingerprints, op2_mixing, op3_quality, op4_bpe, op5_url_filters, op6_toxicity, op7_licences,
-    op8_quality_rules, op9_simhash, op10_language)}
+    op8_quality_rules, op9_simhash, op10_language, op12_prefix_trie)}
 
 URL_SQL = r"""
 WITH parts AS (
