@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lendlens.llm import (
     bpe, language, licences, merkle, mixing, neighbours, perplexity, simhash, toxicity, turn_trie, url_rules,
+    whitening, wrappers,
 )
 from lendlens.llm.common import crc_bucket
 
@@ -89,6 +90,10 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
         .select("doc_id", "held_out", "r.*")
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
 def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     turns = turn_trie.numbered_turns(table(spark, folder, "conversations"))
     conv = F.col("conv_id")
@@ -96,9 +101,14 @@ def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return turn_trie.prefix_trie(*turn_trie.rebuilt(turns, shared, conv - conv % 100, most=5))
 
 
+def op13_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return wrappers.extract_main_text(table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_fingerprints, op2_mixing, op3_quality, op4_bpe, op5_url_filters, op6_toxicity, op7_licences,
-    op8_quality_rules, op9_simhash, op10_language, op12_prefix_trie)}
+    op8_quality_rules, op9_simhash, op10_language, op11_whitening, op12_prefix_trie,
+    op13_main_text)}
 
 URL_SQL = r"""
 WITH parts AS (
@@ -155,4 +165,49 @@ SELECT doc_id, unit, licence, dice FROM (
 WHERE place = 1 AND dice >= 0.8
 """
 
-ORACLES: dict[str, str] = {"op5_url_filters": URL_SQL, "op7_licences": LICENCE_SQL}
+# Prefixes as joined digests; totals reach a node over the paths of its descendants' smallest members.
+TRIE_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p,
+    sha256(concat(strlen(coalesce(role, '')), ':', role, text)) AS d, length(coalesce(text, '')) AS chars
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT conv_id, count(*) AS own, xor(list_reduce(
+    list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda s, i: xor(s >> 1, 3988292384 * (s & 1)))), 4294967295) % 6 AS h
+  FROM turns GROUP BY conv_id),
+sized AS (SELECT i.*, least(h, coalesce(b.own, 0)) AS taken FROM ids i LEFT JOIN (SELECT conv_id AS base, own FROM ids) b ON base = conv_id - conv_id % 100),
+made AS (
+  SELECT s.conv_id, p, d, chars FROM sized s JOIN turns t ON t.conv_id = s.conv_id - s.conv_id % 100 AND p <= h
+  UNION ALL SELECT s.conv_id, p - h + taken, d, chars FROM sized s JOIN turns t ON t.conv_id = s.conv_id AND p > h),
+paths AS (
+  SELECT conv_id, p, chars, string_agg(d, '') OVER (PARTITION BY conv_id ORDER BY p) AS prefix FROM made
+  UNION ALL SELECT conv_id, 0, 0, '' FROM ids),
+ends AS (SELECT conv_id, max(p) AS n FROM paths GROUP BY conv_id),
+nodes AS (
+  SELECT p, prefix, min(conv_id) AS owner, count(*) AS n_convs, min(chars) AS chars,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (p = n), '')) AS ends_sha256
+  FROM paths JOIN ends USING (conv_id) GROUP BY p, prefix),
+linked AS (
+  SELECT n.*, u.owner AS parent, (SELECT count(*) FROM nodes k WHERE k.p = n.p + 1 AND k.prefix[:-65] = n.prefix) AS n_children
+  FROM nodes n LEFT JOIN nodes u ON u.p = n.p - 1 AND u.prefix = n.prefix[:-65]),
+totals AS (
+  SELECT a.p, a.prefix, sum((x.n_children = 0)::BIGINT) AS n_leaves, sum((x.n_convs - 1) * x.chars) AS saved_tokens
+  FROM linked x JOIN paths a ON a.conv_id = x.owner AND a.p <= x.p GROUP BY a.p, a.prefix)
+SELECT owner AS conv_id, p::BIGINT AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves,
+  saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM linked JOIN totals USING (p, prefix)
+"""
+
+# The given pages hold their main text in one article element of headings and paragraphs.
+ARTICLE_SQL = r"""
+WITH inner_html AS (SELECT page_id, url, coalesce(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '') AS a FROM pages),
+plain AS (SELECT page_id, url, regexp_replace(regexp_replace(a, '</?(p|h1|br)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM inner_html),
+decoded AS (
+  SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(
+    t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&#x27;', chr(39)), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM plain)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM decoded
+"""
+
+ORACLES: dict[str, str] = {
+    "op5_url_filters": URL_SQL, "op7_licences": LICENCE_SQL, "op12_prefix_trie": TRIE_SQL, "op13_main_text": ARTICLE_SQL}
