@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # Bytes of text that are worked on at a time; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
@@ -55,6 +56,18 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), starts, coded.dictionary
 
 
+def split_many(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """`split_words` of many texts, a block at a time, with 32-bit codes."""
+    codes, sizes, words = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], pa.array([], pa.string())
+    for block in text_blocks(texts, 1 << 20):
+        some, starts, spelled = split_words(block)
+        both = pa.chunked_array([words, spelled]).dictionary_encode().combine_chunks()  # known words keep their codes
+        codes.append(both.indices.to_numpy(zero_copy_only=False)[len(words):].astype(np.int32)[some])
+        sizes.append(np.diff(starts))
+        words = both.dictionary
+    return np.concatenate(codes), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64), words
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -122,26 +135,47 @@ def sample_by_hash(df: DataFrame, key: str, rows: int, seed: int = 17) -> DataFr
     return df.orderBy(rank, key).limit(rows)
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int, size: int,
-                   key: str = "doc_id", text: str = "text") -> list[tuple[str, object]]:
+class Sample(NamedTuple):
+    """Labelled texts on the driver."""
+
+    texts: pa.Array
+    labels: list
+
+
+def as_sample(sample: Sample | list[tuple[str, object]]) -> Sample:
+    if isinstance(sample, Sample):
+        return sample
+    return Sample(pa.array([t for t, _ in sample], pa.string()), [label for _, label in sample])
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame | None, label: str, rows: int, size: int,
+                   key: str = "doc_id", text: str = "text") -> Sample:
     """A bounded sample of labelled whole texts on the driver: at most `rows` rows and `size` bytes.
 
-    Rows come in a seeded hash order of their ids; several labels of one id count once (the
-    greatest), several texts of one id once (the smallest).
+    Rows come in a seeded hash order of their ids, whole texts of at most a sixteenth of `size` as
+    long as their running sum stays within `size`; only these are fetched. Of several texts of one id
+    the shortest counts (ties: by hash), of several labels the greatest; without `labels`, the label is
+    that of the text's own row. Null ids are left out.
     """
-    wanted = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.max(label).alias("_label"))
-    wanted = sample_by_hash(wanted, "_id", rows)
-    found = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")) \
-        .join(F.broadcast(wanted), "_id") \
-        .where(F.octet_length("_text") <= size // 16)
-    result, used, seen = [], 0, set()
-    found = found.withColumn("_rank", F.xxhash64("_id", F.lit(17)))
-    for row in sorted(found.collect(), key=lambda r: (r["_rank"], r["_id"], r["_text"])):
-        used += len(row["_text"].encode("utf-8", "surrogatepass"))
-        if row["_id"] not in seen and used <= size:
-            seen.add(row["_id"])
-            result.append((row["_text"], row["_label"]))
-    return result
+    spark = docs.sparkSession
+    own = labels is None
+    source = docs.where(F.col(label).isNotNull()) if own else labels.where(F.col(label).isNotNull())
+    wanted = source.groupBy(F.col(key).alias("_id")).agg(*[F.max(F.lit(0) if own else F.col(label)).alias("_given")])
+    wanted = spark.createDataFrame(sample_by_hash(wanted, "_id", rows).toArrow())  # at most `rows` rows
+    whole = F.coalesce(F.col(text), F.lit(""))
+    texts = (source if own else docs).select(
+        F.col(key).alias("_id"), whole.alias("_text"), F.octet_length(whole).cast("long").alias("_bytes"), F.xxhash64(whole).alias("_hash"),
+        *([F.col(label).alias("_label")] if own else [])).where(F.col("_bytes") <= size // 16).join(F.broadcast(wanted), "_id")
+    if not own:
+        texts = texts.withColumnRenamed("_given", "_label")
+    one = texts.groupBy("_id").agg(F.min(F.struct("_bytes", "_hash", "_label")).alias("_one")).select("_id", "_one.*")
+    order = [F.xxhash64("_id", F.lit(17)), F.col("_id")]
+    running = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    chosen = one.withColumns({"_used": F.sum("_bytes").over(running), "_rank": F.row_number().over(Window.orderBy(*order))}).where(F.col("_used") <= size)
+    same = ["_id", "_bytes", "_hash", "_label"]
+    found = texts.select("_text", *same).join(F.broadcast(chosen.select(*same, "_rank")), same).groupBy("_rank", "_label").agg(F.min("_text").alias("_text"))
+    table = found.toArrow().sort_by("_rank")
+    return Sample(table["_text"].combine_chunks(), table["_label"].to_pylist())
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:

@@ -4,13 +4,12 @@ Features of a word are its hashed affixes and n-grams (marked at the ends, so pr
 suffixes count as their own), the word itself, and whether it stands in the lexicon of a
 language. With learned transitions, forward-backward gives each word the probabilities of its
 languages in context. Training joins pieces of texts of different languages, so changes of
-language within a line are learned. A text is cut into lines, and lines into chains of at
-most 256 words; its language has the greatest share of probability over all its words.
+language within a line are learned. Each line of a text is a chain, however long; the text's
+language has the greatest share of probability over all its words (of equal shares, the first by name).
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,17 +18,21 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from lendlens.llm.common import by_block, labelled_texts, split_words, struct_of, sums_by_start, word_ngrams
+from lendlens.llm.common import Sample, as_sample, by_block, labelled_texts, split_words, struct_of, sums_by_start, word_ngrams
 
 BUCKETS, LOW, HIGH = 1 << 16, 1, 4
-CHAIN = 256
+ABREAST = 256  # words of a long line that are worked on side by side with others
 # Fitted on a bounded sample: so many rows, so many bytes of whole texts, cut into pieces.
 FIT_ROWS, FIT_BYTES, PIECE = 2000, 16 << 20, 24
 FIT_CHAINS = 1 << 13  # chains whose probabilities are held at a time
 STEPS = 40
 BLOCK = 2 << 20  # bytes of text whose words are in memory with all their probabilities
 NO_LANGUAGE = "und"
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a sign of a letter category occurs; other numeric or enclosed signs are no letters."""
+    return any(map(str.isalpha, text))
 
 
 def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -43,20 +46,12 @@ def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.
     return owner, key
 
 
-def lengths_to_chains(sizes: np.ndarray, most: int) -> np.ndarray:
-    """Cuts runs of the given sizes into chains of at most `most`."""
-    sizes = sizes[sizes > 0]
-    count = -(-sizes // most)
-    chains = np.full(int(count.sum()), most)
-    chains[np.cumsum(count) - 1] = sizes - (count - 1) * most
-    return chains
-
-
-def marginals(emission: np.ndarray, chains: np.ndarray, move: np.ndarray, first: np.ndarray,
-              pairs: bool = False) -> tuple[np.ndarray, float, np.ndarray | None, np.ndarray]:
+def marginals(emission: np.ndarray, chains: np.ndarray, move: np.ndarray, first: np.ndarray, pairs: bool = False,
+              into: np.ndarray | None = None, out: np.ndarray | None = None) -> tuple[np.ndarray, float, np.ndarray | None, np.ndarray]:
     """Forward-backward over chains laid end to end, all chains of a step at once.
 
-    Returns the probabilities of each word's labels, the log partition sum, the expected
+    `into` and `out` give the messages that reach a chain's first and last word from outside; without
+    them a chain stands alone. Returns the probabilities of each word's labels, the log partition sum, the expected
     transitions (if asked for) and the expected first labels.
     """
     n, labels = emission.shape
@@ -71,7 +66,8 @@ def marginals(emission: np.ndarray, chains: np.ndarray, move: np.ndarray, first:
     before = None
     for t, k in enumerate(alive):
         at = begin[:k] + t
-        value = score[at] * (np.exp(first) if t == 0 else before[:k] @ step)
+        start = np.exp(first) if into is None else into[order]
+        value = score[at] * (start if t == 0 else before[:k] @ step)
         scale[at] = value.sum(1)
         before = value / scale[at][:, None]
         ahead[at] = before
@@ -80,7 +76,7 @@ def marginals(emission: np.ndarray, chains: np.ndarray, move: np.ndarray, first:
     for t in range(len(alive) - 1, -1, -1):
         k = alive[t]
         at = begin[:k] + t
-        beta = np.ones((k, labels))
+        beta = np.ones((k, labels)) if out is None else out[order[:k]]
         if len(after):
             m = len(after)
             nxt = at[:m] + 1
@@ -95,6 +91,46 @@ def marginals(emission: np.ndarray, chains: np.ndarray, move: np.ndarray, first:
     return found, float(np.log(scale).sum() + peak.sum()), expected, found[begin].sum(0)
 
 
+def in_pieces(sizes: np.ndarray, most: int) -> np.ndarray:
+    """The lengths of chains cut into pieces of at most `most` words."""
+    count = -(-sizes // most)
+    pieces = np.full(int(count.sum()), most)
+    pieces[np.cumsum(count) - 1] = sizes - (count - 1) * most
+    return pieces
+
+
+def line_marginals(emission: np.ndarray, sizes: np.ndarray, move: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Probabilities of each word's labels in chains of any length.
+
+    A long chain is cut into pieces whose products of step matrices are taken side by side; messages
+    then pass from piece to piece, so the result is that of the whole chain.
+    """
+    pieces = in_pieces(sizes, ABREAST)
+    if len(pieces) == len(sizes):
+        return marginals(emission, sizes, move, first)[0]
+    labels = emission.shape[1]
+    score, step = np.exp(emission - emission.max(1, keepdims=True)), np.exp(move)
+    begin, order = np.cumsum(pieces) - pieces, np.argsort(-pieces, kind="stable")
+    alive = np.searchsorted(-pieces[order], -np.arange(1, pieces.max() + 1), side="right")
+    through = np.broadcast_to(np.eye(labels), (len(pieces), labels, labels)).copy()  # in the order of length
+    for t, k in enumerate(alive):
+        through[:k] = (through[:k] @ step if t else through[:k]) * score[begin[order[:k]] + t][:, None, :]
+        through[:k] /= through[:k].max((1, 2), keepdims=True)
+    through[order] = through.copy()
+    count = -(-sizes // ABREAST)
+    head = np.cumsum(count) - count
+    into, out = np.tile(np.exp(first), (len(pieces), 1)), np.ones((len(pieces), labels))
+    for k in range(1, int(count.max())):
+        now = head[count > k] + k
+        passed = np.einsum("ni,nij->nj", into[now - 1], through[now - 1]) @ step
+        into[now] = passed / passed.max(1, keepdims=True)
+    for k in range(int(count.max()) - 1, 0, -1):
+        now = head[count > k] + k
+        passed = np.einsum("nij,nj->ni", through[now], out[now]) @ step.T
+        out[now - 1] = passed / passed.max(1, keepdims=True)
+    return marginals(emission, pieces, move, first, into=into, out=out)[0]
+
+
 @dataclass
 class LanguageModel:
     labels: list[str]
@@ -115,8 +151,8 @@ class LanguageModel:
         if not len(codes):
             return np.zeros((0, len(self.labels))), np.zeros(len(texts) + 1, np.int64)
         emission = self.emissions(pc.utf8_lower(words).to_pylist())[codes]
-        found, _, _, _ = marginals(emission, lengths_to_chains(np.diff(starts), CHAIN), self.move, self.first)
-        return found, starts[ends]
+        sizes = np.diff(starts)
+        return line_marginals(emission, sizes[sizes > 0], self.move, self.first), starts[ends]
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         if not self.labels:
@@ -125,21 +161,23 @@ class LanguageModel:
         total = sums_by_start(found, starts)
         share = total / np.maximum(total.sum(1, keepdims=True), 1e-12)
         best = share.argmax(1)
-        lettered = np.array([bool(LETTER.search(t)) for t in texts.to_pylist()], bool)
+        lettered = np.array([has_letter(t) for t in texts.to_pylist()], bool)
         names = [self.labels[b] if ok else NO_LANGUAGE for b, ok in zip(best.tolist(), lettered)]
         score = np.clip(np.where(lettered, share[np.arange(len(best)), best], 0.0), 0, 1)
         return names, score
 
 
-def fit(sample: list[tuple[str, str]], seed: int = 5) -> LanguageModel:
+def fit(sample: Sample | list[tuple[str, str]], seed: int = 5) -> LanguageModel:
     """Learns emissions, transitions and lexicon; every word of a text has the text's language."""
-    labels = sorted({label for text, label in sample if LETTER.search(text)})
+    texts, marks = as_sample(sample)
+    labels = sorted({label for text, label in zip(texts.to_pylist(), marks) if has_letter(text)})
     count = len(labels)
     if not count:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros((0, 0)), np.zeros(0), {})
     rng = np.random.default_rng(seed)
-    texts = pa.array([t for t, label in sample if label in labels], pa.string())
-    truth = np.array([labels.index(label) for _, label in sample if label in labels])
+    known = [label in labels for label in marks]
+    texts = texts.filter(pa.array(known))
+    truth = np.array([labels.index(label) for label in marks if label in labels])
     codes, starts, words = split_words(texts)
     pieces = []
     for i, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
@@ -201,7 +239,7 @@ def fit(sample: list[tuple[str, str]], seed: int = 5) -> LanguageModel:
 def fit_language(docs: DataFrame, rows: int = FIT_ROWS, size: int = FIT_BYTES, key: str = "doc_id",
                  text: str = "text", lang: str = "lang") -> LanguageModel:
     """Fits on at most `rows` documents with a language and `size` bytes of their whole texts."""
-    return fit(labelled_texts(docs, docs.select(key, lang), lang, rows, size, key, text))
+    return fit(labelled_texts(docs, None, lang, rows, size, key, text))
 
 
 KIND = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

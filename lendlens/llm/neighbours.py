@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lendlens.llm.common import by_block, code_points, labelled_texts, split_words, sums_by_start, text_blocks
+from lendlens.llm.common import Sample, as_sample, by_block, code_points, labelled_texts, split_words, sums_by_start, text_blocks
 
 # Labelled rows (and bytes of their whole texts) that are broadcast as vectors.
 FIT_ROWS, FIT_BYTES = 4000, 24 << 20
@@ -117,12 +117,13 @@ class QualityModel:
         return np.concatenate(parts)
 
 
-def fit(sample: list[tuple[str, int]], seed: int = 7) -> QualityModel:
+def fit(sample: Sample | list[tuple[str, int]], seed: int = 7) -> QualityModel:
     """Vocabulary, weights and directions from the sample, whose vectors become the voters."""
-    labels = np.array([int(bool(label)) for _, label in sample], np.float64)
+    texts, marks = as_sample(sample)
+    labels = np.array([int(bool(label)) for label in marks], np.float64)
     share = float((labels.sum() + 0.5) / (len(labels) + 1.0))
     seen: dict[str, int] = {}
-    blocks = list(text_blocks(pa.array([t for t, _ in sample], pa.string()), 1 << 20))
+    blocks = list(text_blocks(texts, 1 << 20))
     for block in blocks:
         codes, starts, words = split_words(block)
         spelled = [(w.lower(), x) for w, x in zip(words.to_pylist(), shapes(words.to_pylist()))]
@@ -131,9 +132,9 @@ def fit(sample: list[tuple[str, int]], seed: int = 7) -> QualityModel:
                 seen[term] = seen.get(term, 0) + 1
     chosen = sorted((t for t, n in seen.items() if n >= 3), key=lambda t: (-seen[t], t))[:TERMS]
     terms = {t: i for i, t in enumerate(chosen)}
-    idf = np.array([np.log((1 + len(sample)) / (1 + seen[t])) + 0.1 for t in chosen], np.float32)
+    idf = np.array([np.log((1 + len(texts)) / (1 + seen[t])) + 0.1 for t in chosen], np.float32)
     model = QualityModel(terms, idf, np.zeros((0, 0)), np.zeros((0, DIM), np.float32), labels, share)
-    if not len(sample):
+    if not len(texts):
         return model
     rows = np.concatenate([model.weights(block) for block in blocks])
     # Leading right singular vectors by subspace iteration.

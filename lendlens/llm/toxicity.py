@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lendlens.llm.common import by_block, labelled_texts, split_words, text_blocks, word_ngrams
+from lendlens.llm.common import Sample, as_sample, by_block, labelled_texts, split_many, split_words, text_blocks, word_ngrams
 
 THRESHOLD = 0.3  # a text of this score is toxic
 BUCKETS, DIM, WINDOW = 1 << 17, 4, 16
@@ -28,7 +28,8 @@ LOW, HIGH = 3, 6
 FIT_ROWS, FIT_BYTES = 5000, 20 << 20
 WARM_STEPS, ROUNDS, STEPS = 30, 6, 10
 RATE, DECAY = 0.1, 1e-6
-WORD_BLOCK = 1 << 14
+# Words and windows whose sums are taken at a time.
+WORD_BLOCK, WINDOW_BLOCK = 1 << 14, 1 << 15
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -78,36 +79,67 @@ class ToxicModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.worst(texts) + self.shift, -30, 30)))
 
 
-class Bags:
-    """Windows as bags of words, words as bags of buckets, with both directions of the averages."""
-
-    def __init__(self, word_of: np.ndarray, window_of: np.ndarray, windows: int, ptr: np.ndarray, slot: np.ndarray) -> None:
-        used, self.word_of = np.unique(word_of, return_inverse=True)
-        self.word_of, self.by_word = self.word_of.astype(np.int32), np.argsort(self.word_of, kind="stable").astype(np.int32)
-        sizes = np.diff(ptr)[used]
-        take = np.repeat((ptr[used] - (np.cumsum(sizes) - sizes)).astype(np.int32), sizes) + np.arange(sizes.sum(), dtype=np.int32)
-        self.slot, self.owner = slot[take], np.repeat(np.arange(len(used), dtype=np.int32), sizes)
-        self.share = (1.0 / np.maximum(np.diff(ptr)[used], 1)).astype(np.float32)
-        self.window_of, self.words, self.windows = window_of, len(used), windows
-        self.by_slot = np.argsort(self.slot, kind="stable").astype(np.int32)
-
-    @staticmethod
-    def summed(values: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
-        """Sums of rows by a sorted index."""
-        found = np.zeros((n, values.shape[1]), np.float32)
-        if len(index):
-            start = np.flatnonzero(np.append(True, index[1:] != index[:-1]))
-            found[index[start]] = np.add.reduceat(values, start, axis=0)
+class Spelling:
+    """Distinct words as bags of buckets; vectors of words and gradients of buckets, a block at a time."""
+
+    def __init__(self, ptr: np.ndarray, slot: np.ndarray) -> None:
+        self.ptr, self.slot, self.sizes = ptr, slot, np.diff(ptr)
+        self.share = (1.0 / np.maximum(self.sizes, 1)).astype(np.float32)
+
+    def blocks(self, used: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Places in `used` (sorted words), and slots and owners of their n-grams."""
+        for low in range(0, len(used), WORD_BLOCK):
+            part = used[low:low + WORD_BLOCK]
+            sizes = self.sizes[part]
+            owner = np.repeat(np.arange(len(part), dtype=np.int32), sizes)
+            first = (self.ptr[part] - (np.cumsum(sizes) - sizes)).astype(np.int32)
+            yield slice(low, low + len(part)), self.slot[first[owner] + np.arange(len(owner), dtype=np.int32)], owner
+
+    def vectors(self, used: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+        found = np.zeros((len(used), buckets.shape[1]), np.float32)
+        for place, slot, owner in self.blocks(used):
+            for d in range(buckets.shape[1]):
+                found[place, d] = np.bincount(owner, buckets[slot, d], minlength=place.stop - place.start)
+        return found * self.share[used][:, None]
+
+    def gradients(self, used: np.ndarray, error: np.ndarray, buckets: int) -> np.ndarray:
+        error = error * self.share[used][:, None]
+        found = np.zeros((buckets, error.shape[1]))
+        for place, slot, owner in self.blocks(used):
+            for d in range(error.shape[1]):
+                found[:, d] += np.bincount(slot, error[place, d][owner], minlength=buckets)
         return found
 
+
+class Bags:
+    """Windows as bags of words, read a block at a time."""
+
+    def __init__(self, spelling: Spelling, word_of: np.ndarray, window_of: np.ndarray, windows: int) -> None:
+        self.spelling, self.window_of, self.windows = spelling, window_of, windows
+        self.used, self.word_of = np.unique(word_of, return_inverse=True)
+        self.word_of = self.word_of.astype(np.int32)
+
+    def blocks(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Windows from, to, and of the words in them: the word and its window within the block."""
+        for low in range(0, self.windows, WINDOW_BLOCK):
+            high = min(low + WINDOW_BLOCK, self.windows)
+            a, b = np.searchsorted(self.window_of, [low, high])
+            yield low, high, self.word_of[a:b], self.window_of[a:b] - low
+
     def forward(self, vectors: np.ndarray) -> np.ndarray:
-        word = self.summed(vectors[self.slot], self.owner, self.words) * self.share[:, None]
-        return self.summed(word[self.word_of], self.window_of, self.windows) / WINDOW
+        word = self.spelling.vectors(self.used, vectors)
+        found = np.zeros((self.windows, vectors.shape[1]), np.float32)
+        for low, high, words, place in self.blocks():
+            for d in range(vectors.shape[1]):
+                found[low:high, d] = np.bincount(place, word[words, d], minlength=high - low)
+        return found / WINDOW
 
     def backward(self, error: np.ndarray, buckets: int) -> np.ndarray:
-        order = self.by_word
-        word = self.summed(error[self.window_of[order]], self.word_of[order], self.words) * (self.share / WINDOW)[:, None]
-        return self.summed(word[self.owner[self.by_slot]], self.slot[self.by_slot], buckets)
+        word = np.zeros((len(self.used), error.shape[1]))
+        for low, _, words, place in self.blocks():
+            for d in range(error.shape[1]):
+                word[:, d] += np.bincount(words, error[low + place, d], minlength=len(self.used))
+        return self.spelling.gradients(self.used, word / WINDOW, buckets)
 
 
 def softmax(logit: np.ndarray) -> np.ndarray:
@@ -115,25 +147,33 @@ def softmax(logit: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def bucketed(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the word, bucket) of the n-grams of each word, a block of words at a time."""
-    owners, keys = [], []
+def bucketed(words: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the n-grams of each word begin, their buckets, and how often each bucket occurs, a block of words at a time."""
+    sizes, keys, often = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], np.zeros(BUCKETS)
     for at in range(0, len(words), WORD_BLOCK):
-        owner, key = word_ngrams([bare(w) for w in pc.utf8_lower(words.slice(at, WORD_BLOCK)).to_pylist()], LOW, HIGH)
-        owners.append(owner + np.int32(at)), keys.append((key % np.uint64(BUCKETS)).astype(np.int32))
-    return np.concatenate(owners), np.concatenate(keys)
-
-
-def fit(sample: list[tuple[str, int]], seed: int = 3) -> ToxicModel:
-    """Joint training of n-gram vectors and softmax. Without both labels the score is the label's share."""
-    y = np.array([int(bool(label)) for _, label in sample], np.int64)
+        block = words.slice(at, WORD_BLOCK)
+        owner, key = word_ngrams([bare(w) for w in pc.utf8_lower(block).to_pylist()], LOW, HIGH)
+        key = (key % np.uint64(BUCKETS)).astype(np.int32)
+        often += np.bincount(key, counts[at:at + WORD_BLOCK][owner], minlength=BUCKETS)
+        sizes.append(np.bincount(owner, minlength=len(block)))
+        keys.append(key)
+    return np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64), np.concatenate(keys), often
+
+
+def fit(sample: Sample | list[tuple[str, int]], seed: int = 3) -> ToxicModel:
+    """Joint training of n-gram vectors and softmax. Without both labels the score is the label's share.
+
+    Sums run over blocks of words and windows, so memory beside the texts and their words' numbers
+    does not grow with the steps.
+    """
+    texts, marks = as_sample(sample)
+    y = np.array([int(bool(label)) for label in marks], np.int64)
     share = (y.sum() + 0.5) / (len(y) + 5.0)
     even = ToxicModel(np.zeros(BUCKETS, np.float32), 0.0, float(np.log(share / (1 - share))))
     if not len(y) or y.min() == y.max():
         return even
     rng = np.random.default_rng(seed)
-    texts = pa.array([t for t, _ in sample], pa.string())
-    codes, starts, words = split_words(texts)
+    codes, starts, words = split_many(texts)
     if not len(codes):
         return even
     # Windows: the whole of each text, side by side.
@@ -144,13 +184,16 @@ def fit(sample: list[tuple[str, int]], seed: int = 3) -> ToxicModel:
     new = fresh(codes)
     window_of = np.repeat(np.arange(len(begin), dtype=np.int32), stop - begin)[new]
     used, word_of = np.unique(codes[new], return_inverse=True)
-    owner, key = bucketed(words.take(pa.array(used)))
-    ptr = np.searchsorted(owner, np.arange(len(used) + 1))
-    present = np.bincount(key, minlength=BUCKETS) > 0
-    buckets, slot = np.flatnonzero(present), (np.cumsum(present, dtype=np.int32) - 1)[key]
+    word_of = word_of.astype(np.int32)
+    del codes, begin, stop, new
+    ptr, slot, often = bucketed(words.take(pa.array(used)), np.bincount(word_of, minlength=len(used)).astype(np.float64))
+    del words, used
+    buckets, inverse = np.flatnonzero(often), np.zeros(BUCKETS, np.int32)
+    inverse[buckets] = np.arange(len(buckets))
+    for at in range(0, len(slot), 1 << 20):
+        slot[at:at + (1 << 20)] = inverse[slot[at:at + (1 << 20)]]
     # Buckets of very few words carry no signal for other texts and stay at zero.
-    often = np.bincount(slot, np.bincount(word_of, minlength=len(used)).astype(np.float64)[owner], minlength=len(buckets)) >= 4
-    del owner, key, new, stop
+    often = often[buckets] >= 4
 
     vectors = np.zeros((len(buckets), DIM), np.float32)
     head = rng.normal(0, 1.0, (DIM, 2)).astype(np.float32)
@@ -172,17 +215,19 @@ def fit(sample: list[tuple[str, int]], seed: int = 3) -> ToxicModel:
                 square += 0.01 * (g * g - square)
                 parameter -= RATE * (mean / (1 - 0.9 ** tick)) / (np.sqrt(square / (1 - 0.99 ** tick)) + 1e-8)
 
-    whole = Bags(word_of, window_of, len(begin), ptr, slot)
+    spelling = Spelling(ptr, slot)
+    whole = Bags(spelling, word_of, window_of, len(text_of))
+    word_of = whole.word_of  # every word is used, so the numbers are the same
     train(whole, y[text_of].astype(np.float64), WARM_STEPS)
     for _ in range(ROUNDS):  # from now on a text is judged by its worst window
         logit = whole.forward(vectors) @ (head[:, 1] - head[:, 0])
         order = np.lexsort((-logit, text_of))
         rank = np.arange(len(order)) - np.searchsorted(text_of[order], text_of[order])
         chosen = np.sort(order[rank < 1 + y[text_of[order]]])
-        place = np.full(len(begin), -1)
+        place = np.full(len(text_of), -1, np.int32)
         place[chosen] = np.arange(len(chosen))
         inside = place[window_of] >= 0
-        train(Bags(word_of[inside], place[window_of[inside]], len(chosen), ptr, slot), y[text_of[chosen]].astype(np.float64), STEPS)
+        train(Bags(spelling, word_of[inside], place[window_of[inside]], len(chosen)), y[text_of[chosen]].astype(np.float64), STEPS)
     gain = np.zeros(BUCKETS, np.float32)
     gain[buckets] = vectors @ (head[:, 1] - head[:, 0])
     return calibrated(gain, texts, y, share)
