@@ -54,8 +54,8 @@ def chunks(batches: Iterator[pa.RecordBatch], widths: dict[str, int], rows: int
     held, size = [], 0
 
     def made() -> Chunk:
-        table = pa.Table.from_batches(held).combine_chunks()
-        return {n: column_values(table[n].combine_chunks() if table[n].num_chunks != 1 else table[n].chunk(0), widths.get(n)) for n in table.column_names}
+        table = pa.Table.from_batches(held)
+        return {n: column_values(pa.concat_arrays(table[n].chunks), widths.get(n)) for n in table.column_names}
     for batch in batches:
         if batch.num_rows:
             held.append(batch)

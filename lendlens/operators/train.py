@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
@@ -11,6 +12,7 @@ from itertools import product
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lendlens.functions.hashing import order_key
 from lendlens.operators.evaluate import roc_auc, score_curve
 from lendlens.operators.fit import Scorer, fit_logistic, gram_sums
 from lendlens.operators.matrix import standard_scale_fit
@@ -177,6 +179,90 @@ def search_ridge(train: DataFrame, features: Sequence[str], label: str, alphas:
         F.avg("auc").alias("cv_mean"), F.stddev_pop("auc").alias("cv_std"))
 
 
+# Families: points of a grid that are fitted together ------------------------------------------
+
+
+@dataclass(frozen=True)
+class Family:
+    """A kind of model with its grid.
+
+    ``fit_points`` (rows, points, folds) gives per point one model for each entry of ``folds``, fitted
+    without that fold (None: on all rows), as far as possible in shared passes. ``untuned`` is the
+    point that a search is compared with.
+    """
+
+    name: str
+    grid: dict[str, Sequence]
+    fit_points: Callable[[DataFrame, Sequence[dict], Sequence[int | None]], list[list[Scorer]]]
+    untuned: dict
+    scaled: bool = False
+
+    def spec(self, point: dict | None = None) -> ModelSpec:
+        chosen = self.untuned if point is None else point
+        return ModelSpec(self.name, lambda df: self.fit_points(df, [chosen], [None])[0][0], self.scaled)
+
+
+def held_out_points(rows: DataFrame, models: Sequence[Sequence[Scorer]], label: str) -> DataFrame:
+    """(point, fold, label, score): every row scored by the models of all points that did not see its fold."""
+    parts = []
+    for fold in range(len(models[0])):
+        scored = rows.where(F.col("fold") == fold)
+        for i, point in enumerate(models):
+            scored = point[fold].score(scored, f"__point{i}")
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("point"), F.col(f"__point{i}").alias("score")) for i in range(len(models))]))
+        parts.append(scored.select("fold", F.col(label).cast("int").alias("label"), cells.alias("cell")).select(
+            "cell.point", "fold", "label", "cell.score"))
+    return union_all(parts)
+
+
+def seeded_share(df: DataFrame, row_id: str, share: float, seed: int) -> DataFrame:
+    """Rows whose fingerprint lies below the share; larger shares hold the rows of smaller ones."""
+    if share >= 1:
+        return df
+    key = F.conv(F.substring(order_key(seed, F.col(row_id)), 1, 13), 16, 10).cast("double")
+    return df.where(key < share * 16.0 ** 13)
+
+
+def successive_search(rows: DataFrame, family: Family, label: str, row_id: str, size: int = 25, folds: int = 3,
+                      shares: Sequence[float] = (1.0,), keep: float = 1 / 3, seed: int = 42) -> DataFrame:
+    """(rung, point, params, share, cv_mean, cv_std, survives) of the sampled points of a family.
+
+    Each rung fits the points that are left on a larger share of the rows and keeps the best by mean
+    AUC of the folds (ties: the earlier point). With one rung it is the plain search.
+    """
+    if family.scaled:
+        scaler = standard_scale_fit(rows)
+        rows = scaler.transform(rows)
+    points = list(enumerate(sample_grid(family.grid, size, seed)))
+    report = []
+    for rung, share in enumerate(shares):
+        some = materialize(seeded_share(rows, row_id, share, seed), "rung")
+        models = family.fit_points(some, [p for _, p in points], list(range(folds)))
+        by = ("point", "fold")
+        aucs = roc_auc(score_curve(materialize(held_out_points(some, models, label), "held"), by), by)
+        found = {r["point"]: (r["mean"], r["std"]) for r in aucs.groupBy("point").agg(
+            F.avg("auc").alias("mean"), F.stddev_pop("auc").alias("std")).collect()}
+        best = sorted(range(len(points)), key=lambda i: (-found[i][0], points[i][0]))
+        left = set(best[:1 if rung + 1 == len(shares) else max(1, math.ceil(len(points) * keep))])
+        report += [(rung, number, str(sorted(point.items())), float(share), *found[i], i in left) for i, (number, point) in enumerate(points)]
+        points = [p for i, p in enumerate(points) if i in left]
+    return rows.sparkSession.createDataFrame(
+        report, "rung int, point int, params string, share double, cv_mean double, cv_std double, survives boolean")
+
+
+def search_families(train: DataFrame, test: DataFrame, families: Sequence[Family], label: str, row_id: str,
+                    size: int = 25, folds: int = 3, shares: Sequence[float] = (1.0,), keep: float = 1 / 3,
+                    seed: int = 42) -> DataFrame:
+    """Per family the best sampled point, refitted, against its untuned model on the test rows."""
+    parts = []
+    for family in families:
+        best = successive_search(train, family, label, row_id, size, folds, shares, keep, seed).where(
+            "survives").orderBy(F.desc("rung")).first()
+        point = sample_grid(family.grid, size, seed)[best["point"]]
+        parts.append(_tuned_row(train, test, family.name, family.spec(point), point, best["cv_mean"], family.spec(), label))
+    return union_all(parts)
+
+
 @dataclass(frozen=True)
 class StackedModel:
     bases: dict[str, Scorer]
