@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from lendlens.operators.bins import Bins, fit_bins
-from lendlens.operators.passes import chunks, combined, known, packed
+from lendlens.operators.passes import chunks, combined, dealt, known, packed, task_count
 from lendlens.operators.score import number, sigmoid_sql
 from lendlens.session import materialize
 
@@ -123,7 +123,8 @@ def fit_adaboost(df: DataFrame, features: Sequence[str], label: str, points: Seq
     width, size = len(features), bins.size
     fold = F.col("fold").cast("int") if any(f is not None for f in folds) else F.lit(-1)
     rows = df.select(F.col(label).cast("int").alias("label"), fold.alias("fold"), *known(features, df))
-    rows = materialize(rows.select("label", "fold", bins.codes().alias("codes")), "codes")
+    rows = materialize(dealt(rows.select("label", "fold", bins.codes().alias("codes")), df.count(), len(points) * len(folds)), "codes")
+    tasks = task_count(rows)
     counts = {r["fold"]: r["n"] for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     models = [Boosted(how, f, sum(n for k, n in counts.items() if f is None or k != f)) for how in points for f in folds]
     for m in models:
@@ -144,7 +145,7 @@ def fit_adaboost(df: DataFrame, features: Sequence[str], label: str, points: Seq
             found = [(key, *best_stump(numbers.reshape(2, width, size).astype(np.float64))) for key, numbers in held.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=["model", "feature", "cut", "below", "above", "error"])
         schema = "model long, feature long, cut long, below long, above long, error double"
-        for r in combined(rows, sums, True, choose, schema).collect():
+        for r in combined(rows, sums, True, choose, schema, tasks=tasks).collect():
             m, error = models[r["model"]], r["error"]
             place = (r["feature"], r["cut"], r["below"], r["above"])
             if error <= 0:

@@ -4,8 +4,10 @@ Features become codes of quantile bins, written once. A pass over the rows sums
 hessians per open leaf, feature and bin; sums are whole numbers of a fixed unit, so they do not
 depend on the order in which tasks finish. Splits are chosen where the sums of a leaf meet; the
 driver gets one row per leaf. Of all open leaves the one of most gain is split next, until there are
-``max_leaves``. A pass also sums for the children of leaves that may be split soon, so a tree takes
-about as many passes as it is deep. Several models (folds, points of a search) grow in the same passes.
+``max_leaves``. A pass also sums for the children of leaves that may be split soon. The rows of a leaf
+of at most ``FEW`` rows meet in one task instead, which splits it on, best first, as far as the tree
+could ask for; so a tree takes as many passes as its large leaves are deep, and one more. Several
+models (folds, points of a search) grow in the same passes.
 
 Margins are kept with the rows and written anew every ``KEEP`` trees; trees since then are applied
 inside the passes.
@@ -23,13 +25,14 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from lendlens.operators.bins import Bins, fit_bins, score_column
-from lendlens.operators.passes import chunks, combined, known, packed
+from lendlens.operators.passes import chunks, dealt, known, packed, task_count, unpacked
 from lendlens.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 UNIT = float(1 << 24)
 KEEP = 10
+FEW = 1 << 16
 # Bytes of histograms that a task may hold: models beyond it take passes of their own.
 HELD = 256 << 20
 
@@ -92,12 +95,13 @@ class Growth:
     how: Boosting
     fold: int | None
     base: float = 0.0
+    rows: int = 0
     trees: list[Tree] = field(default_factory=list)
     nodes: list[Leaf] = field(default_factory=list)
     kept: int = 0  # trees whose scores are in the written margins
 
     def start(self) -> None:
-        self.nodes = [Leaf(0)]
+        self.nodes = [Leaf(0, sums=(0, 0, self.rows))]
 
     def wanted(self) -> list[int]:
         """Open leaves without a known split, and the children that the best open leaves would have."""
@@ -124,6 +128,19 @@ class Growth:
             for part in (left, tuple(a - b for a, b in zip(sums, left))):
                 self.nodes.append(Leaf(n.depth + 1, sums=part))
 
+    def learn_all(self, node: int, found: dict | None) -> None:
+        """Takes over the splits of a leaf and of what was grown below it; no rows, no split."""
+        if not found:
+            self.nodes[node].gain = 0.0
+            return
+        open_ = [(node, 0)]
+        while open_:
+            at, place = open_.pop(0)
+            r = found[place]
+            self.learn(at, r["gain"], r["feature"], r["cut"], (r["gl"], r["hl"], r["nl"]), (r["g"], r["h"], r["n"]))
+            if r["below"] and self.nodes[at].children:
+                open_ += zip(self.nodes[at].children, (r["below"], r["below"] + 1))
+
     def advance(self) -> None:
         """Splits the open leaf of most gain, as long as all gains are known."""
         while True:
@@ -208,19 +225,28 @@ def margins_of(chunk: dict, model: int, base: float, trees: Sequence[Tree]) -> n
     return stored + base + sum((t.scores(chunk["codes"]) for t in trees), np.zeros(len(chunk["codes"])))
 
 
-def leaf_histograms(rows: DataFrame, plans: list[tuple], width: int, bins: int, models: int) -> list:
-    """Per model and wanted leaf its best split and sums.
+ROWS = "key long, numbers array<long>, codes binary"
+SPLIT_NAMES = ["model", "node", "place", "gain", "feature", "cut", "gl", "hl", "nl", "g", "h", "n", "below"]
+SPLIT = ("model long, node long, place long, gain double, feature long, cut long, gl long, hl long, nl long, "
+         "g long, h long, n long, below long")
+
+
+def leaf_splits(rows: DataFrame, plans: list[tuple], width: int, bins: int, models: int, tasks: int) -> list:
+    """Per model and wanted leaf its best split and sums; of a small leaf also those of the nodes below it.
 
     A plan is (number of the model, base, trees since the margins, tree with prepared splits, wanted
-    nodes, how, fold, number of the tree).
+    nodes, whether each is small, how, fold, number of the tree). ``place`` numbers the nodes below a
+    leaf (itself 0), ``below`` is the place of a node's left child, the right one follows; 0 if unsplit.
     """
     cells = width * bins
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = [np.zeros((3, len(plan[4]) * cells)) for plan in plans]
+        large = [[n for n, few in zip(plan[4], plan[5]) if not few] for plan in plans]
+        totals = [np.zeros((3, len(nodes) * cells)) for nodes in large]
         for chunk in chunks(batches, {"codes": width, "margins": models}):
             codes, y = chunk["codes"], chunk["label"]
-            for total, (model, base, trees, tree, wanted, how, fold, number) in zip(totals, plans):
+            keys, arrays, bodies = [], [], []
+            for total, nodes, (model, base, trees, tree, wanted, few, how, fold, number) in zip(totals, large, plans):
                 slot = np.full(len(tree.feature), -1, np.int64)
                 slot[wanted] = np.arange(len(wanted))
                 at = slot[tree.places(codes)]
@@ -228,32 +254,97 @@ def leaf_histograms(rows: DataFrame, plans: list[tuple], width: int, bins: int,
                 if not len(use):
                     continue
                 p = 1 / (1 + np.exp(-margins_of(chunk, model, base, trees)[use]))
-                cell = (at[use][:, None] * cells + np.arange(width) * bins + codes[use]).ravel()
-                size = total.shape[1]
-                total[0] += np.bincount(cell, np.repeat(np.rint((p - y[use]) * UNIT), width), size)
-                total[1] += np.bincount(cell, np.repeat(np.rint(p * (1 - p) * UNIT), width), size)
-                total[2] += np.bincount(cell, minlength=size)
+                g, h = np.rint((p - y[use]) * UNIT), np.rint(p * (1 - p) * UNIT)
+                order = np.argsort(at[use], kind="stable")
+                leaf = at[use][order]
+                for s in np.flatnonzero(few).tolist():
+                    mine = order[np.searchsorted(leaf, s):np.searchsorted(leaf, s, side="right")]
+                    if len(mine):
+                        keys.append(model << 32 | wanted[s])
+                        arrays.append(np.concatenate([g[mine], h[mine]]).astype(np.int64))
+                        bodies.append(codes[use[mine]].tobytes())
+                if nodes:
+                    index = np.full(len(wanted), -1, np.int64)
+                    index[~np.asarray(few)] = np.arange(len(nodes))
+                    some = np.flatnonzero(index[at[use]] >= 0)
+                    cell = (index[at[use[some]]][:, None] * cells + np.arange(width) * bins + codes[use[some]]).ravel()
+                    for row, weight in zip(total, (g[some], h[some], None)):
+                        row += np.bincount(cell, None if weight is None else np.repeat(weight, width), total.shape[1])
+            if keys:
+                yield with_codes(packed(keys, arrays, True), bodies)
         keys, arrays = [], []
-        for total, plan in zip(totals, plans):
-            for i, node in enumerate(plan[4]):
+        for total, nodes, plan in zip(totals, large, plans):
+            for i, node in enumerate(nodes):
                 part = total[:, i * cells:(i + 1) * cells]
                 if part[2].any():
                     keys.append(plan[0] << 32 | node)
                     arrays.append(part.astype(np.int64))
         if keys:
-            yield packed(keys, arrays, True)
+            yield with_codes(packed(keys, arrays, True), [None] * len(keys))
 
-    by_model = {plan[0]: plan[5] for plan in plans}
+    def with_codes(batch: pa.RecordBatch, bodies: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(bodies, pa.binary())], names=["key", "numbers", "codes"])
 
-    def splits(held: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        found = [(key >> 32, key & 0xFFFFFFFF, *best_split(numbers.reshape(3, width, bins), by_model[key >> 32])) for key, numbers in held.items()]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=SPLIT_NAMES)
-    return combined(rows, sums, True, splits, SPLIT).collect()
+    plan_of = {plan[0]: plan for plan in plans}
+    left = {plan[0]: depth_left(plan[3], plan[6].depth) for plan in plans}
 
-
-SPLIT_NAMES = ["model", "node", "gain", "feature", "cut", "gl", "hl", "nl", "g", "h", "n"]
-SPLIT = ("model long, node long, gain double, feature long, cut long, gl long, hl long, nl long, "
-         "g long, h long, n long")
+    def splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        parts: dict[int, list] = {}
+        for batch in batches:
+            for (key, numbers), body in zip(unpacked(batch), batch.column("codes").to_pylist()):
+                if body is not None:
+                    parts.setdefault(key, []).append((numbers, np.frombuffer(body, np.uint8).reshape(-1, width)))
+                elif key in held:
+                    held[key] += numbers
+                else:
+                    held[key] = numbers.copy()
+        found = [(key >> 32, key & 0xFFFFFFFF, 0, *best_split(numbers.reshape(3, width, bins), plan_of[key >> 32][6]), 0) for key, numbers in held.items()]
+        for key, pieces in parts.items():
+            g, h = (np.concatenate([n.reshape(2, -1)[k] for n, _ in pieces]) for k in (0, 1))
+            codes = np.concatenate([c for _, c in pieces])
+            model, node = key >> 32, key & 0xFFFFFFFF
+            found += [(model, node, *row) for row in grown_here(codes, g, h, bins, plan_of[model][6], left[model][node])]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=SPLIT_NAMES)
+    partial = rows.mapInArrow(sums, ROWS)
+    return (partial if tasks == 1 else partial.repartition("key")).mapInArrow(splits, SPLIT).collect()
+
+
+def depth_left(tree: Tree, most: int) -> list[int]:
+    """How many levels may follow each node."""
+    depth = [0] * len(tree.feature)
+    for i, f in enumerate(tree.feature.tolist()):  # children come after their parent
+        if f >= 0:
+            depth[tree.left[i]] = depth[tree.right[i]] = depth[i] + 1
+    return [most - d if most else 1 << 30 for d in depth]
+
+
+def grown_here(codes: np.ndarray, g: np.ndarray, h: np.ndarray, bins: int, how: Boosting, levels: int) -> list[tuple]:
+    """The rows of one leaf split best first, as far as a whole tree of ``max_leaves`` could ask for."""
+    width = codes.shape[1]
+
+    def best(rows: np.ndarray) -> tuple:
+        cell = (np.arange(width) * bins + codes[rows]).ravel()
+        sums = np.stack([np.bincount(cell, w, width * bins) for w in (np.repeat(g[rows], width), np.repeat(h[rows], width), None)])
+        return best_split(np.rint(sums).astype(np.int64).reshape(3, width, bins), how)
+    rows_of, depth, below = [np.arange(len(g))], [0], [0]
+    splits = [best(rows_of[0])]
+    leaves = [0]
+    while len(leaves) < how.max_leaves:
+        ready = [i for i in leaves if splits[i][0] > 0 and depth[i] < levels]
+        if not ready:
+            break
+        i = max(ready, key=lambda j: (splits[j][0], -j))
+        leaves.remove(i)
+        goes = codes[rows_of[i], splits[i][1]] <= splits[i][2]
+        below[i] = len(splits)
+        for part in (rows_of[i][goes], rows_of[i][~goes]):
+            leaves.append(len(splits))
+            rows_of.append(part), depth.append(depth[i] + 1), below.append(0)
+            splits.append(best(part))
+        rows_of[i] = None
+    return [(i, *split, b) for i, (split, b) in enumerate(zip(splits, below))]
 
 
 def best_split(sums: np.ndarray, how: Boosting) -> tuple:
@@ -308,36 +399,42 @@ def fit_boosting(df: DataFrame, features: Sequence[str], label: str, points: Seq
     place = F.xxhash64(F.col(row_id)) if row_id else F.lit(0).cast("long")
     fold = F.col("fold").cast("int") if any(f is not None for f in folds) else F.lit(-1)
     rows = df.select(F.col(label).cast("int").alias("label"), fold.alias("fold"), place.alias("place"), *known(features, df))
-    rows = materialize(rows.select("label", "fold", "place", bins.codes().alias("codes"), F.array().cast("array<double>").alias("margins")), "codes")
+    coded = rows.select("label", "fold", "place", bins.codes().alias("codes"), F.array().cast("array<double>").alias("margins"))
+    rows = materialize(dealt(coded, df.count(), len(points) * len(folds)), "codes")
+    tasks = task_count(rows)
     counts = {r["fold"]: (r["n"], r["bad"]) for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")).collect()}
     models = [Growth(how, fold) for how in points for fold in folds]
     for m in models:
         n, bad = (sum(c[k] for f, c in counts.items() if m.fold is None or f != m.fold) for k in (0, 1))
         if not 0 < bad < n:
             raise ValueError("both classes are needed")
-        m.base = float(np.log(bad / (n - bad)))
+        m.base, m.rows = float(np.log(bad / (n - bad))), n
     for number in range(max(p.rounds for p in points)):
         active = [(i, m) for i, m in enumerate(models) if number < m.how.rounds]
         for _, m in active:
             m.start()
         while True:
-            plans = [(i, m.base if not m.kept else 0.0, m.trees[m.kept:], m.tree(True), m.wanted(), m.how, m.fold, number) for i, m in active]
-            plans = [p for p in plans if p[4]]
+            plans = []
+            for i, m in active:
+                if wanted := m.wanted():
+                    few = [m.nodes[n].sums[2] <= FEW for n in wanted]
+                    plans.append((i, m.base if not m.kept else 0.0, m.trees[m.kept:], m.tree(True), wanted, few, m.how, m.fold, number))
             if not plans:
                 break
             for group in grouped(plans, 24 * width * bins.size):
-                for r in leaf_histograms(rows, group, width, bins.size, len(models) if models[0].kept else 0):
-                    models[r["model"]].learn(r["node"], r["gain"], r["feature"], r["cut"], (r["gl"], r["hl"], r["nl"]), (r["g"], r["h"], r["n"]))
-                for plan in group:  # a leaf that no row reaches cannot be split
+                found: dict[tuple[int, int], dict] = {}
+                for r in leaf_splits(rows, group, width, bins.size, len(models) if models[0].kept else 0, tasks):
+                    found.setdefault((r["model"], r["node"]), {})[r["place"]] = r
+                for plan in group:
                     for node in plan[4]:
-                        if models[plan[0]].nodes[node].gain is None:
-                            models[plan[0]].nodes[node].gain = 0.0
+                        models[plan[0]].learn_all(node, found.get((plan[0], node)))
             for _, m in active:
                 m.advance()
         for _, m in active:
             m.trees.append(trimmed(m.tree(False)))
         if (number + 1) % KEEP == 0 and number + 1 < max(p.rounds for p in points):
             rows = with_margins(rows, models, width)
+            tasks = task_count(rows)
     fitted = [BoostedModel(bins, m.base, m.trees) for m in models]
     return [fitted[i:i + len(folds)] for i in range(0, len(fitted), len(folds))]
 
@@ -346,7 +443,7 @@ def grouped(plans: list[tuple], bytes_per_leaf: int) -> Iterator[list[tuple]]:
     """Plans whose histograms a task can hold together."""
     group, size = [], 0
     for plan in plans:
-        need = len(plan[4]) * bytes_per_leaf
+        need = plan[5].count(False) * bytes_per_leaf
         if group and size + need > HELD:
             yield group
             group, size = [], 0

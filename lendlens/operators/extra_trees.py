@@ -19,7 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from lendlens.operators.bins import score_column
-from lendlens.operators.passes import chunks, combined, known, packed
+from lendlens.operators.passes import chunks, combined, dealt, known, packed
 from lendlens.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -100,7 +100,7 @@ def fit_extra_trees(df: DataFrame, features: Sequence[str], label: str, trees: i
     most = min(most_features or max(1, int(width ** 0.5)), width)
     fold = F.col("fold").cast("int") if any(f is not None for f in folds) else F.lit(-1)
     rows = df.select(F.col(label).cast("int").alias("label"), fold.alias("fold"), *known(features, df))
-    rows = materialize(rows.select("label", "fold", F.array(*features).alias("x")), "rows")
+    rows = materialize(dealt(rows.select("label", "fold", F.array(*features).alias("x")), df.count(), max(1, trees // 4)), "rows")
     counts = {r["fold"]: (r["n"], r["bad"]) for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")).collect()}
     grown: list[tuple[int | None, int, RandomTree]] = []
     for left_out in folds:

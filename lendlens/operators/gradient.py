@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lendlens.functions.hashing import order_key
 from lendlens.operators.bins import score_column
-from lendlens.operators.passes import chunks, combined, known, packed
+from lendlens.operators.passes import chunks, combined, known, packed, task_count
 from lendlens.operators.score import LinearModel
 from lendlens.session import materialize, new_folder
 
@@ -130,6 +130,7 @@ def descend(df: DataFrame, features: Sequence[str], label: str, row_id: str, poi
     size = (width or len(features)) + 1
     walks = [Walk(how, f, np.zeros(size), np.zeros(size)) for how in points for f in folds]
     wide, epoch = len(features), 0
+    tasks = max(task_count(rows.where(F.col("batch") == b)) for b in range(batches))
     while any(not w.done for w in walks):
         for batch in batch_order(seed, epoch, batches):
             plans = [(i, w.weights.copy(), w.how.loss, w.fold) for i, w in enumerate(walks) if not w.done]
@@ -145,7 +146,7 @@ def descend(df: DataFrame, features: Sequence[str], label: str, row_id: str, poi
                         slope = np.where(use, slope, 0.0)
                         out += np.concatenate([slope @ x, [slope.sum(), value[use].sum(), use.sum()]])
                 yield packed([0], [total], False)
-            found = combined(rows.where(F.col("batch") == batch).select("y", "fold", "x"), slopes, False).collect()
+            found = combined(rows.where(F.col("batch") == batch).select("y", "fold", "x"), slopes, False, tasks=tasks).collect()
             for out, (i, *_) in zip(np.array(found[0]["numbers"]).reshape(len(plans), -1) if found else [], plans):
                 if out[-1] > 0:
                     walks[i].take(out[:-2], out[-2], out[-1])

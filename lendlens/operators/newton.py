@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from lendlens.operators.passes import chunks, combined, known, packed
+from lendlens.operators.passes import chunks, combined, dealt, known, packed, task_count
 from lendlens.operators.score import LinearModel
 from lendlens.session import materialize
 
@@ -112,7 +112,8 @@ def penalised(df: DataFrame, features: Sequence[str], label: str, points: Sequen
               folds: Sequence[int | None] = (None,)) -> list[list[Fitted]]:
     fold = F.col("fold").cast("int") if any(f is not None for f in folds) else F.lit(-1)
     rows = df.select(F.col(label).cast("double").alias("label"), fold.alias("fold"), *known(features, df))
-    rows = materialize(rows.select("label", "fold", F.array(*features).alias("x")), "rows")
+    rows = materialize(dealt(rows.select("label", "fold", F.array(*features).alias("x")), df.count(), len(points) * len(folds)), "rows")
+    tasks = task_count(rows)
     counts = {r["fold"]: (r["n"], r["bad"]) for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")).collect()}
     width = len(features)
     models = []
@@ -136,7 +137,7 @@ def penalised(df: DataFrame, features: Sequence[str], label: str, points: Sequen
                     total[1:width + 2] += x.T @ ((p - y) * use)
                     total[width + 2:] += (x.T @ (x * (p * (1 - p) * use)[:, None])).ravel()
             yield packed([p[0] for p in plans], list(totals), False)
-        for r in combined(rows, sums, False).collect():
+        for r in combined(rows, sums, False, tasks=tasks).collect():
             numbers = np.array(r["numbers"])
             models[r["key"]].observe(numbers[0], numbers[1:width + 2], numbers[width + 2:].reshape(width + 1, width + 1))
     return [models[i:i + len(folds)] for i in range(0, len(models), len(folds))]

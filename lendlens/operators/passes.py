@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK_ROWS = 1 << 16
+ROWS_PER_TASK = 100_000
 # A row of partial results: which array, and its numbers.
 LONGS, DOUBLES = "key long, numbers array<long>", "key long, numbers array<double>"
 
@@ -67,13 +68,25 @@ def chunks(batches: Iterator[pa.RecordBatch], widths: dict[str, int], rows: int
         yield made()
 
 
+def dealt(df: DataFrame, rows: int, models: int = 1) -> DataFrame:
+    """Rows in tasks of a sensible size: few for few rows, else as large as Spark's advisory size."""
+    most = df.sparkSession.sparkContext.defaultParallelism
+    if rows >= most * ROWS_PER_TASK:
+        return df.hint("rebalance")
+    return df.repartition(min(most, max(1, -(-rows * models // ROWS_PER_TASK))))
+
+
+def task_count(df: DataFrame) -> int:
+    return df.rdd.getNumPartitions()
+
+
 def combined(df: DataFrame, reduce_task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], longs: bool,
              finish: Callable[[dict[int, np.ndarray]], Iterator[pa.RecordBatch]] | None = None,
-             schema: str | None = None, smallest: bool = False) -> DataFrame:
+             schema: str | None = None, smallest: bool = False, tasks: int | None = None) -> DataFrame:
     """Adds (or takes the smallest of) the arrays of all tasks by key, on executors.
 
     ``finish`` turns the arrays of the keys that met in a task into rows of ``schema``. Arrays are
-    bounded by what one key holds, not by the rows.
+    bounded by what one key holds, not by the rows. With a single one of ``tasks`` nothing is shuffled.
     """
     kind = LONGS if longs else DOUBLES
     partial = df.mapInArrow(reduce_task, kind)
@@ -90,7 +103,7 @@ def combined(df: DataFrame, reduce_task: Callable[[Iterator[pa.RecordBatch]], It
                     held[key] += numbers
         if held:
             yield from finish(held) if finish else [packed(list(held), list(held.values()), longs)]
-    return partial.repartition("key").mapInArrow(merge, schema or kind)
+    return (partial if tasks == 1 else partial.repartition("key")).mapInArrow(merge, schema or kind)
 
 
 def known(features: Sequence[str], df: DataFrame) -> list[Column]:

@@ -65,10 +65,12 @@ def splits_of(model):
                   for f, c in zip(t.feature.tolist(), t.cut.tolist()) if f >= 0)
 
 
+@pytest.mark.parametrize("few", [0, 90, 1 << 16])
 @pytest.mark.parametrize("how", [
-    bo.Boosting(rounds=3, max_leaves=6, min_child=5), bo.Boosting(rounds=13, max_leaves=4, rate=0.3, l2=1.0, min_child=1),
+    bo.Boosting(rounds=3, max_leaves=6, min_child=5), bo.Boosting(rounds=11, max_leaves=4, rate=0.3, l2=1.0, min_child=1),
     bo.Boosting(rounds=2, max_leaves=50, min_child=12, depth=2), bo.Boosting(rounds=2, max_leaves=8, min_child=500)])
-def test_whole_fit_equals_numpy(data, how):
+def test_whole_fit_equals_numpy(data, how, few, monkeypatch):
+    monkeypatch.setattr(bo, "FEW", few)  # leaves by histograms, mixed, and in one task
     frame, df = data
     model = bo.fit_boosting(df, FEATURES, "label", [how])[0][0]
     x, y = frame[FEATURES].to_numpy(), frame.label.to_numpy()
