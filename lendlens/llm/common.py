@@ -117,6 +117,13 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> Da
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=schema))
 
 
+def free_name(name: str, df: DataFrame) -> str:
+    """The name, lengthened until no column has it."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def crc_bucket(key: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo `parts`; null ids fall into no part."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(parts))

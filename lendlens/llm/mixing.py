@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from lendlens.llm.common import WORD, local_table
+from lendlens.llm.common import WORD, free_name, local_table
 from lendlens.session import materialize
 
 REPEATS = 3
@@ -258,16 +258,18 @@ def with_copies(docs: DataFrame, mix: Mix, members: Column, key: str = "doc_id",
                 name: str = "copies") -> DataFrame:
     """Adds how often each document is taken (0 to the number of repeats)."""
     passes = mix.table(docs.sparkSession)
-    ranked = docs.select("*", seeded_rank(docs, key, text, mix.seed).alias("_rank"), pattern_of(members).alias("_of"),
+    # The document travels as one struct, so that none of its columns can clash with those of the plan.
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("_document")
+    ranked = docs.select(whole, seeded_rank(docs, key, text, mix.seed).alias("_rank"), pattern_of(members).alias("_of"),
                          word_count(docs[text]).alias("_size"))
     joined = ranked.join(passes, (F.col("_of") == F.col("_pattern")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_upto")))
     copies = F.col("_whole") + (F.col("_size") <= F.col("_limit")).cast("long")
-    return joined.select([docs[c] for c in docs.columns] + [copies.alias(name)])
+    return joined.select("_document.*", copies.alias(name))
 
 
 def mixed(docs: DataFrame, members: Column, **how) -> DataFrame:
     """The mix itself: each document as many times as it is taken, with its own columns."""
-    mix, name = plan_mix(docs, members, **how), "_copies_in_mix"
+    mix, name = plan_mix(docs, members, **how), free_name("_copies_in_mix", docs)
     keys = {k: v for k, v in how.items() if k in ("key", "text")}
     rows = with_copies(docs, mix, members, name=name, **keys).where(F.col(name) > 0)
     return rows.withColumn(name, F.explode(F.sequence(F.lit(1), F.col(name)))).select(docs.columns)

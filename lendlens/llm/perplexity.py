@@ -26,7 +26,7 @@ from lendlens.llm.common import END, PRIME, SPACES, START, code_points, split_wo
 from lendlens.session import materialize
 
 ORDER = 4
-MODEL_ROWS = 6_000_000  # 12 bytes each
+MODEL_ROWS = 4_000_000  # 16 bytes each
 SPREAD = 4.0  # quartile ranges beyond the quartiles
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -207,10 +207,10 @@ def hash_arrays(model: DataFrame, order: int = ORDER) -> HashArrays:
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = hash_of(batch.column("gram").to_pylist(), batch.column("lang").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("value").cast(pa.float32()),
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("value"),
                                               pc.equal(batch.column("kind"), "p")], names=["key", "value", "is_p"])
 
-    table = model.mapInArrow(hashed, "key long, value float, is_p boolean").toArrow()
+    table = model.mapInArrow(hashed, "key long, value double, is_p boolean").toArrow()
     key = table.column("key").to_numpy().view(np.uint64)
     value, is_p = table.column("value").to_numpy(), table.column("is_p").to_numpy()
     parts = []
@@ -303,14 +303,25 @@ def joined_word_scores(words: DataFrame, model: DataFrame, order: int = ORDER) -
     return best.select("lang", "word", value.alias("v")).groupBy("lang", "word").agg(F.sum("v").alias("log_p"))
 
 
+def lower_case(text: Column) -> Column:
+    """Lower case as the counts have it; the JVM's differs for a final sigma or a dotted capital I."""
+    @F.arrow_udf("string")
+    def lowered(texts: pa.Array) -> pa.Array:
+        return pc.utf8_lower(texts)
+    return lowered(text)
+
+
+def text_key(lowered: Column) -> Column:
+    return F.struct(F.xxhash64(lowered).alias("a"), F.hash(lowered).alias("b"))
+
+
 def joined_text_scores(docs: DataFrame, model: DataFrame, text: str, lang: str, order: int = ORDER) -> DataFrame:
     """(_lang, _key, log_p) per distinct text; the key is a pair of its hashes."""
     from lendlens.llm.common import WORD
 
-    key = F.struct(F.xxhash64(F.lower(text)).alias("a"), F.hash(F.lower(text)).alias("b"))
-    rows = docs.select(no_null(F.col(lang)).alias("lang"), key.alias("key"),
-                       F.explode(F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))).alias("word"))
-    texts = docs.groupBy(no_null(F.col(lang)).alias("lang"), key.alias("key")).agg(F.count(F.lit(1)).alias("copies"))
+    docs = docs.select(no_null(F.col(lang)).alias("lang"), lower_case(F.col(text)).alias("text")).withColumn("key", text_key(F.col("text")))
+    rows = docs.select("lang", "key", F.explode(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))).alias("word"))
+    texts = docs.groupBy("lang", "key").agg(F.count(F.lit(1)).alias("copies"))
     counted = rows.groupBy("lang", "key", "word").agg(F.count(F.lit(1)).alias("times"))
     scores = joined_word_scores(counted.select("lang", "word").distinct(), model, order)
     total = counted.join(scores, ["lang", "word"]).groupBy("lang", "key").agg(F.sum(F.col("times") * F.col("log_p")).alias("log_p"))
@@ -329,7 +340,7 @@ def judge_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
     if model.count() <= model_rows:
         rows = text_counts(docs, hash_arrays(model, order), text, lang, [key, lang])
     else:
-        marks = docs.withColumn("_key", F.struct(F.xxhash64(F.lower(text)).alias("a"), F.hash(F.lower(text)).alias("b")))
+        marks = docs.withColumn("_key", text_key(lower_case(F.col(text))))
         rows = text_counts(marks, None, text, lang, [key, lang, "_key"]).drop("log_p")
         found = joined_text_scores(docs, model, text, lang, order)
         rows = rows.join(found, (no_null(F.col(lang)) == F.col("_lang")) & (rows["_key"] == found["_key"]), "left").drop("_key", "_lang")

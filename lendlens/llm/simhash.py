@@ -6,7 +6,8 @@ fingerprints into buckets without losing a link. Within a bucket a table of Hamm
 to reference fingerprints (pivots) decides: as |d(x, p) - d(y, p)| <= d(x, y), a pair whose
 greatest coordinate difference exceeds the distance is discarded, and only survivors are
 compared bit by bit. Sorted by the first pivot, a fingerprint meets only rows of near
-coordinate. A bucket returns a spanning forest of its links, never all pairs.
+coordinate. A bucket returns a spanning forest of its links, never all pairs. Buckets of many
+fingerprints are dealt again by blocks of the bits that are left, which bounds them.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from lendlens.llm.common import whole_groups
 from lendlens.session import materialize
 
 SHINGLE, DISTANCE, PIVOTS = 3, 2, 16
+# Rows from which a bucket is dealt again, and how many of its further blocks must agree.
+LARGE_BUCKET, FURTHER = 1 << 14, 4
 # Bytes of joined words whose shingles are hashed and counted at a time.
 STEP = 1 << 17
 
@@ -109,18 +112,53 @@ def bucket_links(bucket: np.ndarray, values: np.ndarray, pivots: np.ndarray, dis
     return values[own], values[forest[own]]
 
 
-def hamming_links(prints: DataFrame, column: str = "fp", distance: int = DISTANCE, pivots: int = PIVOTS) -> DataFrame:
-    """Links (u, v) between distinct fingerprints that connect all within the distance."""
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def split_buckets(rows: DataFrame, large: DataFrame, column: str, masks: list[int], distance: int) -> DataFrame:
+    """Deals the rows of large buckets again, by blocks of the bits that may still differ.
+
+    Those bits are cut into `FURTHER` + `distance` blocks, of which linked rows share at least
+    `FURTHER`; a row goes to a bucket for each such choice. No link is lost, and what is left to
+    differ in one bucket is a few bits, so its distinct fingerprints are bounded.
+    """
+    choices = list(combinations(range(len(masks)), 2))
+    deals = []
+    for number, (a, b) in enumerate(choices):
+        held = masks[a] | masks[b]
+        free = [1 << i for i in range(64) if not held >> i & 1]
+        size = FURTHER + distance
+        blocks = [sum(free[len(free) * i // size:len(free) * (i + 1) // size]) for i in range(size)]
+        deals.append(F.array(*[
+            F.struct(F.lit(len(choices) * (i + 1) + number).alias("part"), F.col(column).bitwiseAND(F.lit(signed(held | sum(blocks[x] for x in chosen)))).alias("bucket"))
+            for i, chosen in enumerate(combinations(range(size), FURTHER))]))
+    known = rows.join(large, ["part", "bucket"], "left")
+    own = F.array(F.struct("part", "bucket"))
+    again = F.when(F.col("n").isNull(), own)
+    for number, deal in enumerate(deals):
+        again = again.when(F.col("part") == number, deal)
+    return known.select("d0", column, F.explode(again).alias("k")).select("k.*", "d0", column)
+
+
+def hamming_links(prints: DataFrame, column: str = "fp", distance: int = DISTANCE, pivots: int = PIVOTS,
+                  large_bucket: int = LARGE_BUCKET) -> DataFrame:
+    """Links (u, v) between distinct fingerprints that connect all within the distance.
+
+    Buckets of more than `large_bucket` rows are dealt again by further blocks.
+    """
     blocks = distance + 2
     edges = [64 * i // blocks for i in range(blocks + 1)]
     masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
     parts = [F.struct(F.lit(i).alias("part"), F.col(column).bitwiseAND(F.lit(signed(masks[a] | masks[b]))).alias("bucket"))
              for i, (a, b) in enumerate(combinations(range(blocks), 2))]
     marks = np.random.default_rng(64).integers(0, 1 << 64, pivots, dtype=np.uint64)
     first = F.bit_count(F.col(column).bitwiseXOR(F.lit(int(marks.view(np.int64)[0]))))
-    dealt = prints.select(column, F.explode(F.array(*parts)).alias("k")).select("k.*", first.alias("d0"), column) \
-        .repartition("part", "bucket").sortWithinPartitions("part", "bucket", "d0", column)
+    rows = prints.select(column, F.explode(F.array(*parts)).alias("k")).select("k.*", first.alias("d0"), column)
+    large = materialize(rows.groupBy("part", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large_bucket), "large")
+    if large.first():
+        rows = split_buckets(rows, large, column, masks, distance)
+    dealt = rows.repartition("part", "bucket").sortWithinPartitions("part", "bucket", "d0", column)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches, ["part", "bucket"]):
@@ -177,14 +215,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One document of each group: the one with the smallest key; all columns are kept.
 
-    Rows with the same key are one document, of which the smallest text stays. Rows without
-    a key cannot be told apart and stay.
+    Rows with the same key are one document, of which the smallest text stays (of equal texts, any
+    row). Rows without a key cannot be told apart and stay.
     """
-    from pyspark.sql import Window
-
     found = near_duplicates(docs, key, text, **how)
     chosen = found.where(F.col(key) == F.col("component")).select(F.col(key).alias("_keep")).distinct()
-    spot, order = "_place_in_key", Window.partitionBy("_keep").orderBy(text)
-    kept = docs.join(chosen, F.col(key) == F.col("_keep")).withColumn(spot, F.row_number().over(order)) \
-        .where(F.col(spot) == 1).select([docs[c] for c in docs.columns])
-    return kept.unionByName(docs.where(F.col(key).isNull()))
+    # The document travels as one struct: none of its columns can clash, and a key with many rows is
+    # brought down to one by tasks before the shuffle.
+    rows = docs.select(docs[key].alias("_key"), F.struct(docs[text]).alias("_order"), F.struct(*[docs[c] for c in docs.columns]).alias("_document"))
+    kept = rows.join(chosen, F.col("_key") == F.col("_keep")).groupBy("_key").agg(F.min_by("_document", "_order").alias("_document"))
+    return kept.select("_document.*").unionByName(docs.where(docs[key].isNull()))

@@ -50,11 +50,13 @@ PATTERNS = [word_rule(w) for w in ("casino", "bets", "poker", "pills", "viagra",
     for name in ("/adserver", "/doubleclick", "/wp-login.php", "/cgi-bin")]
 
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def host_of(url: Column) -> Column:
     """After the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; else empty."""
     host = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.coalesce(F.translate(host, upper, upper.lower()), F.lit(""))
+    return F.coalesce(F.translate(host, UPPER, UPPER.lower()), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
@@ -63,7 +65,7 @@ def path_of(url: Column) -> Column:
 
 def tokens_of(subject: Column) -> Column:
     """The distinct tokens, and the empty one under which rules without a token stand."""
-    found = F.regexp_extract_all(F.lower(subject), F.lit(f"({TOKEN})"), F.lit(1))
+    found = F.regexp_extract_all(F.translate(subject, UPPER, UPPER.lower()), F.lit(f"({TOKEN})"), F.lit(1))
     return F.array_distinct(F.concat(F.array(F.lit("")), found))
 
 
