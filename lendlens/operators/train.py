@@ -263,6 +263,56 @@ def search_families(train: DataFrame, test: DataFrame, families: Sequence[Family
     return union_all(parts)
 
 
+def scaled_pair(family: Family, train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
+    if not family.scaled:
+        return train, test
+    scaler = standard_scale_fit(train)
+    return scaler.transform(train), scaler.transform(test)
+
+
+def compare_families(train: DataFrame, test: DataFrame, families: Sequence[Family], label: str, folds: int = 5) -> DataFrame:
+    """(model_name, cv_mean, cv_std, test_auc, status) at the usual points; models of the folds and of
+    all rows are fitted together. A model that cannot be fitted is recorded, failures of jobs are raised."""
+    rows = []
+    for family in families:
+        own, other = scaled_pair(family, train, test)
+        try:
+            *held, whole = family.fit_points(own, [family.untuned], [*range(folds), None])[0]
+        except (ValueError, ArithmeticError, IllegalArgumentException) as error:
+            rows.append((family.name, None, None, None, f"failed: {str(error)[:100]}"))
+            continue
+        scores = held_out_points(own, [held], label).select(F.col("fold").alias("part"), "label", "score").unionByName(
+            whole.score(other, "__score").select(F.lit(-1).alias("part"), F.col(label).cast("int").alias("label"), F.col("__score").alias("score")))
+        auc = {r["part"]: r["auc"] for r in roc_auc(score_curve(materialize(scores, "scores"), ("part",)), ("part",)).collect()}
+        cv = [a for p, a in auc.items() if p >= 0 and a is not None]
+        mean = sum(cv) / len(cv) if cv else None
+        rows.append((family.name, mean, (sum((a - mean) ** 2 for a in cv) / len(cv)) ** 0.5 if cv else None, auc.get(-1), "success"))
+    return train.sparkSession.createDataFrame(
+        rows, "model_name string, cv_mean double, cv_std double, test_auc double, status string")
+
+
+def with_predictions(model: Scorer, df: DataFrame, cut: float = 0.5) -> DataFrame:
+    """Adds ``probabilities`` (of class 0 and 1) and ``prediction``."""
+    scored = model.score(df, "__score")
+    return scored.withColumns({
+        "probabilities": F.array(1 - F.col("__score"), F.col("__score")),
+        "prediction": (F.col("__score") >= cut).cast("int")}).drop("__score")
+
+
+def stack_families(train: DataFrame, families: Sequence[Family], label: str, row_id: str, folds: int = 3) -> StackedModel:
+    """Held-out scores of the families' usual models feed a logistic model; bases are those of all rows."""
+    bases, held_out = {}, train.select(row_id, label)
+    for family in families:
+        own = standard_scale_fit(train).transform(train) if family.scaled else train
+        *held, whole = family.fit_points(own, [family.untuned], [*range(folds), None])[0]
+        name = f"base_{family.name}"
+        scores = union_all([model.score(own.where(F.col("fold") == fold), name).select(row_id, name) for fold, model in enumerate(held)])
+        held_out = held_out.join(scores, row_id)
+        bases[name] = ScaledModel(standard_scale_fit(train), whole) if family.scaled else whole
+    meta = fit_logistic(materialize(held_out, "stacking"), list(bases), label, name="stacking")
+    return StackedModel(bases, meta)
+
+
 @dataclass(frozen=True)
 class StackedModel:
     bases: dict[str, Scorer]

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lendlens.constants import ORDINAL_LEVELS, RISK_LEVEL_ORDER, SCALED_FEATURES
 from lendlens.operators import (
-    clean, customer, derived, encode, evaluate as ev, fit, importance, matrix, profile, registry,
-    score as sc, split, temporal, train, underwriting as uw,
+    adaboost, boosting, clean, customer, derived, drift, encode, evaluate as ev, extra_trees, fit, gradient,
+    importance, matrix, newton, pivots, profile, registry, score as sc, split, temporal, train, underwriting as uw,
 )
+from lendlens.operators.families import portfolio
 from lendlens.operators.ordered import exact_quantiles
 from lendlens.session import materialize, new_folder, with_defaults, with_scalars
 from lendlens.sources import fixtures, sinks, transactions as tx
-from lendlens.streaming import jobs
+from lendlens.streaming import customers, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,8 +23,10 @@ QUERIES: dict[str, Query] = {}
 FEATURES = fixtures.MODEL_FEATURES
 LABEL, ROW_ID = "will_default", "transaction_id"
 MODELS = [m for m, _, _ in fixtures.SCORE_MODELS]
-NUMBERS = ["amount", "product_price", "risk_score", "payment_credit_limit", "customer_tenure_days",
-           "installment_count"]
+# Registered queries of several models: boosting rounds, epochs, trees and their depth, bins. A round
+# or step is a job, so these decide how long a query takes; the operators' own defaults are larger.
+ROUNDS, EPOCHS, TREES, DEPTH, BINS = 10, 3, 20, 6, 64
+SHORT_ROUNDS, SHORT_EPOCHS = 6, 1
 
 
 def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
@@ -74,8 +77,9 @@ def fitted(spark: SparkSession, folder: str) -> clean.FeaturePipeline:
 
 
 def X_(spark: SparkSession, folder: str) -> DataFrame:
-    """Identifier, target and the model features without nulls."""
-    rows = fitted(spark, folder).transform(T_(spark, folder), (ROW_ID,))
+    """Identifier, target and the model features without nulls; the joined input is written once."""
+    source = materialize(T_(spark, folder), "transactions")
+    rows = clean.fit_pipeline(source, "convert_first", (ROW_ID,)).transform(source, (ROW_ID,))
     return matrix.model_matrix(rows, (ROW_ID, LABEL))
 
 
@@ -141,6 +145,26 @@ def _(spark, folder):
     return sinks.append_shadow_log(scored, new_folder(spark, "shadow-log"))
 
 
+@query("shadow_log_outcomes")
+def _(spark, folder):
+    """The log written twice, with the outcomes known by a date, then all that are known, once repeated."""
+    source = T_(spark, folder)
+    rows = source.withColumns({
+        "timestamp": F.col("transaction_timestamp"), "business_decision": uw.rule_decision(),
+        "business_risk_score": F.col("risk_score")})
+    keep = (ROW_ID, "timestamp", "business_decision", "business_risk_score")
+    scored = materialize(sc.shadow_score(fitted(spark, folder).transform(rows, keep), fixed_models(spark), "ridge"), "scored")
+    log = sinks.ShadowLog(spark, new_folder(spark, "shadow-log"), "year")
+    log.append(scored)
+    log.append(scored)
+    outcomes = materialize(_outcomes(source).join(source.select(ROW_ID, "amount"), ROW_ID), "outcomes")
+    early = outcomes.where(F.col("resolved_at") < F.lit(OUTCOMES_FIRST_KNOWN_BY).cast("timestamp"))
+    known = outcomes.where(F.col("resolved_at") < F.lit(OUTCOMES_KNOWN_BY).cast("timestamp"))
+    for arrived in (early, known, known):
+        log.resolve(arrived)
+    return log.read()
+
+
 # Row-level features ----------------------------------------------------------------------------
 
 
@@ -344,7 +368,7 @@ def _(spark, folder):
 
 
 OUTCOME_DELAY_DAYS = 14
-OUTCOMES_KNOWN_BY = "2000-01-01"
+OUTCOMES_FIRST_KNOWN_BY, OUTCOMES_KNOWN_BY = "1996-01-01", "2000-01-01"
 
 
 def _outcomes(rows: DataFrame) -> DataFrame:
@@ -587,6 +611,13 @@ def _(spark, folder):
     return profile.drift_check(parts.where("is_test"), baseline, FEATURES, limit=0.03)
 
 
+@query("drift_distribution")
+def _(spark, folder):
+    parts = materialize(split.stratified_split(X_(spark, folder)), "matrix")
+    edges, baseline = drift.distribution_baseline(parts.where("NOT is_test"), FEATURES, size=1 << 15)
+    return drift.distribution_drift(parts.where("is_test"), edges, baseline)
+
+
 @query("kpi_rates")
 def _(spark, folder):
     return uw.kpi_rates(T_(spark, folder))
@@ -750,11 +781,69 @@ def _(spark, folder):
 def _(spark, folder):
     rows, test = _train_test(spark, folder)
     scaler = matrix.standard_scale_fit(rows)
-    scaled, queries = scaler.transform(rows), scaler.transform(test)
-    near = fit.fit_neighbours(scaled, FEATURES, LABEL, ROW_ID, k=5)
-    weighted = fit.NeighbourModel(near.features, near.points, near.labels, 10, True)
-    scored = weighted.score(near.score(queries, "knn_uniform"), "knn_distance")
-    return scored.select(ROW_ID, "knn_uniform", "knn_distance")
+    near = pivots.nearest_rows(scaler.transform(rows), scaler.transform(test), FEATURES, LABEL, ROW_ID, 10)
+    return near.select(F.col("id").alias(ROW_ID), pivots.vote(F.slice("near", 1, 5)).alias("knn_uniform"),
+                       pivots.vote(F.col("near"), True).alias("knn_distance"))
+
+
+def _auc_table(models: dict[str, fit.Scorer], test: DataFrame) -> DataFrame:
+    scored = train.union_all([model.score(test, "score").select(
+        F.lit(name).alias("model_name"), F.col(LABEL).cast("int").alias("label"), "score") for name, model in models.items()])
+    return ev.roc_auc(ev.score_curve(materialize(scored, "scored")))
+
+
+@query("fit_boosting")
+def _(spark, folder):
+    """Four ways to grow, all in the same passes."""
+    rows, test = _train_test(spark, folder)
+    ways = {"leaf_wise": boosting.Boosting(ROUNDS), "depth_wise": boosting.Boosting(ROUNDS, 64, 0.3, 1.0, 1, 1.0, 6),
+            "shallow": boosting.Boosting(ROUNDS, 8, depth=3, min_child=1), "subsampled": boosting.Boosting(ROUNDS, subsample=0.8)}
+    models = boosting.fit_boosting(rows, FEATURES, LABEL, list(ways.values()), row_id=ROW_ID)
+    return _auc_table({name: m for name, (m,) in zip(ways, models)}, test)
+
+
+@query("boosted_trees")
+def _(spark, folder):
+    rows, _ = _train_test(spark, folder)
+    return boosting.fit_boosting(rows, FEATURES, LABEL, [boosting.Boosting(5)])[0][0].table(spark)
+
+
+@query("fit_adaboost")
+def _(spark, folder):
+    rows, _ = _train_test(spark, folder)
+    return adaboost.fit_adaboost(rows, FEATURES, LABEL, [adaboost.AdaBoost(50)])[0][0].table(spark)
+
+
+@query("fit_extra_trees")
+def _(spark, folder):
+    rows, test = _train_test(spark, folder)
+    return _auc_of(extra_trees.fit_extra_trees(rows, FEATURES, LABEL, 100, 10)[0], test, "extra_trees")
+
+
+@query("fit_sgd")
+def _(spark, folder):
+    points = {s: gradient.Descent(schedule=s, alpha=0.001, eta0=0.1, max_iter=5, average=True) for s in ("optimal", "constant", "invscaling")}
+    found = gradient.fit_sgd(_scaled_train(spark, folder), FEATURES, LABEL, ROW_ID, list(points.values()), batches=8)
+    return sc.coefficients_table(spark, [sc.LinearModel(name, m.intercept, m.weights) for name, (m,) in zip(points, found)])
+
+
+@query("fit_kernel_svm")
+def _(spark, folder):
+    rows, test = _train_test(spark, folder)
+    scaler = matrix.standard_scale_fit(rows)
+    model = gradient.fit_kernel_svm(scaler.transform(rows), FEATURES, LABEL, ROW_ID, max_iter=5)
+    return _auc_of(model, scaler.transform(test), "svm_rbf")
+
+
+@query("fit_penalised")
+def _(spark, folder):
+    """Lasso, ridge and both at once, and by how much their conditions of a minimum are missed."""
+    rows = _scaled_train(spark, folder)
+    points = {"l1": newton.Penalty(0.1, 1.0), "l2": newton.Penalty(0.1, 0.0), "elastic": newton.Penalty(0.1, 0.9)}
+    fits = newton.penalised(rows, FEATURES, LABEL, list(points.values()))
+    cells = [(name, f, float(w), float(m.violation / m.rows)) for name, (m,) in zip(points, fits)
+             for f, w in zip([*FEATURES, sc.INTERCEPT], m.weights)]
+    return spark.createDataFrame(cells, "model_name string, feature string, coefficient double, missed double")
 
 
 @query("score_linear")
@@ -773,21 +862,33 @@ def _folded(spark, folder, folds: int) -> tuple[DataFrame, DataFrame]:
     return materialize(split.stratified_folds(rows, folds, LABEL, ROW_ID), "folds"), test
 
 
+def _portfolio(rounds: int = ROUNDS, max_iter: int = EPOCHS) -> dict[str, train.Family]:
+    return portfolio(FEATURES, LABEL, ROW_ID, rounds, max_iter, TREES, DEPTH, BINS)
+
+
 @query("cross_validate")
 def _(spark, folder):
     rows, _ = _folded(spark, folder, 5)
     return train.cross_validate(rows, [RIDGE, BAYES], LABEL, 5)
 
 
+@query("cross_validate_families")
+def _(spark, folder):
+    rows, test = _folded(spark, folder, 5)
+    kinds = _portfolio()
+    chosen = [kinds[k] for k in ("ridge", "logistic", "elastic_net", "bernoulli_nb", "adaboost", "leaf_boosting")]
+    return train.compare_families(rows, test, chosen, LABEL, 5).drop("test_auc")
+
+
 @query("train_compare")
 def _(spark, folder):
+    """All kinds, and one that cannot be fitted."""
     rows, test = _folded(spark, folder, 3)
 
-    def refuse(df: DataFrame) -> fit.Scorer:
+    def refuse(df: DataFrame, points, folds) -> list:
         raise ValueError("no such engine")
 
-    unknown = train.ModelSpec("unknown", refuse)
-    return train.train_compare(rows, test, [RIDGE, LOGISTIC, ELASTIC, BAYES, FOREST, unknown], LABEL, 3)
+    return train.compare_families(rows, test, [*_portfolio().values(), train.Family("unknown", {}, refuse, {})], LABEL, 3)
 
 
 @query("select_candidates")
@@ -804,6 +905,25 @@ def _(spark, folder):
         rows, test, "bernoulli_nb", lambda point: bayes(counted, **point), grid, LABEL, BAYES, size=25)
 
 
+@query("search_families")
+def _(spark, folder):
+    """25 points of each kind whose points share their passes, on all rows of the folds."""
+    rows, test = _folded(spark, folder, 3)
+    kinds = _portfolio()
+    chosen = [kinds[k] for k in ("ridge", "bernoulli_nb", "logistic", "elastic_net")]
+    return train.search_families(rows, test, chosen, LABEL, ROW_ID)
+
+
+@query("successive_search")
+def _(spark, folder):
+    """Boosted models and gradient steps: rungs of a quarter and all of the rows."""
+    rows, _ = _folded(spark, folder, 3)
+    kinds = _portfolio(rounds=SHORT_ROUNDS, max_iter=SHORT_EPOCHS)
+    parts = [train.successive_search(rows, kinds[k], LABEL, ROW_ID, 6, 3, (0.25, 1.0)).withColumn("model_name", F.lit(k))
+             for k in ("leaf_boosting", "hist_boosting", "gradient_boosting", "adaboost", "sgd")]
+    return train.union_all(parts)
+
+
 @query("search_ridge")
 def _(spark, folder):
     rows, _ = _folded(spark, folder, 3)
@@ -835,8 +955,9 @@ def _(spark, folder):
 @query("stacking")
 def _(spark, folder):
     rows, test = _folded(spark, folder, 3)
-    model = train.fit_stacking(rows, [RIDGE, BAYES], LABEL, ROW_ID, 3)
-    return _auc_of(model, test, "stacking")
+    kinds = _portfolio()
+    bases = [kinds[k] for k in ("leaf_boosting", "xgboost", "sgd", "adaboost")]
+    return _auc_of(train.stack_families(rows, bases, LABEL, ROW_ID, 3), test, "stacking")
 
 
 @query("ensemble_compare")
@@ -913,6 +1034,15 @@ def _(spark, folder):
     return importance.permutation_importance(held_out, model, ROW_ID, LABEL)
 
 
+@query("permutation_importance_fitted")
+def _(spark, folder):
+    """The ridge of the training rows on the rows held out."""
+    rows, test = _train_test(spark, folder)
+    scaler = matrix.standard_scale_fit(rows)
+    model = fit.fit_ridge(scaler.transform(rows), FEATURES, LABEL)
+    return importance.permutation_importance(scaler.transform(test), model, ROW_ID, LABEL)
+
+
 def _shadow(spark, folder) -> DataFrame:
     """Model scores next to what the rules and the costs need."""
     rows = fitted(spark, folder).transform(T_(spark, folder), (ROW_ID, "risk_level"))
@@ -967,6 +1097,18 @@ def _(spark, folder):
     return _run(spark, features).select(ROW_ID, *FEATURES)
 
 
+@query("stream_customer_features")
+def _(spark, folder):
+    """Payments in several batches; customers stay open, so that all their payments count."""
+    payments = P_(spark, folder).select("customer_id", ROW_ID, "transaction_date", "payment_date", "payment_due_date")
+    target = new_folder(spark, "arrivals")
+    payments.write.parquet(target)
+    rows = jobs.read_stream(spark, target, payments.schema, 4)
+    states, forever = new_folder(spark, "customers"), "99999 days"
+    customers.write_states(customers.customer_states(rows, forever, forever), states, new_folder(spark, "stream-state")).awaitTermination()
+    return customers.features_of(customers.latest_states(spark, states))
+
+
 @query("stream_shadow_score")
 def _(spark, folder):
     rows = _as_stream(spark, T_(spark, folder))

@@ -502,6 +502,22 @@ oracle("drift_check", "SELECT feature, mean, batch_mean, (batch_mean - mean) / n
        "coalesce(abs((batch_mean - mean) / nullif(std, 0)) > 0.03, false) AS drifted, "
        f"batch_min < min OR batch_max > max AS out_of_range FROM ({BASELINE}) JOIN ({BATCH}) USING (feature)",
        "mean batch_mean shift")
+CUTS = feature_structs("'e': list_sort(list_distinct([" + ", ".join(
+    f"quantile_disc({{f}}, {i / 10})" for i in range(1, 10)) + "]))", TRAIN)
+LONG = "UNPIVOT (SELECT " + ", ".join(f'CAST("{f}" AS DOUBLE) AS "{f}"' for f in MATRIX) + " FROM {}) ON COLUMNS(*) INTO NAME feature VALUE x"
+BINNED = {
+    "CUTS": CUTS,
+    "CELLS": "SELECT feature, unnest(range(0, len(e) + 1)) AS bin FROM CUTS",
+    "BINS_OF": ("SELECT feature, len(list_filter(e, lambda v: v < x)) AS bin, side FROM (SELECT *, 0 AS side FROM ("
+               + LONG.format(TRAIN) + ") UNION ALL SELECT *, 1 FROM (" + LONG.format(TEST) + ")) JOIN CUTS USING (feature)"),
+    "SHARES": ("SELECT feature, bin, a / sum(a) OVER w AS p, b / sum(b) OVER w AS q, abs(sum(a) OVER u / sum(a) OVER w - sum(b) OVER u / "
+               "sum(b) OVER w) AS gap FROM (SELECT c.feature, c.bin, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b "
+               "FROM CELLS c LEFT JOIN BINS_OF p ON p.feature = c.feature AND p.bin = c.bin GROUP BY 1, 2) "
+               "WINDOW w AS (PARTITION BY feature), u AS (PARTITION BY feature ORDER BY bin)"),
+}
+oracle("drift_distribution", "SELECT *, psi > 0.2 OR ks > 0.1 AS drifted FROM (SELECT feature, sum((greatest(q, 1e-4) - greatest(p, 1e-4)) * "
+       "ln(greatest(q, 1e-4) / greatest(p, 1e-4))) AS psi, max(gap) AS ks, 0.0 AS baseline_missing, 0.0 AS batch_missing FROM SHARES GROUP BY 1)",
+       "psi ks baseline_missing batch_missing", BINNED)
 oracle("kpi_rates", f"SELECT CAST(date_trunc('month', transaction_timestamp) AS TIMESTAMP) AS period, count(*) AS "
        f"transactions, avg(CAST({DECISION} = 'approve' AS INTEGER)) AS approval_rate, avg({BAD}) AS default_rate, "
        f"avg({BAD}) FILTER ({DECISION} = 'approve') AS approved_default_rate FROM T GROUP BY 1",
@@ -729,6 +745,17 @@ oracle("shadow_compare", "SELECT business_decision, model_decision, count(*) AS
        f"(SELECT *, {DECISION} AS business_decision, CASE WHEN ridge_prediction >= 0.15 THEN 'decline' ELSE 'approve' END "
        "AS model_decision FROM T JOIN SCORED USING (transaction_id)) GROUP BY 1, 2", "default_rate opportunity_cost:2",
        SCORED)
+KNOWN_COST = decision_cost("business_decision") + " - " + decision_cost("model_decision")
+oracle("shadow_log_outcomes", "SELECT * EXCLUDE (known, will_default, amount, resolved_at, model_decision) REPLACE (CASE WHEN known THEN will_default END AS actual_default, CASE WHEN known THEN "
+       "CAST(datediff('day', timestamp, resolved_at) AS INTEGER) END AS days_to_resolution, CASE WHEN known THEN "
+       f"CAST({KNOWN_COST} AS DOUBLE) END AS opportunity_cost) FROM "
+       f"(SELECT L.*, T.will_default, T.amount, o.resolved_at, o.resolved_at < TIMESTAMP '2000-01-01' AS known, "
+       f"CASE WHEN L.ridge_prediction >= 0.15 THEN 'decline' ELSE 'approve' END AS model_decision FROM ({LOG}) L "
+       "JOIN T ON L.transaction_id = CAST(T.transaction_id AS VARCHAR) JOIN OUTCOMES o ON o.transaction_id = T.transaction_id)",
+       LOG_DOUBLES + " opportunity_cost", {**SCORED, **OUTCOMES})
+oracle("stream_customer_features", f"SELECT * FROM (SELECT customer_id, {VELOCITY}, {temporal_parts('transaction_date')} "
+       f"FROM TIMED GROUP BY 1) JOIN ({usual_day('P', 'customer_id', 'transaction_date')}) USING (customer_id)",
+       VELOCITY_DOUBLES + " " + TEMPORAL_DOUBLES, TIMED)
 REGISTERED = ("SELECT 'bnpl' AS domain, model_name, 'v0.1.0' AS version, CASE WHEN model_name = 'ridge' THEN 'champion' "
               "ELSE 'challenger' END AS role, feature, coefficient FROM M")
 oracle("model_registry_table", f"SELECT * FROM ({REGISTERED}) WHERE role = 'challenger'", "coefficient")
@@ -779,3 +806,17 @@ oracle("fit_ridge", f"SELECT 'ridge' AS model_name, unnest([{NAMES}]) AS feature
        f"ELIMINATED WHERE k = {WIDTH} UNION ALL SELECT 'ridge', '{INTERCEPT}', level - list_sum(list_transform(list_zip("
        f"{SOLUTION}, means), lambda z: z[1] * z[2])) FROM ELIMINATED, EQUATIONS WHERE k = {WIDTH}", "coefficient",
        {"Z": SCALED_TRAIN, "EQUATIONS": EQUATIONS, "ELIMINATED": ELIMINATED})
+
+# Neighbours: all distances between test and training rows on the scaled features.
+
+ON_TRAIN = "FILTER (rn > ceil(0.2 * cnt)) OVER ()"
+NEAREST = {
+    "VECTORS": "SELECT transaction_id, will_default, rn <= ceil(0.2 * cnt) AS is_test, [" + ", ".join(
+        f'CAST(("{f}" - avg("{f}") {ON_TRAIN}) / coalesce(nullif(stddev_pop("{f}") {ON_TRAIN}, 0), 1) AS DOUBLE)'
+        if f in SCALED_FEATURES else f'CAST("{f}" AS DOUBLE)' for f in MATRIX) + "] AS v FROM XS",
+    "NEAR": ("SELECT a.transaction_id, min({'d': round(list_distance(a.v, b.v), 9), 'id': b.transaction_id, 'y': CAST(b.will_default AS "
+             "DOUBLE)}, 10) AS near FROM (FROM VECTORS WHERE is_test) a, (FROM VECTORS WHERE NOT is_test) b GROUP BY 1"),
+}
+oracle("knn_score", "SELECT transaction_id, list_avg(list_transform(near[1:5], lambda n: n.y)) AS knn_uniform, CASE WHEN near[1].d = 0 THEN "
+       "list_avg(list_transform(list_filter(near, lambda n: n.d = 0), lambda n: n.y)) ELSE list_sum(list_transform(near, lambda n: n.y / n.d)) / "
+       "list_sum(list_transform(near, lambda n: 1 / n.d)) END AS knn_distance FROM NEAR", "knn_uniform knn_distance", NEAREST)

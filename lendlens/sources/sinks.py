@@ -56,17 +56,18 @@ def read_shadow_log(spark, folder: str) -> DataFrame:
 
 
 class ShadowLog:
-    """The log in day partitions, safe against replays, filled in when outcomes are known.
+    """The log in partitions of days (or other periods), safe against replays, filled in when outcomes are known.
 
     A transaction stands in it once: rows of an id that is there already are not added. Outcomes
-    rewrite only the days they belong to; the first known outcome of a transaction stays.
+    rewrite only the partitions they belong to; the first known outcome of a transaction stays.
+    ``period`` is day, week, month or year: one that holds enough rows for a file.
     """
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, period: str = "day") -> None:
+        self.spark, self.folder, self.period = spark, folder, period
 
     def _stored(self) -> DataFrame:
-        schema = ", ".join([*(f"{c} {kind}" for c, kind in SHADOW_LOG.items()), "day date"])
+        schema = ", ".join([*(f"{c} {kind}" for c, kind in SHADOW_LOG.items()), "period date"])
         return self.spark.read.schema(schema).parquet(self.folder)
 
     def _exists(self) -> bool:
@@ -76,29 +77,29 @@ class ShadowLog:
     def read(self) -> DataFrame:
         if not self._exists():
             return self.spark.createDataFrame([], ", ".join(f"{c} {kind}" for c, kind in SHADOW_LOG.items()))
-        return self._stored().drop("day")
+        return self._stored().drop("period")
 
     def append(self, rows: DataFrame) -> None:
         """Adds the transactions that are not in the log; a replayed batch adds nothing.
 
-        A row's day follows from its transaction, so only the days of the batch are looked at. Of
+        A row's time follows from its transaction, so only the partitions of the batch are looked at. Of
         several rows of one transaction the earliest is kept.
         """
         order = F.struct(F.col("timestamp"), F.xxhash64(*SHADOW_LOG))
         batch = as_shadow_log(rows).groupBy("transaction_id").agg(F.min_by(F.struct(*SHADOW_LOG), order).alias("row")).select("row.*")
-        batch = materialize(batch.withColumn("day", F.to_date("timestamp")), "log-batch")
-        days = [r["day"] for r in batch.select("day").distinct().collect()]
-        if not days:
+        batch = materialize(batch.withColumn("period", F.date_trunc(self.period, "timestamp").cast("date")), "log-batch")
+        periods = [r["period"] for r in batch.select("period").distinct().collect()]
+        if not periods:
             return
         if self._exists():
-            known = self._stored().where(in_days(days)).select("transaction_id")
+            known = self._stored().where(in_periods(periods)).select("transaction_id")
             batch = materialize(batch.join(known, "transaction_id", "left_anti"), "log-new")
-        batch.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(self.folder)
+        batch.hint("rebalance", "period").write.mode("append").partitionBy("period").parquet(self.folder)
 
     def resolve(self, outcomes: DataFrame, cut: float = 0.15, score: str = "ridge_prediction") -> int:
         """Fills in outcomes (transaction_id, actual_default, resolved_at, amount); returns the rows filled.
 
-        The opportunity cost is that of the rules' decision less that of deciding by ``score``. Days
+        The opportunity cost is that of the rules' decision less that of deciding by ``score``. Partitions
         are written anew as a whole from a copy, so an interrupted update can be repeated.
         """
         if not self._exists():
@@ -107,7 +108,7 @@ class ShadowLog:
             F.min_by(F.struct("actual_default", "resolved_at", "amount"), F.struct("resolved_at", "actual_default", "amount")).alias("found"))
         first = materialize(first.where(F.col("found.actual_default").isNotNull()), "outcomes")
         open_ = self._stored().where(F.col("actual_default").isNull()).join(first, "transaction_id")
-        counted = open_.groupBy("day").agg(F.count(F.lit(1)).alias("n")).collect()
+        counted = open_.groupBy("period").agg(F.count(F.lit(1)).alias("n")).collect()
         if not counted:
             return 0
         model = F.when(F.col(score) >= cut, "decline").otherwise("approve")
@@ -115,15 +116,15 @@ class ShadowLog:
         cost = decision_cost(F.col("business_decision"), defaulted, amount) - decision_cost(model, defaulted, amount)
         new = {"actual_default": defaulted, "days_to_resolution": F.datediff(F.col("found.resolved_at"), F.col("timestamp")), "opportunity_cost": cost}
         fill = F.col("actual_default").isNull() & F.col("found").isNotNull()
-        days = self._stored().where(in_days([r["day"] for r in counted])).join(first, "transaction_id", "left").select(
-            *[(F.when(fill, new[c]).otherwise(F.col(c)) if c in new else F.col(c)).cast(kind).alias(c) for c, kind in SHADOW_LOG.items()], "day")
-        staged = materialize(days, "log-days")
-        staged.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(self.folder)
+        touched = self._stored().where(in_periods([r["period"] for r in counted])).join(first, "transaction_id", "left").select(
+            *[(F.when(fill, new[c]).otherwise(F.col(c)) if c in new else F.col(c)).cast(kind).alias(c) for c, kind in SHADOW_LOG.items()], "period")
+        staged = materialize(touched, "log-periods")
+        staged.hint("rebalance", "period").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(self.folder)
         return sum(r["n"] for r in counted)
 
 
-def in_days(days: Sequence) -> Column:
-    """A condition that prunes partitions; one row's day may be unknown."""
-    known = [d for d in days if d is not None]
-    found = F.col("day").isin(known) if known else F.lit(False)
-    return found | F.col("day").isNull() if len(known) < len(days) else found
+def in_periods(periods: Sequence) -> Column:
+    """A condition that prunes partitions; a row's time may be unknown."""
+    known = [p for p in periods if p is not None]
+    found = F.col("period").isin(known) if known else F.lit(False)
+    return found | F.col("period").isNull() if len(known) < len(periods) else found
