@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -29,9 +30,19 @@ def text_blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[pa.Array]
         at, before = stop, int(ends[stop - 1])
 
 
+def release_memory() -> None:
+    """Gives freed memory back, as a worker or the driver goes on to other work afterwards."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no glibc
+        pass
+
+
 def by_block(texts: pa.Array, work: Callable[[pa.Array], pa.Array], limit: int = BLOCK_BYTES) -> pa.Array:
     """Applies a function to bounded slices and joins what it returns."""
     parts = [work(block) for block in text_blocks(texts, limit)]
+    release_memory()
     return pa.concat_arrays(parts) if parts else work(pa.array([], pa.string()))
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from lendlens.llm.common import Sample, as_sample, by_block, labelled_texts, split_words, struct_of, sums_by_start, word_ngrams
+from lendlens.llm.common import Sample, as_sample, by_block, labelled_texts, release_memory, split_many, split_words, struct_of, sums_by_start, word_ngrams
 
 BUCKETS, LOW, HIGH = 1 << 16, 1, 4
 ABREAST = 256  # words of a long line that are worked on side by side with others
@@ -26,6 +26,7 @@ ABREAST = 256  # words of a long line that are worked on side by side with other
 FIT_ROWS, FIT_BYTES, PIECE = 2000, 16 << 20, 24
 FIT_CHAINS = 1 << 13  # chains whose probabilities are held at a time
 STEPS = 40
+WORD_BLOCK = 1 << 14  # distinct words whose features are in memory at a time
 BLOCK = 2 << 20  # bytes of text whose words are in memory with all their probabilities
 NO_LANGUAGE = "und"
 
@@ -140,8 +141,12 @@ class LanguageModel:
     lexicon: dict[str, int]
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        owner, key = features(words, self.lexicon)
-        return np.stack([np.bincount(owner, column[key], minlength=len(words)) for column in self.weights.T], 1)
+        found = [np.zeros((0, len(self.labels)))]
+        for at in range(0, len(words), WORD_BLOCK):
+            block = words[at:at + WORD_BLOCK]
+            owner, key = features(block, self.lexicon)
+            found.append(np.stack([np.bincount(owner, column[key], minlength=len(block)) for column in self.weights.T], 1))
+        return np.concatenate(found)
 
     def word_marginals(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Label probabilities of all words, and where each text's words begin."""
@@ -178,7 +183,7 @@ def fit(sample: Sample | list[tuple[str, str]], seed: int = 5) -> LanguageModel:
     known = [label in labels for label in marks]
     texts = texts.filter(pa.array(known))
     truth = np.array([labels.index(label) for label in marks if label in labels])
-    codes, starts, words = split_words(texts)
+    codes, starts, words = split_many(texts)
     pieces = []
     for i, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
         for p in range(a, b, PIECE):
@@ -196,9 +201,10 @@ def fit(sample: Sample | list[tuple[str, str]], seed: int = 5) -> LanguageModel:
                 continue
             chains.append(sum(e - s for s, e, _ in parts))
             for s, e, lab in parts:
-                cell.append(np.arange(s, e)), target.append(np.full(e - s, lab))
+                cell.append(np.arange(s, e, dtype=np.int32)), target.append(np.full(e - s, lab, np.int16))
     cell, target, chains = np.concatenate(cell), np.concatenate(target), np.array(chains)
     used, word_of = np.unique(codes[cell], return_inverse=True)
+    word_of = word_of.astype(np.int32)
     spelled = pc.utf8_lower(words.take(pa.array(used))).to_pylist()
     # Lexicon: words seen often enough, nearly always in one language.
     seen = np.zeros((len(used), count))
@@ -206,6 +212,9 @@ def fit(sample: Sample | list[tuple[str, str]], seed: int = 5) -> LanguageModel:
     lexicon = {w: int(s.argmax()) for w, s in zip(spelled, seen) if s.sum() >= 5 and s.max() >= 0.8 * s.sum()}
     owner, key = features(spelled, lexicon)
     keys, slot = np.unique(key, return_inverse=True)
+    slot = slot.astype(np.int32)
+    del key, codes, texts, words, pieces
+    release_memory()
     weights, move, first = np.zeros((len(keys), count)), np.zeros((count, count)), np.zeros(count)
     begin = np.cumsum(chains) - chains
     inner = np.ones(len(cell), bool)
@@ -239,7 +248,9 @@ def fit(sample: Sample | list[tuple[str, str]], seed: int = 5) -> LanguageModel:
 def fit_language(docs: DataFrame, rows: int = FIT_ROWS, size: int = FIT_BYTES, key: str = "doc_id",
                  text: str = "text", lang: str = "lang") -> LanguageModel:
     """Fits on at most `rows` documents with a language and `size` bytes of their whole texts."""
-    return fit(labelled_texts(docs, None, lang, rows, size, key, text))
+    model = fit(labelled_texts(docs, None, lang, rows, size, key, text))
+    release_memory()
+    return model
 
 
 KIND = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -219,9 +219,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) ->
     row). Rows without a key cannot be told apart and stay.
     """
     found = near_duplicates(docs, key, text, **how)
-    chosen = found.where(F.col(key) == F.col("component")).select(F.col(key).alias("_keep")).distinct()
-    # The document travels as one struct: none of its columns can clash, and a key with many rows is
-    # brought down to one by tasks before the shuffle.
+    chosen = materialize(found.groupBy(F.col(key).alias("_keep")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.max((F.col(key) == F.col("component")).cast("int")).alias("_least")).where("_least = 1"), "chosen")
+    # The document travels as one struct: none of its columns can clash. Only keys of several rows are
+    # grouped; tasks bring such a key down to one row before the shuffle.
     rows = docs.select(docs[key].alias("_key"), F.struct(docs[text]).alias("_order"), F.struct(*[docs[c] for c in docs.columns]).alias("_document"))
-    kept = rows.join(chosen, F.col("_key") == F.col("_keep")).groupBy("_key").agg(F.min_by("_document", "_order").alias("_document"))
-    return kept.select("_document.*").unionByName(docs.where(docs[key].isNull()))
+    kept = rows.join(chosen, F.col("_key") == F.col("_keep"))
+    several = kept.where("_rows > 1").groupBy("_key").agg(F.min_by("_document", "_order").alias("_document"))
+    return kept.where("_rows = 1").select("_document").unionByName(several.select("_document")).select("_document.*") \
+        .unionByName(docs.where(docs[key].isNull()))

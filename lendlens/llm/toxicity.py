@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lendlens.llm.common import Sample, as_sample, by_block, labelled_texts, split_many, split_words, text_blocks, word_ngrams
+from lendlens.llm.common import Sample, as_sample, by_block, labelled_texts, release_memory, split_many, split_words, text_blocks, word_ngrams
 
 THRESHOLD = 0.3  # a text of this score is toxic
 BUCKETS, DIM, WINDOW = 1 << 17, 4, 16
@@ -54,10 +54,13 @@ class ToxicModel:
     shift: float
 
     def word_scores(self, words: pa.Array) -> np.ndarray:
-        owner, key = word_ngrams([bare(w) for w in pc.utf8_lower(words).to_pylist()], LOW, HIGH)
-        values = self.gain[key % np.uint64(BUCKETS)]
-        count = np.bincount(owner, minlength=len(words))
-        return np.bincount(owner, values, minlength=len(words)) / np.maximum(count, 1)
+        found = [np.zeros(0)]
+        for at in range(0, len(words), WORD_BLOCK):
+            block = words.slice(at, WORD_BLOCK)
+            owner, key = word_ngrams([bare(w) for w in pc.utf8_lower(block).to_pylist()], LOW, HIGH)
+            values = self.gain[key % np.uint64(BUCKETS)]
+            found.append(np.bincount(owner, values, len(block)) / np.maximum(np.bincount(owner, minlength=len(block)), 1))
+        return np.concatenate(found)
 
     def worst(self, texts: pa.Array) -> np.ndarray:
         """The greatest logit over all windows of each text; 0 for a text without words."""
@@ -250,7 +253,9 @@ def calibrated(gain: np.ndarray, texts: pa.Array, y: np.ndarray, share: float) -
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, size: int = FIT_BYTES) -> ToxicModel:
     """Fits on at most `rows` labelled documents and `size` bytes of their whole texts."""
-    return fit(labelled_texts(docs, labels, "toxic", rows, size))
+    model = fit(labelled_texts(docs, labels, "toxic", rows, size))
+    release_memory()
+    return model
 
 
 def toxicity(spark: SparkSession, text: Column, model: ToxicModel) -> Column:
