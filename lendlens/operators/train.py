@@ -219,7 +219,8 @@ def seeded_share(df: DataFrame, row_id: str, share: float, seed: int) -> DataFra
     """Rows whose fingerprint lies below the share; larger shares hold the rows of smaller ones."""
     if share >= 1:
         return df
-    key = F.conv(F.substring(order_key(seed, F.col(row_id)), 1, 13), 16, 10).cast("double")
+    # An order of its own: folds are runs of the plain seeded one.
+    key = F.conv(F.substring(order_key(f"share {seed}", F.col(row_id)), 1, 13), 16, 10).cast("double")
     return df.where(key < share * 16.0 ** 13)
 
 

@@ -45,7 +45,8 @@ def test_matches_sql(spark, tables, name):
 
 
 SLOW = {"fit_logistic", "fit_random_forest", "fit_gbt", "fit_bagging", "train_compare",
-        "random_search", "search_ridge", "stacking", "cross_validate"}
+        "random_search", "search_ridge", "stacking", "cross_validate", "search_families", "successive_search",
+        "cross_validate_families"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
