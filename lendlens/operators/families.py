@@ -84,14 +84,14 @@ def portfolio(features: Sequence[str], label: str, row_id: str, rounds: int | No
         return [[pivots.ExactNeighbours(df if f is None else df.where(F.col("fold") != f), list(features), label, row_id, **p) for f in folds] for p in points]
     epochs = {"max_iter": max_iter} if max_iter else {}
     kinds = [
-        Family("logistic", capped(GRIDS["logistic"]), penalised, {"strength": 1.0, "l1_ratio": 0.0}, True),
+        Family("logistic", GRIDS["logistic"], penalised, {"strength": 1.0, "l1_ratio": 0.0}, True),
         Family("random_forest", {"depth": [depth]}, one_by_one(lambda df, **p: fit.fit_random_forest(df, features, label, trees, **p)), {"depth": depth}),
         boosted("leaf_boosting", boosting.Boosting()),
         boosted("xgboost", boosting.Boosting(depth=6, max_leaves=64, rate=0.3, l2=1.0, min_child=1, min_hessian=1.0)),
         boosted("hist_boosting", boosting.Boosting()),
         Family("extra_trees", {"trees": [trees], "depth": [depth]}, extra, {"trees": trees, "depth": depth}),
         Family("ridge", GRIDS["ridge"], ridge, {"alpha": 1.0, "fit_intercept": True}),
-        Family("elastic_net", capped(GRIDS["elastic_net"]), penalised, {"strength": 1.0, "l1_ratio": 0.5}, True),
+        Family("elastic_net", GRIDS["elastic_net"], penalised, {"strength": 1.0, "l1_ratio": 0.5}, True),
         Family("knn", {"k": [5]}, neighbours, {"k": 5}, True),
         Family("knn_weighted", {"k": [10]}, neighbours, {"k": 10, "by_distance": True}, True),
         Family("adaboost", capped(GRIDS["adaboost"]), ada, {"rounds": min(50, rounds) if rounds else 50}),
