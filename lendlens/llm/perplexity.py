@@ -1,17 +1,20 @@
 """Quality rules: counts of words, symbols and repeats, and bands of n-gram perplexity.
 
-The language model is over the characters of words, one per language: Spark counts the n-grams
-of all documents, and modified Kneser-Ney turns counts into probabilities, level by level. An
-n-gram that begins a word keeps its count on lower levels, the others count the signs seen
-before them. Probabilities and back-off weights are stored as sorted arrays of 64-bit hashes
-and found by binary search. Arrays of at most MODEL_ROWS entries are broadcast; beyond that
-the words themselves are scored once each by joins, with the same result.
+The language model is over the characters of texts, one per language: a word follows the mark of
+its start, before which stand the last signs of the word before, so n-grams reach over the border
+of words and their order counts. Spark counts the n-grams of all documents, and modified
+Kneser-Ney turns counts into probabilities, level by level. An n-gram that begins a text keeps
+its count on lower levels, the others count the signs seen before them. Probabilities and
+back-off weights are stored as sorted arrays of 64-bit hashes and found by binary search. Arrays
+of at most MODEL_ROWS entries are broadcast; beyond that words and their borders are scored once
+each by joins, with the same result.
 
 Bands are set per language around the quartiles of the log perplexity of all its documents.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,10 +25,10 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from lendlens.llm.common import END, PRIME, SPACES, START, code_points, split_words, struct_of, sums_by_start, text_blocks
+from lendlens.llm.common import END, PRIME, SPACES, START, WORD, code_points, split_words, struct_of, sums_by_start, text_blocks
 from lendlens.session import materialize
 
-ORDER = 4
+ORDER = 5
 MODEL_ROWS = 4_000_000  # 16 bytes each
 SPREAD = 4.0  # quartile ranges beyond the quartiles
 SYMBOLS = "#*$%&|<>"
@@ -34,29 +37,64 @@ GRAMS_HELD = 400_000
 BLOCK = 8 << 20  # bytes of text at a time: large blocks repeat fewer words
 
 
-def gram_keys(words: list[str], lang: str, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
-    """For every sign after the start mark: hashes of the n-grams that end there.
+def gram_keys(tokens: list[str], lang: str, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
+    """For every sign of the tokens: hashes of the n-grams inside its token that end there.
 
-    Returns (order, signs) hashes, 0 where the word is too short; the word of each sign; the
+    Returns (order, signs) hashes, 0 where the token is too short; the token of each sign; the
     length of the longest n-gram; and the joined text, whose signs they are in order.
     """
-    text = "".join(START + w + END for w in words)
+    text = "".join(tokens)
     points = code_points(text).astype(np.uint64) + np.uint64(1)
-    sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
-    owner = np.repeat(np.arange(len(words)), sizes)
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    owner = np.repeat(np.arange(len(tokens)), sizes)
     place = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     seed = np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass")))
     keys = np.zeros((order + 1, len(points)), np.uint64)
     with np.errstate(over="ignore"):
         value, power = np.zeros(len(points), np.uint64), np.uint64(1)
         for n in range(1, order + 1):
-            value[n - 1:] += points[:len(points) - n + 1] * power
+            value[n - 1:] += points[:max(len(points) - n + 1, 0)] * power
             power *= np.uint64(PRIME)
             keys[n] = np.where(place >= n - 1, mixed(value, n, seed), np.uint64(0))
         keys[0] = mixed(np.zeros(1, np.uint64), 0, seed)
     return keys, owner, np.minimum(place + 1, order), text
 
 
+def marked_words(words: list[str]) -> list[str]:
+    return [START + w + END for w in words]
+
+
+def border_grams(codes: np.ndarray, starts: np.ndarray, words: pa.Array, mine: np.ndarray,
+                 order: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+    """The n-grams of each word's first signs, which reach into the word before it in its text.
+
+    For the first, second ... sign (the end mark counts): the places in `codes` that have it, the
+    number of each place's n-gram, and the distinct n-grams. They hold the last signs of the word
+    before, or that whole word with its start mark; a text's first word has nothing before it.
+    """
+    first = np.zeros(len(codes) + 1, bool)
+    first[starts[:-1]] = True
+    sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+    before = pc.binary_join_element_wise(pa.scalar(START), words, pa.scalar(""))
+    after = pc.binary_join_element_wise(words, pa.scalar(END), pa.scalar(""))
+    for sign in range(order - 2):
+        at = mine[sizes[codes[mine]] >= sign]
+        tails = pc.utf8_slice_codeunits(before, start=sign - (order - 2)).dictionary_encode()
+        heads = pc.utf8_slice_codeunits(after, start=0, stop=sign + 1).dictionary_encode()
+        some, many = len(tails.dictionary), max(len(heads.dictionary), 1)
+        tail = tails.indices.to_numpy(zero_copy_only=False).astype(np.int64)[codes[at - 1]]
+        pair = np.where(first[at], some, tail) * many + heads.indices.to_numpy(zero_copy_only=False).astype(np.int64)[codes[at]]
+        if (some + 1) * many <= 8 * len(pair):
+            distinct = np.flatnonzero(np.bincount(pair, minlength=(some + 1) * many))
+            number = np.zeros((some + 1) * many, np.int64)
+            number[distinct] = np.arange(len(distinct))
+            which = number[pair]
+        else:
+            distinct, which = np.unique(pair, return_inverse=True)
+        left, right = tails.dictionary.to_pylist() + [""], heads.dictionary.to_pylist()
+        yield at, which, [left[t] + START + right[h] for t, h in zip((distinct // many).tolist(), (distinct % many).tolist())]
+
+
 def mixed(value: np.ndarray, n: int, seed: np.uint64) -> np.ndarray:
     with np.errstate(over="ignore"):
         z = value + seed + np.uint64(n) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -85,7 +123,10 @@ def no_null(lang: Column) -> Column:
 
 
 def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER) -> DataFrame:
-    """(lang, gram, n): for every sign of every word the longest n-gram that ends there, over all documents."""
+    """(lang, gram, n): for every sign of every word the longest n-gram that ends there, over all documents.
+
+    It has `order` signs, or begins with a start mark. `order` is 3 or more.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
 
@@ -103,15 +144,18 @@ def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang", order:
                 own = np.repeat(langs[at:at + len(block)], np.diff(starts))
                 at += len(block)
                 for name in dict.fromkeys(own.tolist()):
-                    times = np.bincount(codes[own == name], minlength=len(words))
+                    mine = np.flatnonzero(own == name)
+                    times = np.bincount(codes[mine], minlength=len(words))
                     seen = np.flatnonzero(times)
-                    keys, owner, longest, joined = gram_keys(words.take(pa.array(seen)).to_pylist(), name, order)
-                    ends = np.flatnonzero(np.append(False, owner[1:] == owner[:-1]))
-                    key = keys[longest[ends], ends]
-                    _, first, place = np.unique(key, return_index=True, return_inverse=True)
+                    keys, owner, longest, joined = gram_keys(marked_words(words.take(pa.array(seen)).to_pylist()), name, order)
+                    ends = np.flatnonzero(longest == order)
+                    _, first, place = np.unique(keys[order, ends], return_index=True, return_inverse=True)
                     sums = np.bincount(place, times[seen][owner[ends]]).astype(np.int64)
-                    for end, n, total in zip(ends[first].tolist(), longest[ends[first]].tolist(), sums.tolist()):
-                        held[name, joined[end - n + 1:end + 1]] += total
+                    for end, total in zip(ends[first].tolist(), sums.tolist()):
+                        held[name, joined[end - order + 1:end + 1]] += total
+                    for _, which, grams in border_grams(codes, starts, words, mine, order):
+                        for gram, total in zip(grams, np.bincount(which, minlength=len(grams)).tolist()):
+                            held[name, gram] += total
                 if len(held) > GRAMS_HELD:
                     yield flush()
         yield flush()
@@ -131,9 +175,10 @@ def kneser_ney(grams: DataFrame, order: int = ORDER) -> DataFrame:
     top = materialize(grams, "grams")
     levels = {order: top.where(F.length("gram") == order).select("lang", "gram", F.col("n").alias("a"))}
     for k in range(order - 1, 0, -1):
-        before = levels[k + 1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("a"))
+        # A word's first n-grams follow other words and, in shorter form, begin texts.
+        before = levels[k + 1].select("lang", F.expr("substring(gram, 2)").alias("gram"), F.lit(1).cast("long").alias("a"))
         opening = top.where((F.length("gram") == k) & F.col("gram").startswith(START)).select("lang", "gram", F.col("n").alias("a"))
-        levels[k] = materialize(before.unionByName(opening), "level")
+        levels[k] = materialize(before.unionByName(opening).groupBy("lang", "gram").agg(F.sum("a").alias("a")), "level")
     tables, lower = [], None
     for k in range(1, order + 1):
         level = levels[k].withColumn("ctx", F.expr(f"substring(gram, 1, {k - 1})"))
@@ -186,11 +231,9 @@ class HashArrays:
             return np.zeros(len(wanted), bool), np.zeros(len(wanted))
         return keys[at] == wanted, values[at]
 
-    def word_scores(self, words: list[str], lang: str) -> np.ndarray:
-        """Log probability of each word with its end mark."""
-        keys, owner, longest, _ = gram_keys(words, lang, self.order)
-        ends = np.flatnonzero(np.append(False, owner[1:] == owner[:-1])) if len(owner) else np.zeros(0, np.int64)
-        score, size, open_ = np.zeros(len(ends)), longest[ends].copy(), np.arange(len(ends))
+    def sign_scores(self, keys: np.ndarray, ends: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Log probability of the signs at `ends` after as many signs as their longest n-grams hold."""
+        score, size, open_ = np.zeros(len(ends)), size.copy(), np.arange(len(ends))
         while len(open_):  # back off from the longest n-gram to the empty one
             at, n = ends[open_], size[open_]
             hit, value = self.find(self.p_keys, self.p, keys[n, at])
@@ -199,7 +242,31 @@ class HashArrays:
             known, weight = self.find(self.w_keys, self.w, keys[n - 1, at - 1])
             score[open_[known]] += weight[known]
             size[open_] -= 1
-        return np.bincount(owner[ends], score, minlength=len(words))
+        return score
+
+    def word_scores(self, words: list[str], lang: str) -> np.ndarray:
+        """Log probability of each word's signs, with its end mark, whose n-grams lie inside the word."""
+        keys, owner, longest, _ = gram_keys(marked_words(words), lang, self.order)
+        ends = np.flatnonzero(longest == self.order)
+        return np.bincount(owner[ends], self.sign_scores(keys, ends, longest[ends]), minlength=len(words))
+
+    def gram_scores(self, grams: list[str], lang: str) -> np.ndarray:
+        """Log probability of the last sign of each n-gram after its other signs."""
+        keys, _, longest, _ = gram_keys(grams, lang, self.order)
+        ends = np.cumsum(np.fromiter(map(len, grams), np.int64, len(grams))) - 1
+        return self.sign_scores(keys, ends, longest[ends])
+
+    def scores(self, codes: np.ndarray, starts: np.ndarray, words: pa.Array, langs: np.ndarray) -> np.ndarray:
+        """Log probability of every word of the texts, after the word before it."""
+        score = np.zeros(len(codes))
+        own = np.repeat(langs, np.diff(starts))
+        for name in dict.fromkeys(own.tolist()):
+            mine = np.flatnonzero(own == name)
+            seen, place = np.unique(codes[mine], return_inverse=True)
+            score[mine] = self.word_scores(words.take(pa.array(seen)).to_pylist(), name)[place]
+            for at, which, grams in border_grams(codes, starts, words, mine, self.order):
+                score[at] += self.gram_scores(grams, name)[which]
+        return score
 
 
 def hash_arrays(model: DataFrame, order: int = ORDER) -> HashArrays:
@@ -266,14 +333,10 @@ def text_counts(docs: DataFrame, model: HashArrays | None, text: str, lang: str,
             for block in text_blocks(texts, BLOCK):
                 codes, starts, words = split_words(block)
                 found = base_counts(block, codes, starts, len(words))
-                lowered = pc.utf8_lower(words)
                 score = np.zeros(len(codes))
-                own = np.repeat(names[at:at + len(block)], np.diff(starts))
+                if arrays:
+                    score = arrays.scores(codes, starts, pc.utf8_lower(words), names[at:at + len(block)])
                 at += len(block)
-                for name in dict.fromkeys(own.tolist()) if arrays else ():
-                    mine = np.flatnonzero(own == name)
-                    seen, place = np.unique(codes[mine], return_inverse=True)
-                    score[mine] = arrays.word_scores(lowered.take(pa.array(seen)).to_pylist(), name)[place]
                 signs = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1
                 found["n_signs"] = sums_by_start(signs[codes] if len(codes) else codes, starts).astype(np.int64)
                 found["log_p"] = sums_by_start(score, starts)
@@ -283,24 +346,43 @@ def text_counts(docs: DataFrame, model: HashArrays | None, text: str, lang: str,
     return docs.select(*extra, count(F.col(text), no_null(F.col(lang))).alias("c")).select(*extra, "c.*")
 
 
-def joined_word_scores(words: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, word, log_p) of distinct words by joins on the n-grams: for models too large to broadcast."""
-    signs = F.concat(F.lit(START), F.col("word"), F.lit(END))
-    ends = words.withColumn("m", signs).select("lang", "word", "m", F.explode(F.sequence(F.lit(2), F.length("m"))).alias("at"))
-    wanted = ends.select("lang", "word", "at", F.explode(F.transform(
+def joined_scores(tokens: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
+    """(lang, token, begin, log_p) of distinct tokens by joins on the n-grams: for models too large to broadcast.
+
+    The signs from place `begin` on (from 1) are scored, each after the signs before it in the token.
+    """
+    same = ["lang", "token", "begin"]
+    ends = tokens.where(F.col("begin") <= F.length("token")).select(*same, F.explode(F.sequence(F.col("begin"), F.length("token"))).alias("at"))
+    wanted = ends.select(*same, "at", F.explode(F.transform(
         F.sequence(F.lit(0), F.least(F.lit(order), F.col("at"))), lambda n: F.struct(
-            n.alias("size"), F.expr("m").substr(F.col("at") - n + 1, n).alias("gram"),
-            F.expr("m").substr(F.col("at") - n, n).alias("ctx")))).alias("g")).select("lang", "word", "at", "g.*")
+            n.alias("size"), F.col("token").substr(F.col("at") - n + 1, n).alias("gram"),
+            F.col("token").substr(F.col("at") - n, n).alias("ctx")))).alias("g")).select(*same, "at", "g.*")
     p = model.where("kind = 'p'").select("lang", "gram", F.col("value").alias("p"))
     w = model.where("kind = 'w'").select("lang", F.col("gram").alias("ctx"), F.col("value").alias("w"))
     found = wanted.join(p, ["lang", "gram"], "left").join(w, ["lang", "ctx"], "left")
-    best = found.groupBy("lang", "word", "at").agg(
+    best = found.groupBy(*same, "at").agg(
         F.max(F.when(F.col("p").isNotNull(), F.struct("size", "p"))).alias("best"),
         F.collect_list(F.struct("size", "w")).alias("weights"))  # at most order + 1 of them
     top = F.least(F.lit(order), F.col("at"))
     passed = F.filter("weights", lambda x: (x["size"] >= F.col("best.size")) & (x["size"] < top) & x["w"].isNotNull())
     value = F.col("best.p") + F.aggregate(passed, F.lit(0.0), lambda total, x: total + x["w"])
-    return best.select("lang", "word", value.alias("v")).groupBy("lang", "word").agg(F.sum("v").alias("log_p"))
+    return best.select(*same, value.alias("v")).groupBy(*same).agg(F.sum("v").alias("log_p"))
+
+
+def tokens_of(lowered: Column, order: int) -> Column:
+    """Two tokens a word, with the place of the first sign to score: the word, and its first signs after the word before."""
+    kind = pa.list_(pa.struct([("token", pa.string()), ("begin", pa.int32())]))
+
+    @F.arrow_udf("array<struct<token string, begin int>>")
+    def tokens(texts: pa.Array) -> pa.Array:
+        found = []
+        for text in texts.to_pylist():
+            words = re.findall(WORD, text or "")
+            tails = [""] + [(START + w)[2 - order:] for w in words[:-1]]
+            found.append([(START + w + END, order) for w in words]
+                         + [(t + START + (w + END)[:order - 2], len(t) + 2) for t, w in zip(tails, words)])
+        return pa.array(found, kind)
+    return tokens(lowered)
 
 
 def lower_case(text: Column) -> Column:
@@ -317,14 +399,12 @@ def text_key(lowered: Column) -> Column:
 
 def joined_text_scores(docs: DataFrame, model: DataFrame, text: str, lang: str, order: int = ORDER) -> DataFrame:
     """(_lang, _key, log_p) per distinct text; the key is a pair of its hashes."""
-    from lendlens.llm.common import WORD
-
     docs = docs.select(no_null(F.col(lang)).alias("lang"), lower_case(F.col(text)).alias("text")).withColumn("key", text_key(F.col("text")))
-    rows = docs.select("lang", "key", F.explode(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))).alias("word"))
+    rows = docs.select("lang", "key", F.explode(tokens_of(F.col("text"), order)).alias("t")).select("lang", "key", "t.*")
     texts = docs.groupBy("lang", "key").agg(F.count(F.lit(1)).alias("copies"))
-    counted = rows.groupBy("lang", "key", "word").agg(F.count(F.lit(1)).alias("times"))
-    scores = joined_word_scores(counted.select("lang", "word").distinct(), model, order)
-    total = counted.join(scores, ["lang", "word"]).groupBy("lang", "key").agg(F.sum(F.col("times") * F.col("log_p")).alias("log_p"))
+    counted = rows.groupBy("lang", "key", "token", "begin").agg(F.count(F.lit(1)).alias("times"))
+    scores = joined_scores(counted.select("lang", "token", "begin").distinct(), model, order)
+    total = counted.join(scores, ["lang", "token", "begin"]).groupBy("lang", "key").agg(F.sum(F.col("times") * F.col("log_p")).alias("log_p"))
     return total.join(texts, ["lang", "key"]).select(
         F.col("lang").alias("_lang"), F.col("key").alias("_key"), (F.col("log_p") / F.col("copies")).alias("log_p"))
 

@@ -1,5 +1,6 @@
 """Each operator against brute force or an exact round trip, and on odd input."""
 
+import collections
 import hashlib
 import itertools
 import re
@@ -205,18 +206,89 @@ def test_kneser_ney_sums_to_one_and_paths_agree(spark, empty, texts):
     def p(gram):
         return table[gram] if gram in table else weight.get(gram[:-1], 1.0) * p(gram[1:])
 
-    for context in ("", "t", "th", "\x02th", "the"):
+    for context in ("", "t", "th", "\x02th", "the", "e\x02t", "\x02a\x02", "the\x02"):
         total = sum(p(context + s) for s in signs) + (weight[""] * table[""] if not context else 0)
         assert total <= 1 + 1e-6 and total > 0.97
     words = ["the", "tion", "zzqx", "日本", ""]
-    brute = [sum(np.log(p(("\x02" + w + "\x03")[max(0, i - 3):i + 1])) for i in range(1, len(w) + 2)) for w in words]
+    brute = [sum(np.log(p(("\x02" + w + "\x03")[i - 4:i + 1])) for i in range(4, len(w) + 2)) for w in words]
     assert np.allclose(arrays.word_scores(words, "en"), brute, atol=1e-4)
+    grams = ["\x02t", "he\x02to", "\x02a\x02th", "zzz\x02q", "本"]
+    assert np.allclose(arrays.gram_scores(grams, "en"), [np.log(p(g)) for g in grams], atol=1e-4)
     small, large = (shown(perplexity.judge_texts(frame, model_rows=n).select("doc_id", "kept", F.round("perplexity", 3).alias("p")), "doc_id", "kept", "p")
                     for n in (10**7, 0))
     assert [x[:2] for x in small] == [x[:2] for x in large] and np.allclose([x[2] for x in small], [x[2] for x in large], atol=2e-3)
     assert perplexity.judge_texts(empty).count() == 0
 
 
+def gram_events(text, order):
+    """The longest n-gram of every sign of a text, in order."""
+    before = ""
+    for w in re.findall(r"[^\x20\x09-\x0D]+", text.lower()):
+        for i, sign in enumerate(w + "\x03"):
+            inside = "\x02" + (w + "\x03")[:i + 1]
+            yield (before[-(order - len(inside)):] if len(inside) < order else "") + inside[-order:]
+        before = "\x02" + w
+
+
+def brute_model(texts, order):
+    """Modified Kneser-Ney from raw texts: the probability of an n-gram's last sign."""
+    seen = collections.Counter(g for t in texts for g in gram_events(t, order))
+    levels = {order: {g: n for g, n in seen.items() if len(g) == order}}
+    for k in range(order - 1, 0, -1):
+        level = collections.Counter(g[1:] for g in levels[k + 1])
+        level.update({g: n for g, n in seen.items() if len(g) == k})
+        levels[k] = level
+    cut, total, kept = {}, collections.Counter(), collections.Counter()
+    for k, level in levels.items():
+        n = [sum(a == i for a in level.values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else (0.0 if n[2] else 0.5)
+        d = [min(max(i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.5 * i, 0.05), i - 0.05) for i in (1, 2, 3)]
+        for g, a in level.items():
+            cut[g] = d[min(a, 3) - 1]
+            total[g[:-1], k] += a
+            kept[g[:-1], k] += cut[g]
+
+    def p(gram):
+        if not gram:
+            return 1 / (len(levels[1]) + 1)
+        k, context = len(gram), gram[:-1]
+        if (context, k) not in total:
+            return p(gram[1:])
+        a = levels[k].get(gram, 0)
+        return ((a - cut[gram]) if a else 0) / total[context, k] + kept[context, k] / total[context, k] * p(gram[1:])
+    return p
+
+
+def test_perplexity_and_bands_from_raw_text(spark, texts):
+    bodies = [t for t in texts.values() if 40 < len(t) < 3000][:60] + ["a b a b, I a b", "x", "Über die Straße\tgeht\nes"]
+    frame = spark.createDataFrame([(i, t, "en") for i, t in enumerate(bodies)], "doc_id long, text string, lang string")
+    p, found = brute_model(bodies, perplexity.ORDER), {r["doc_id"]: r for r in perplexity.judge_texts(frame).collect()}
+    wanted = {i: -np.mean([np.log(p(g)) for g in gram_events(t, perplexity.ORDER)]) for i, t in enumerate(bodies)}
+    for i, value in wanted.items():
+        assert np.log(found[i]["perplexity"]) == pytest.approx(value, abs=1e-6)
+    low, middle, high = np.quantile(list(wanted.values()), [0.25, 0.5, 0.75], method="inverted_cdf")
+    width = perplexity.SPREAD * max(high - low, 0.02 * middle)
+    for i, value in wanted.items():
+        assert np.log(found[i]["lower"]) == pytest.approx(low - width, abs=1e-6) and np.log(found[i]["upper"]) == pytest.approx(high + width, abs=1e-6)
+        assert found[i]["kept"] == (not found[i]["base_failed"] and low - width <= value <= high + width)
+
+
+def test_order_of_words_counts(spark):
+    rng = np.random.default_rng(5)
+    names, verbs, places = (["the old man", "a young girl", "our neighbour", "the two brothers"],
+                            ["walked slowly to", "never came back from", "often spoke about", "looked for"],
+                            ["the quiet village", "a house by the river", "the market square", "their garden"])
+    def sentence():
+        return " ".join(rng.choice(part) for part in (names, verbs, places)) + "."
+    bodies = [" ".join(sentence() for _ in range(12)) for _ in range(120)]
+    salad = [" ".join(rng.permutation(b.split())) for b in bodies[:20]]
+    frame = spark.createDataFrame([(i, t, "en") for i, t in enumerate(bodies + salad)], "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in perplexity.judge_texts(frame).collect()}
+    for i in range(20):
+        assert found[120 + i]["perplexity"] > 1.2 * found[i]["perplexity"]
+        assert found[i]["perplexity"] <= found[i]["upper"] < found[120 + i]["perplexity"]
+
+
 def brute_components(prints, distance=2):
     ids = list(range(len(prints)))
     near = [(i, j) for i, j in itertools.combinations(ids, 2) if bin(prints[i] ^ prints[j]).count("1") <= distance]
