@@ -134,17 +134,9 @@ FROM ruled
 """
 
 LICENCE_SQL = r"""
-WITH templates(licence, body) AS (VALUES
-  ('Apache-2.0', 'licensed under the apache license version 2 0'),
-  ('Apache-2.0-header', 'licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license'),
-  ('BSD-3-Clause', 'use of this source code is governed by a bsd style license that can be found in the license file'),
-  ('CC-BY-4.0', 'this work is licensed under a creative commons attribution 4 0 international license'),
-  ('CC-BY-NC-4.0', 'licensed under cc by nc 4 0'),
-  ('CC-BY-SA-4.0', 'this work is licensed under a creative commons attribution sharealike 4 0 international license'),
-  ('GPL-2.0', 'this work is licensed under the gnu general public license version 2'),
-  ('GPL-3.0', 'this work is licensed under the gnu general public license version 3'),
-  ('MIT', 'released under the mit license'),
-  ('MPL-2.0', 'this source code form is subject to the terms of the mozilla public license v 2 0')),
+WITH templates AS (
+  SELECT licence, list_filter(string_split(body, ' '), lambda x: x <> '') AS w FROM (VALUES
+  %s) AS t(licence, body)),
 normal AS (
   SELECT doc_id, string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}\n]+', ' ', 'g'), chr(10)) AS lines FROM documents),
 units AS (
@@ -153,17 +145,31 @@ units AS (
 words AS (SELECT doc_id, unit, list_filter(string_split(body, ' '), lambda x: x <> '') AS w FROM units),
 pairs AS (
   SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS p
-  FROM words WHERE len(w) BETWEEN 2 AND 60),
+  FROM words WHERE len(w) >= 2),
 shapes AS (
-  SELECT licence, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS t
-  FROM (SELECT licence, string_split(body, ' ') AS w FROM templates)),
+  SELECT licence, len(w) AS m, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS t FROM templates),
 scored AS (
   SELECT doc_id, unit, licence, 2 * len(list_intersect(p, t)) / (len(p) + len(t)) AS dice
-  FROM pairs JOIN shapes ON list_has_any(p, t))
-SELECT doc_id, unit, licence, dice FROM (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, licence) AS place FROM scored)
-WHERE place = 1 AND dice >= 0.8
-"""
+  FROM pairs JOIN shapes ON len(p) BETWEEN len(t) * 0.66 AND len(t) * 1.51 AND list_has_any(p, t)),
+anchors AS (
+  SELECT licence, word, min(i) AS at FROM (SELECT licence, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM templates)
+  WHERE length(word) >= 4 GROUP BY licence, word HAVING count(*) = 1),
+texts AS (
+  SELECT doc_id, list_filter(string_split(array_to_string(lines, ' '), ' '), lambda x: x <> '') AS w FROM normal),
+spots AS (
+  SELECT DISTINCT doc_id, licence, greatest(i - at, 0) AS start
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM texts) JOIN anchors USING (word)),
+windows AS (
+  SELECT doc_id, licence, start, t, list_slice(w, start + 1, start + m) AS w FROM spots JOIN shapes USING (licence) JOIN texts USING (doc_id)),
+passages AS (
+  SELECT doc_id, licence, start, 2 * len(list_intersect(p, t)) / (len(p) + len(t)) AS dice
+  FROM (SELECT *, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS p FROM windows)),
+found AS (
+  SELECT doc_id, unit, 0 AS first_word, licence, dice, row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, licence) AS place FROM scored
+  UNION ALL
+  SELECT doc_id, -1, start + 1, licence, dice, row_number() OVER (PARTITION BY doc_id, licence ORDER BY dice DESC, start) FROM passages)
+SELECT doc_id, unit::BIGINT AS unit, first_word::BIGINT AS first_word, licence, dice FROM found WHERE place = 1 AND dice >= 0.8
+""" % ",\n  ".join(f"('{name}', '{' '.join(licences.words_of(body))}')" for name, body in sorted(licences.TEMPLATES.items()))
 
 # Prefixes as joined digests; totals reach a node over the paths of its descendants' smallest members.
 TRIE_SQL = r"""

@@ -158,19 +158,38 @@ def test_url_rules(spark):
 
 
 def test_licences_by_brute_force(spark, docs, empty, texts):
-    bodies = list(texts.values())[:60] + ["Released  under the MIT-License\nx", "licensed under\nCC BY NC 4.0", None, "", "cc by nc 4 0 nc"]
+    import textwrap
+
+    mit, apache = (licences.TEMPLATES[n] for n in ("MIT-body", "Apache-2.0-full-header"))
+    comment = "\n".join(" * " + line for line in textwrap.wrap(" ".join(apache.split()), 60))
+    bodies = list(texts.values())[:60] + [
+        "Released  under the MIT-License\nx", "licensed under\nCC BY NC 4.0", None, "", "cc by nc 4 0 nc",
+        "some words before " * 30 + mit + "\nand after " * 40, "int main()\n/*\n" + comment + "\n */\nreturn 0;",
+        mit[:300], "Here it says: released under the MIT license. Then more.", mit.replace("Software", "Work").replace("hereby", ""),
+        "license software " * 300, mit + mit]
     frame = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
     known, wanted = licences.template_bigrams(licences.TEMPLATES), []
+    bigrams = lambda words: {f"{a} {b}" for a, b in zip(words, words[1:])}
+    dice = lambda pairs, t: 2 * len(pairs & set(t)) / (len(pairs) + len(t))
     for i, body in enumerate(bodies):
         lines = (body or "").split("\n")
         for unit, line in [(0, " ".join(lines))] * (len(lines) > 1) + list(enumerate(lines, 1)):
-            words = licences.words_of(line)
-            pairs = {f"{a} {b}" for a, b in zip(words, words[1:])}
-            best = max(((2 * len(pairs & set(t)) / (len(pairs) + len(t)), n) for n, t in reversed(known.items())), key=lambda x: x[0])
+            pairs = bigrams(licences.words_of(line))
+            best = max(((dice(pairs, t), n) for n, t in reversed(known.items())), key=lambda x: x[0])
             if best[0] >= 0.8:
-                wanted.append((i, unit, best[1], best[0]))
-    assert shown(licences.scan_licences(frame), "doc_id", "unit", "licence", "dice") == sorted(wanted, key=repr)
-    assert len(wanted) >= 3 and licences.scan_licences(empty).count() == 0 and licences.scan_licences(docs).count() == 0
+                wanted.append((i, unit, 0, best[1], best[0]))
+        words = licences.words_of(body or "")
+        for name, t in known.items():
+            template = licences.words_of(licences.TEMPLATES[name])
+            starts = {max(at - template.index(w), 0) for at, w in enumerate(words) if len(w) >= 4 and template.count(w) == 1}
+            best = max(((dice(bigrams(words[s:s + len(template)]), t), -s) for s in starts), default=(0, 0))
+            if best[0] >= 0.8:
+                wanted.append((i, -1, 1 - best[1], name, best[0]))
+    assert shown(licences.scan_licences(frame), "doc_id", "unit", "first_word", "licence", "dice") == sorted(wanted, key=repr)
+    whole = {(w[0], w[3]) for w in wanted if w[1] == -1}
+    assert {(65, "MIT-body"), (66, "Apache-2.0-full-header"), (68, "MIT"), (69, "MIT-body"), (71, "MIT-body")} <= whole
+    assert licences.scan_licences(empty).count() == 0 and licences.scan_licences(docs).count() == 0
+    assert licences.scan_licences(docs, {}).count() == 0 and licences.scan_licences(docs, {"none": "word"}).count() == 0
 
 
 def brute_counts(text):
