@@ -202,21 +202,22 @@ def bigrams(words: Column) -> Column:
 
 def best_passage(name: str, template: list[str], pairs: list[str], threshold: float) -> Column:
     """(licence, dice, place) of the template's best window in a text's `words` and `pairs`; null where none can reach the threshold."""
-    def places(word: Column, at: Column) -> Column:
-        found = None
-        for anchor, offset in anchors(template).items():
-            start = F.greatest(at - offset, F.lit(0))
-            found = F.when(word == anchor, start) if found is None else found.when(word == anchor, start)
-        return found
+    def fixed(values: list) -> Column:  # a literal array after constant folding
+        return F.split(F.lit("|".join(map(str, values))), "[|]")
 
-    known = F.array(*map(F.lit, pairs))
+    offsets = anchors(template)
+    known, heads, steps = fixed(pairs), fixed(list(offsets)), fixed(list(offsets.values())).cast("array<int>")
+
+    def place(word: Column, at: Column) -> Column:
+        return at - F.get(steps, F.array_position(heads, word).cast("int") - 1)  # null where it is no anchor
 
     def score(start: Column) -> Column:
         window = F.slice("pairs", start + 1, len(template) - 1)
         dice = 2 * F.size(F.array_intersect(window, known)) / (F.size(F.array_distinct(window)) + len(pairs))
         return F.struct(dice.alias("dice"), (-start).alias("place"))
 
-    starts = F.array_distinct(F.filter(F.transform("words", places), lambda x: x.isNotNull()))
+    found = F.filter(F.transform("words", place), lambda x: x.isNotNull())
+    starts = F.array_distinct(F.transform(found, lambda x: F.greatest(x, F.lit(0))))
     best = F.array_max(F.transform(starts, score))
     return F.when(holds_enough(F.col("body"), pairs, threshold),
                   F.struct(F.lit(name).alias("licence"), best["dice"].alias("dice"), (1 - best["place"]).cast("long").alias("first_word")))

@@ -152,12 +152,12 @@ scored AS (
   SELECT doc_id, unit, licence, 2 * len(list_intersect(p, t)) / (len(p) + len(t)) AS dice
   FROM pairs JOIN shapes ON len(p) BETWEEN len(t) * 0.66 AND len(t) * 1.51 AND list_has_any(p, t)),
 anchors AS (
-  SELECT licence, word, min(i) AS at FROM (SELECT licence, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM templates)
+  SELECT licence, word, min(i) AS spot FROM (SELECT licence, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM templates)
   WHERE length(word) >= 4 GROUP BY licence, word HAVING count(*) = 1),
 texts AS (
   SELECT doc_id, list_filter(string_split(array_to_string(lines, ' '), ' '), lambda x: x <> '') AS w FROM normal),
 spots AS (
-  SELECT DISTINCT doc_id, licence, greatest(i - at, 0) AS start
+  SELECT DISTINCT doc_id, licence, greatest(i - spot, 0) AS start
   FROM (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM texts) JOIN anchors USING (word)),
 windows AS (
   SELECT doc_id, licence, start, t, list_slice(w, start + 1, start + m) AS w FROM spots JOIN shapes USING (licence) JOIN texts USING (doc_id)),
