@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from lendlens.llm.common import END, PRIME, SPACES, START, WORD, code_points, split_words, struct_of, sums_by_start, text_blocks
 from lendlens.session import materialize
 
-ORDER = 5
+ORDER = 4
 MODEL_ROWS = 4_000_000  # 16 bytes each
 SPREAD = 4.0  # quartile ranges beyond the quartiles
 SYMBOLS = "#*$%&|<>"
