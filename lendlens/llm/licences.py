@@ -8,7 +8,7 @@ score 2|A n B| / (|A| + |B|) reaches t only if |A| t / (2 - t) <= |B| <= |A| (2
 sizes choose the templates a unit is compared to. A unit that reaches t holds the share t / (2 - t)
 of a template's bigrams at least, so it holds one of any words that touch more than the other
 bigrams; texts and lines without such words are passed over, and passages are looked for only
-where the template's words in the text touch bigrams enough. DataFrame functions only.
+where the text shares bigrams enough. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -173,15 +173,9 @@ def may_hold(text: Column, words: list[str]) -> Column:
     return found
 
 
-def holds_enough(text: Column, pairs: list[str], threshold: float) -> Column:
-    """Whether the template's words that the text holds touch as many bigrams as a unit must share."""
-    weight: Counter = Counter()
-    for p in pairs:  # a bigram is shared only where its longer word is present
-        weight[max(p.split(), key=lambda w: (len(w), w))] += 1
-    total = F.lit(0)
-    for word, n in sorted(weight.items()):
-        total = total + F.when(F.contains(text, F.lit(word)), n).otherwise(0)
-    return total >= least_shared(pairs, threshold)
+def has_word(body: Column, words: list[str]) -> Column:
+    """Whether the normalised body holds one of the words."""
+    return may_hold(F.concat(F.lit(" "), body, F.lit(" ")), [f" {w} " for w in words])
 
 
 def anchors(words: list[str]) -> dict[str, int]:
@@ -201,7 +195,7 @@ def bigrams(words: Column) -> Column:
 
 
 def best_passage(name: str, template: list[str], pairs: list[str], threshold: float) -> Column:
-    """(licence, dice, place) of the template's best window in a text's `words` and `pairs`; null where none can reach the threshold."""
+    """(licence, found: dice and place) of the template's best window in a text's `words` and `pairs`; null where none can reach the threshold."""
     def fixed(values: list) -> Column:  # a literal array after constant folding
         return F.split(F.lit("|".join(map(str, values))), "[|]")
 
@@ -219,20 +213,21 @@ def best_passage(name: str, template: list[str], pairs: list[str], threshold: fl
     found = F.filter(F.transform("words", place), lambda x: x.isNotNull())
     starts = F.array_distinct(F.transform(found, lambda x: F.greatest(x, F.lit(0))))
     best = F.array_max(F.transform(starts, score))
-    return F.when(holds_enough(F.col("body"), pairs, threshold),
-                  F.struct(F.lit(name).alias("licence"), best["dice"].alias("dice"), (1 - best["place"]).cast("long").alias("first_word")))
+    return F.when(F.size(F.array_intersect("pairs", known)) >= least_shared(pairs, threshold),
+                  F.struct(F.lit(name).alias("licence"), best.alias("found")))
 
 
 def passages(texts: DataFrame, templates: dict[str, str], key: str, threshold: float) -> DataFrame:
     """Of each normalised `body` and template the best window that reaches the threshold."""
     known = template_bigrams(templates)
-    rows = texts.select(key, "body", F.explode(F.array(F.split(F.trim("body"), " "))).alias("words"))
+    rows = texts.select(key, F.explode(F.array(F.split(F.trim("body"), " "))).alias("words"))
     # Generators keep Spark from working out the words anew inside each window.
-    rows = rows.select(key, "body", "words", F.explode(F.array(bigrams(F.col("words")))).alias("pairs"))
+    rows = rows.select(key, "words", F.explode(F.array(bigrams(F.col("words")))).alias("pairs"))
     found = rows.select(key, F.explode(F.array(*[
         best_passage(name, words_of(templates[name]), pairs, threshold) for name, pairs in known.items()])).alias("best"))
-    return found.where(F.col("best.dice") >= threshold).select(
-        key, F.lit(-1).cast("long").alias("unit"), "best.first_word", "best.licence", "best.dice")
+    return found.where(F.col("best.found.dice") >= threshold).select(
+        key, F.lit(-1).cast("long").alias("unit"), (1 - F.col("best.found.place")).cast("long").alias("first_word"),
+        "best.licence", "best.found.dice")
 
 
 def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD,
@@ -257,7 +252,7 @@ def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None, thre
     chosen = docs.where(may_hold(F.lower(F.col(text)), telling)).select(key, F.explode(F.array(lines)).alias("lines"))
     whole = F.regexp_replace(F.concat_ws(" ", "lines"), " +", " ")
     units = chosen.select(key, F.posexplode(F.concat(F.array(F.when(F.size("lines") > 1, whole).otherwise("")), "lines")).alias("unit", "body")) \
-        .where(may_hold(F.col("body"), telling))
+        .where(has_word(F.col("body"), telling))
     units = units.withColumn("words", F.split(F.trim("body"), " ")).where(F.size("words") > least) \
         .where(F.size(F.array_distinct("words")) <= most + 1)
     units = units.select(key, "unit", F.array_distinct(bigrams(F.col("words"))).alias("pairs")).withColumn("n", F.size("pairs"))
@@ -273,4 +268,4 @@ def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None, thre
         if len(scores) > 1 else units.select(key, "unit", scores[0].alias("best"))
     best = best.where(F.col("best.dice") >= threshold).select(
         key, F.col("unit").cast("long").alias("unit"), F.lit(0).cast("long").alias("first_word"), "best.licence", "best.dice")
-    return best.unionByName(passages(chosen.select(key, whole.alias("body")), templates, key, threshold))
+    return best.unionByName(passages(chosen.select(key, whole.alias("body")).where(has_word(F.col("body"), telling)), templates, key, threshold))
