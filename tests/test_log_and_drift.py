@@ -142,3 +142,19 @@ def test_sketches_merge(spark):
     parts = drift.sketches(rows.where("x < 900"), ["x"]).unionByName(drift.sketches(rows.where("x >= 900"), ["x"]))
     assert drift.cut_bins(drift.merge_sketches(parts), 4) == drift.cut_bins(drift.sketches(rows, ["x"]), 4)
     assert drift.cut_bins(drift.sketches(rows.where("x < 0"), ["x"])) == {}
+
+
+def test_customers_of_one_bucket_are_told_apart(spark, tmp_path):
+    schema = "customer_id long, transaction_id long, transaction_date timestamp, payment_date timestamp, payment_due_date timestamp"
+    parts = [[(1, 1, day(1), day(2), day(3)), (2, 2, day(1), day(2), day(3)), (3, 3, None, day(2), None)], [(2, 4, day(25), day(26), day(20))], [(1, 5, day(26), day(28), day(29))]]
+    folder, target, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = jobs.read_stream(spark, folder, spark.createDataFrame([], schema).schema)
+        customers.write_states(customers.customer_states(stream, "10 days", "1 days", buckets=1), target, state).awaitTermination()
+    rows = spark.read.parquet(f"{target}/batch=*").collect()
+    assert [(r["customer_id"], r["transactions"]) for r in rows if r["closed"]] == [(1, 1)]
+    last = {r["customer_id"]: r for r in customers.latest_states(spark, target).collect()}
+    assert {c: (r["payments"], r["closed"], r["days_max_negated"]) for c, r in last.items()} == {
+        1: (1, False, -2), 2: (2, False, -1), 3: (1, False, customers.NOTHING)}
+    assert last[3]["at"] is None and last[2]["at"] == day(25)
