@@ -127,3 +127,24 @@ def test_neighbours_need_rows(spark, data):
     with pytest.raises(ValueError, match="no rows"):
         pv.nearest_rows(df.where("id < 0"), df, FEATURES, "label", "id", 3)
     assert pv.nearest_rows(df, df.where("id < 0"), FEATURES, "label", "id", 3).count() == 0
+
+
+def test_neighbours_beyond_nearest_cells_equal_brute_force(spark, monkeypatch):
+    """Far from the origin, with ties, in small parts and groups; a row travels once per part or group."""
+    rng = np.random.default_rng(9)
+    points = pd.DataFrame({"id": range(600), **{f: 1000 + rng.normal(size=600).round(1) for f in FEATURES}, "label": rng.integers(0, 2, 600)})
+    points.loc[300:450, FEATURES] = points.loc[0, FEATURES].to_numpy()  # more than a part holds
+    asked = pd.DataFrame({"id": range(1000, 1090), **{f: 1000 + rng.normal(size=90) * 2 for f in FEATURES}, "label": 0})
+    asked.loc[:4, FEATURES] = points.loc[0, FEATURES].to_numpy()
+    blocks = []
+    whole = pv.met
+    monkeypatch.setattr(pv, "met", lambda *a: blocks.append(a) or whole(*a))
+    found = pv.nearest_rows(spark.createDataFrame(points).repartition(3), spark.createDataFrame(asked), FEATURES, "label", "id", 6, 24, 4)
+    rows = {r["id"]: r for r in found.collect()}
+    assert len(blocks) == 1  # only the nearest cells are met query by query
+    x, ids = points[FEATURES].to_numpy(), points.id.to_numpy()
+    for i, q in zip(asked.id, asked[FEATURES].to_numpy()):
+        d = np.round(np.sqrt(((x - q) ** 2).sum(1)), pv.PLACES)
+        order = np.lexsort((ids, d))[:6]
+        assert [(n["other"], n["distance"]) for n in rows[i]["near"]] == list(zip(ids[order].tolist(), d[order].tolist()))
+        assert 6 <= rows[i]["compared"] <= len(points)
