@@ -1,11 +1,11 @@
-"""AUC of many models of a search without a row per model and score."""
+"""AUC of many models of a search without a row per model and score, and Newton sums that models share."""
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lendlens.operators import fit, held_out, train
+from lendlens.operators import fit, held_out, newton, train
 from lendlens.operators.evaluate import roc_auc, score_curve
 from lendlens.operators.score import LinearModel
 
@@ -54,3 +54,15 @@ def test_ranges_are_cut_and_one_class_has_no_auc(rows):
 def test_null_features_fail(rows):
     with pytest.raises(Exception, match="score is null"):
         held_out.fold_aucs(rows.withColumn("a", F.when(F.col("id") != 7, F.col("a"))), models_of(rows)[:1], "label").collect()
+
+
+def test_models_at_the_same_weights_share_their_sums(rows, monkeypatch):
+    sizes = []
+    combined = newton.combined
+    monkeypatch.setattr(newton, "combined", lambda df, reduce, *a, **k: sizes.append(
+        len(reduce.__closure__[reduce.__code__.co_freevars.index("plans")].cell_contents)) or combined(df, reduce, *a, **k))
+    points = [newton.Penalty(s, 0.5, tol=t) for s in (0.1, 1.0) for t in (1e-4, 1e-8)]
+    found = newton.penalised(rows, FEATURES, "label", points, [None, 0, 1])
+    assert sizes[0] == 3 and max(sizes) == 6
+    alone = newton.penalised(rows, FEATURES, "label", points[3:], [0])[0][0]
+    assert found[3][1].weights == pytest.approx(alone.weights, abs=1e-9) and found[2][1].steps <= found[3][1].steps
