@@ -173,9 +173,14 @@ def may_hold(text: Column, words: list[str]) -> Column:
     return found
 
 
+def padded(body: Column) -> Column:
+    """A normalised body with blanks around it."""
+    return F.concat(F.lit(" "), body, F.lit(" "))
+
+
 def has_word(body: Column, words: list[str]) -> Column:
-    """Whether the normalised body holds one of the words."""
-    return may_hold(F.concat(F.lit(" "), body, F.lit(" ")), [f" {w} " for w in words])
+    """Whether the normalised, padded body holds one of the words."""
+    return may_hold(body, [f" {w} " for w in words])
 
 
 def anchors(words: list[str]) -> dict[str, int]:
@@ -185,8 +190,8 @@ def anchors(words: list[str]) -> dict[str, int]:
 
 
 def normal(text: Column) -> Column:
-    """Letters and digits in lower case with single blanks; line breaks stay."""
-    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
+    """Letters and digits of a lower-case text with single blanks; line breaks stay."""
+    return F.regexp_replace(text, r"[^\p{L}\p{N}\n]+", " ")
 
 
 def bigrams(words: Column) -> Column:
@@ -194,11 +199,16 @@ def bigrams(words: Column) -> Column:
                       F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
 
 
+def fixed(values: list) -> Column:
+    """A literal array after constant folding."""
+    return F.split(F.lit("|".join(map(str, values))), "[|]")
+
+
 def best_passage(name: str, template: list[str], pairs: list[str], threshold: float) -> Column:
-    """(licence, found: dice and place) of the template's best window in a text's `words` and `pairs`; null where none can reach the threshold."""
-    def fixed(values: list) -> Column:  # a literal array after constant folding
-        return F.split(F.lit("|".join(map(str, values))), "[|]")
+    """(licence, found: dice and place) of the template's best window in a text's `words` and `pairs`; null where none can reach the threshold.
 
+    `held` are those of the text's bigrams that any template has.
+    """
     offsets = anchors(template)
     known, heads, steps = fixed(pairs), fixed(list(offsets)), fixed(list(offsets.values())).cast("array<int>")
 
@@ -213,7 +223,7 @@ def best_passage(name: str, template: list[str], pairs: list[str], threshold: fl
     found = F.filter(F.transform("words", place), lambda x: x.isNotNull())
     starts = F.array_distinct(F.transform(found, lambda x: F.greatest(x, F.lit(0))))
     best = F.array_max(F.transform(starts, score))
-    return F.when(F.size(F.array_intersect("pairs", known)) >= least_shared(pairs, threshold),
+    return F.when(F.size(F.array_intersect("held", known)) >= least_shared(pairs, threshold),
                   F.struct(F.lit(name).alias("licence"), best.alias("found")))
 
 
@@ -223,6 +233,10 @@ def passages(texts: DataFrame, templates: dict[str, str], key: str, threshold: f
     rows = texts.select(key, F.explode(F.array(F.split(F.trim("body"), " "))).alias("words"))
     # Generators keep Spark from working out the words anew inside each window.
     rows = rows.select(key, "words", F.explode(F.array(bigrams(F.col("words")))).alias("pairs"))
+    # The bigrams of a text meet those of all templates once; what is left is short.
+    held = F.array_intersect("pairs", fixed(sorted({p for pairs in known.values() for p in pairs})))
+    rows = rows.select(key, "words", "pairs", F.explode(F.array(held)).alias("held")) \
+        .where(F.size("held") >= min(least_shared(pairs, threshold) for pairs in known.values()))
     found = rows.select(key, F.explode(F.array(*[
         best_passage(name, words_of(templates[name]), pairs, threshold) for name, pairs in known.items()])).alias("best"))
     return found.where(F.col("best.found.dice") >= threshold).select(
@@ -248,10 +262,12 @@ def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None, thre
     sizes, telling = sorted({len(p) for p in known.values()}), telling_words(known, threshold)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     least, most = math.ceil(sizes[0] * low - 1e-9), math.floor(sizes[-1] * high + 1e-9)
-    lines = F.split(normal(F.col(text)), "\n", -1)
-    chosen = docs.where(may_hold(F.lower(F.col(text)), telling)).select(key, F.explode(F.array(lines)).alias("lines"))
+    # Filters of many words would work out their text for each word: generators make it once.
+    lower = docs.select(key, F.explode(F.array(F.lower(F.col(text)))).alias("lower")).where(may_hold(F.col("lower"), telling))
+    chosen = lower.select(key, F.explode(F.array(F.split(normal(F.col("lower")), "\n", -1))).alias("lines"))
     whole = F.regexp_replace(F.concat_ws(" ", "lines"), " +", " ")
-    units = chosen.select(key, F.posexplode(F.concat(F.array(F.when(F.size("lines") > 1, whole).otherwise("")), "lines")).alias("unit", "body")) \
+    bodies = F.transform(F.concat(F.array(F.when(F.size("lines") > 1, whole).otherwise("")), "lines"), padded)
+    units = chosen.select(key, F.posexplode(bodies).alias("unit", "body")) \
         .where(has_word(F.col("body"), telling))
     units = units.withColumn("words", F.split(F.trim("body"), " ")).where(F.size("words") > least) \
         .where(F.size(F.array_distinct("words")) <= most + 1)
@@ -268,4 +284,4 @@ def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None, thre
         if len(scores) > 1 else units.select(key, "unit", scores[0].alias("best"))
     best = best.where(F.col("best.dice") >= threshold).select(
         key, F.col("unit").cast("long").alias("unit"), F.lit(0).cast("long").alias("first_word"), "best.licence", "best.dice")
-    return best.unionByName(passages(chosen.select(key, whole.alias("body")).where(has_word(F.col("body"), telling)), templates, key, threshold))
+    return best.unionByName(passages(chosen.select(key, F.explode(F.array(padded(whole))).alias("body")).where(has_word(F.col("body"), telling)), templates, key, threshold))
