@@ -24,7 +24,7 @@ BUCKETS, LOW, HIGH = 1 << 16, 1, 4
 ABREAST = 256  # words of a long line that are worked on side by side with others
 # Fitted on a bounded sample: so many rows, so many bytes of whole texts, cut into pieces.
 FIT_ROWS, FIT_BYTES, PIECE = 2000, 16 << 20, 24
-FIT_CHAINS = 1 << 13  # chains whose probabilities are held at a time
+FIT_CHAINS = 1 << 11  # chains whose probabilities are held at a time
 STEPS = 40
 WORD_BLOCK = 1 << 14  # distinct words whose features are in memory at a time
 BLOCK = 2 << 20  # bytes of text whose words are in memory with all their probabilities
@@ -47,6 +47,19 @@ def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.
     return owner, key
 
 
+def bagged(words: list[str], lexicon: dict[str, int], most: int) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray, np.ndarray]]]:
+    """The features (below `most`) that occur, and per block of words its first word and size, the owners and
+    the features' places among those that occur; nothing of all pairs is sorted or held in 64 bits."""
+    blocks, occurs = [], np.zeros(most, bool)
+    for at in range(0, len(words), WORD_BLOCK):
+        some = words[at:at + WORD_BLOCK]
+        owner, key = features(some, lexicon)
+        occurs[key] = True
+        blocks.append((at, len(some), owner.astype(np.int32), key.astype(np.int32)))
+    place = (np.cumsum(occurs) - 1).astype(np.int32)
+    return np.flatnonzero(occurs), [(at, size, owner, place[key]) for at, size, owner, key in blocks]
+
+
 def marginals(emission: np.ndarray, chains: np.ndarray, move: np.ndarray, first: np.ndarray, pairs: bool = False,
               into: np.ndarray | None = None, out: np.ndarray | None = None) -> tuple[np.ndarray, float, np.ndarray | None, np.ndarray]:
     """Forward-backward over chains laid end to end, all chains of a step at once.
@@ -210,10 +223,8 @@ def fit(sample: Sample | list[tuple[str, str]], seed: int = 5) -> LanguageModel:
     seen = np.zeros((len(used), count))
     np.add.at(seen, (word_of, target), 1)
     lexicon = {w: int(s.argmax()) for w, s in zip(spelled, seen) if s.sum() >= 5 and s.max() >= 0.8 * s.sum()}
-    owner, key = features(spelled, lexicon)
-    keys, slot = np.unique(key, return_inverse=True)
-    slot = slot.astype(np.int32)
-    del key, codes, texts, words, pieces
+    keys, bags = bagged(spelled, lexicon, BUCKETS + count)
+    del codes, texts, words, pieces, spelled
     release_memory()
     weights, move, first = np.zeros((len(keys), count)), np.zeros((count, count)), np.zeros(count)
     begin = np.cumsum(chains) - chains
@@ -225,7 +236,7 @@ def fit(sample: Sample | list[tuple[str, str]], seed: int = 5) -> LanguageModel:
     seen_first = np.bincount(target[begin], minlength=count)
     held = [[np.zeros_like(p), np.zeros_like(p)] for p in (weights, move, first)]
     for tick in range(1, STEPS + 1):
-        word = np.stack([np.bincount(owner, w[slot], minlength=len(used)) for w in weights.T], 1)
+        word = np.concatenate([np.stack([np.bincount(owner, w[slot], minlength=size) for w in weights.T], 1) for _, size, owner, slot in bags])
         back, moves, firsts = np.zeros((len(used), count)), np.zeros((count, count)), np.zeros(count)
         for low in range(0, len(chains), FIT_CHAINS):
             some = chains[low:low + FIT_CHAINS]
@@ -234,7 +245,11 @@ def fit(sample: Sample | list[tuple[str, str]], seed: int = 5) -> LanguageModel:
             found[np.arange(len(found)), target[part]] -= 1
             back += np.stack([np.bincount(word_of[part], f, minlength=len(used)) for f in found.T], 1)
             moves, firsts = moves + moved, firsts + started
-        grads = [np.stack([np.bincount(slot, b[owner], minlength=len(keys)) for b in back.T], 1) / len(cell) + 1e-6 * weights,
+        slopes = np.zeros_like(weights)
+        for low, size, owner, slot in bags:
+            for total, b in zip(slopes.T, back[low:low + size].T):
+                total += np.bincount(slot, b[owner], minlength=len(keys))
+        grads = [slopes / len(cell) + 1e-6 * weights,
                  (moves - seen_moves) / len(cell), (firsts - seen_first) / len(cell)]
         for (mean, square), g, parameter in zip(held, grads, (weights, move, first)):
             mean += 0.1 * (g - mean)
