@@ -68,6 +68,15 @@ def test_descent_equals_numpy(data):
     assert np.allclose(scores, 1 / (1 + np.exp(-(x @ found[0][0].weights[:3] + found[0][0].weights[3]))))
 
 
+def test_large_batches_are_read_by_several_tasks(spark):
+    df = spark.range(2000).select("id", F.rand(3).alias("a"), (F.col("id") % 2).cast("int").alias("label"))
+    rows = gr.in_batches(df, ["a"], "label", "id", 2, 7, None, file_rows=100)
+    for batch in range(2):
+        assert rows.where(F.col("batch") == batch).rdd.getNumPartitions() > 4
+    assert rows.count() == 2000 and sorted(rows.columns) == ["batch", "fold", "x", "y"]
+    assert gr.in_batches(df, ["a"], "label", "id", 2, 7, None).where("batch = 0").rdd.getNumPartitions() == 1
+
+
 def test_random_features_approach_the_kernel():
     x = np.random.default_rng(1).normal(size=(60, 5))
     kernel = np.exp(-0.2 * ((x[:, None] - x[None]) ** 2).sum(2))
