@@ -107,6 +107,27 @@ def test_extra_trees_equal_numpy(data, depth, most):
     assert np.allclose(scored, forest(x))
 
 
+def test_trees_abreast_lead_rows_to_their_leaves():
+    x = np.random.default_rng(2).normal(size=(50, 3))
+    stump = (np.array([1, -1, -1]), np.array([0.2, 0.0, 0.0]), np.array([1, 0, 0]))
+    deeper = (np.array([0, -1, 2, -1, -1]), np.array([-0.1, 0.0, 0.4, 0.0, 0.0]), np.array([1, 0, 3, 0, 0]))
+    trees = et.Abreast.of([stump, deeper, tuple(a[1:2] for a in stump)])
+    assert trees.levels == 2 and trees.roots.tolist() == [0, 3, 8]
+    found = trees.nodes(x)
+    assert found[0].tolist() == np.where(x[:, 1] > 0.2, 2, 1).tolist()
+    assert found[1].tolist() == (3 + np.where(x[:, 0] <= -0.1, 1, np.where(x[:, 2] > 0.4, 4, 3))).tolist()
+    assert found[2].tolist() == [8] * 50
+
+
+def test_nodes_are_asked_for_drawn_features_only(data):
+    _, df = data
+    rows = df.selectExpr("label", "-1 AS fold", "array(a, b, c) AS x")
+    groups = et.plan([(None, 0, et.RandomTree([-1], [0.0], [0], [300], [150], [0]))], {(0, 0): [2]})
+    (low, high), = et.node_ranges(rows, groups, 3).values()
+    wanted = df.selectExpr("min(c)", "max(c)").first()
+    assert low.tolist() == [0.0, 0.0, wanted[0]] and high.tolist() == [0.0, 0.0, wanted[1]]
+
+
 def test_drawn_cuts():
     low, high = np.array([0.0, 5.0, 1.0]), np.array([0.0, 5.0, 3.0])
     for node in range(50):
