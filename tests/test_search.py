@@ -4,7 +4,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lendlens.operators import adaboost, newton, train
+from lendlens.operators import adaboost, families, newton, train
+from lendlens.plans import catalog
 from pyspark.sql import functions as F
 
 FEATURES = ["a", "b", "c", "d"]
@@ -74,3 +75,24 @@ def test_rungs_grow_and_thin_out(data):
     assert shares[0] < shares[1] < shares[2] == 240
     nested = train.seeded_share(df, "id", 0.2, 42).join(train.seeded_share(df, "id", 0.4, 42), "id", "left_anti")
     assert nested.count() == 0
+
+
+def test_successive_search_takes_whole_grids(spark, monkeypatch):
+    asked, rows = {}, spark.range(1)
+
+    def searched(df, family, label, row_id, size=25, folds=3, shares=(1.0,)):
+        asked[family.name] = train.sample_grid(family.grid, size), shares
+        return df
+    monkeypatch.setattr(catalog, "_folded", lambda *_: (rows, rows))
+    monkeypatch.setattr(train, "successive_search", searched)
+    catalog.QUERIES["successive_search"](spark, "")
+    assert set(asked) == {"leaf_boosting", "hist_boosting", "gradient_boosting", "adaboost", "sgd"}
+    for name, (points, shares) in asked.items():
+        grid = families.GRIDS[name]
+        assert points == train.sample_grid(grid, 25) and shares[-1] == 1.0
+        assert all({p[k] for p in points} == set(grid[k]) for k in ("rounds", "max_iter") if k in grid)
+
+
+def test_capped_portfolio_keeps_its_grids():
+    capped = families.portfolio(FEATURES, "label", "id", 6, 1)
+    assert all(capped[name].grid == grid for name, grid in families.GRIDS.items())
