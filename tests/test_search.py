@@ -96,3 +96,18 @@ def test_successive_search_takes_whole_grids(spark, monkeypatch):
 def test_capped_portfolio_keeps_its_grids():
     capped = families.portfolio(FEATURES, "label", "id", 6, 1)
     assert all(capped[name].grid == grid for name, grid in families.GRIDS.items())
+
+
+def test_train_compare_takes_whole_models(spark, monkeypatch):
+    asked, rows = {}, spark.range(1)
+
+    def compared(own, other, kinds, label, folds):
+        asked.update({k.name: k.untuned for k in kinds})
+        return own
+    monkeypatch.setattr(catalog, "_folded", lambda *_: (rows, rows))
+    monkeypatch.setattr(train, "compare_families", compared)
+    catalog.QUERIES["train_compare"](spark, "")
+    assert len(asked) == 17
+    assert all(asked[k]["rounds"] == 100 for k in ("leaf_boosting", "xgboost", "hist_boosting", "gradient_boosting"))
+    assert asked["adaboost"] == {"rounds": 50} and asked["sgd"] == {} and asked["svm_rbf"] == {"c": 1.0}
+    assert asked["extra_trees"]["trees"] == 100 and all(asked[k]["depth"] == 10 for k in ("random_forest", "extra_trees", "bagging"))
