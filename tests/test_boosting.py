@@ -6,6 +6,7 @@ import pytest
 
 from lendlens.operators import boosting as bo
 from lendlens.operators.bins import fit_bins
+from lendlens.operators.cells import Cells
 
 FEATURES = ["a", "b", "c"]
 
@@ -119,3 +120,35 @@ def test_bins(spark, data):
         fit_bins(spark.createDataFrame([(None, 1)], "a double, label int"), ["a"])
     with pytest.raises(ValueError, match="both classes"):
         bo.fit_boosting(lone.where("label = 1"), ["a"], "label")
+
+
+@pytest.mark.parametrize("how", [
+    bo.Boosting(rounds=12, max_leaves=7, min_child=5), bo.Boosting(rounds=3, max_leaves=8, depth=3, min_child=1, l2=1.0, subsample=0.6)])
+def test_whole_models_equal_those_of_passes(data, how, monkeypatch):
+    """In tasks that hold all rows, by passes with large and small leaves, and by passes of histograms only."""
+    _, df = data
+    found = []
+    for parts, few in ((32, 90), (0, 90), (0, 0)):
+        monkeypatch.setattr(bo, "PARTS", parts), monkeypatch.setattr(bo, "FEW", few)
+        if parts:
+            monkeypatch.setattr(bo, "fit_in_passes", None)  # a whole fit takes no passes
+        found.append(bo.fit_boosting(df, FEATURES, "label", [how], [None, 1], "id", 8)[0])
+        monkeypatch.undo()
+    for models in zip(*found):
+        for trees in zip(*(m.trees for m in models)):
+            assert all(np.array_equal(getattr(t, a), getattr(trees[0], a)) for t in trees[1:] for a in ("feature", "left", "right", "value"))
+
+
+def test_cells_sum_by_feature_and_bin():
+    rng = np.random.default_rng(3)
+    sizes = [256, 1, 2, 5, 200, 2, 3]
+    codes = np.stack([rng.integers(0, n, 500) for n in sizes]).astype(np.uint8)
+    cells, g = Cells(sizes), np.rint(rng.normal(size=500) * 2 ** 30)
+    assert sorted(f for group in cells.groups for f in group) == list(range(7)) and len(cells.groups) < 4
+    rows = np.flatnonzero(rng.random(500) < 0.5)
+    found = cells.sums(cells.joint(codes), (g[rows], None), rows)
+    wanted = [[sum(w[codes[f][rows] == b]) for f, n in enumerate(sizes) for b in range(n)] for w in (g[rows], np.ones(len(rows)))]
+    assert found.tolist() == wanted
+    padded = cells.padded(found, 256)
+    assert padded.sum() == found.sum() and padded[0, 3, :5].tolist() == found[0, cells.starts[3]:cells.ends[3]].tolist()
+    assert cells.upto(found)[:, cells.ends - 1].tolist() == [[w[rows].sum()] * 7 for w in (g, np.ones(500))]
