@@ -62,6 +62,16 @@ def test_adaboost_equals_numpy(data, rate):
     assert np.allclose(scored, 1 / (1 + np.exp(-votes / total)))
 
 
+def test_whole_adaboost_equals_that_of_passes(data, monkeypatch):
+    _, df = data
+    points = [ada.AdaBoost(12, 0.5), ada.AdaBoost(4, 1.5)]
+    passes = ada.boost_in_passes
+    monkeypatch.setattr(ada, "boost_in_passes", None)  # a whole fit takes no passes
+    whole = ada.fit_adaboost(df, FEATURES, "label", points, [None, 1], 8)
+    monkeypatch.setattr(ada, "boost_in_passes", passes), monkeypatch.setattr(ada, "WHOLE", 0)
+    assert [[m.stumps for m in models] for models in whole] == [[m.stumps for m in models] for models in ada.fit_adaboost(df, FEATURES, "label", points, [None, 1], 8)]
+
+
 def test_adaboost_ends_early(spark):
     clear = spark.createDataFrame([(float(i), int(i > 4)) for i in range(10)], "a double, label int")
     model = ada.fit_adaboost(clear, ["a"], "label")[0][0]
