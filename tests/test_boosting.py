@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lendlens.operators import boosting as bo
+from lendlens.operators import boosting as bo, families
 from lendlens.operators.bins import fit_bins
 from lendlens.operators.cells import Cells
 
@@ -152,3 +152,26 @@ def test_cells_sum_by_feature_and_bin():
     padded = cells.padded(found, 256)
     assert padded.sum() == found.sum() and padded[0, 3, :5].tolist() == found[0, cells.starts[3]:cells.ends[3]].tolist()
     assert cells.upto(found)[:, cells.ends - 1].tolist() == [[w[rows].sum()] * 7 for w in (g, np.ones(500))]
+
+
+def test_margins_of_large_and_small_blocks_are_equal(data, monkeypatch):
+    frame, df = data
+    model = bo.fit_boosting(df, FEATURES, "label", [bo.Boosting(rounds=4, max_leaves=6, min_child=5)])[0][0]
+    x, found = frame[FEATURES].to_numpy(), []
+    for many in (0, 1 << 30):
+        monkeypatch.setattr(bo, "MANY", many)
+        found.append(model.margins(x))
+    assert found[0].tolist() == found[1].tolist() and len(set(found[0])) > 6
+    assert model.margins(x[:0]).tolist() == []
+
+
+def test_families_share_their_bins(data, monkeypatch):
+    _, df = data
+    asked = []
+    monkeypatch.setattr(families, "fit_bins", lambda *a: asked.append(a[0]) or fit_bins(*a))
+    kinds = families.portfolio(FEATURES, "label", "id", rounds=2, max_bins=16)
+    whole = [kinds[k].fit_points(df, [kinds[k].untuned], [None])[0][0] for k in ("leaf_boosting", "xgboost", "adaboost")]
+    part = df.where("fold <> 1")
+    kinds["adaboost"].fit_points(part, [kinds["adaboost"].untuned], [None])
+    assert len(asked) == 2 and asked[0] is df and asked[1] is part
+    assert all(a.tolist() == b.tolist() for m in whole for a, b in zip(m.bins.edges, fit_bins(df, FEATURES, 16).edges))
